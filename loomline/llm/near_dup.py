@@ -9,10 +9,10 @@ slots are full are made: about one per shingle and m ln m a document, not m per
 
 Exact copies are one node. Nodes meet in buckets of bands. Within a bucket no square of pairs is
 made: every node is compared with the bucket's most central node (that with the largest buckets
-altogether) and with one more, drawn by hash; buckets of up to ``SMALL`` nodes have all pairs. A
-node of a larger bucket also meets others in finer buckets of two bands, treated alike. Pairs
-pass an estimate by signatures, then the exact weighted Jaccard of the texts. Classes are the
-connected components of what is left.
+altogether). Nodes that are not connected by that are also compared with a leader drawn by hash,
+buckets of up to ``SMALL`` nodes have all their pairs, and nodes of larger ones meet again in
+finer buckets of two bands, treated alike. Pairs pass an estimate by signatures, then the exact
+weighted Jaccard of the texts. Classes are the connected components of what is left.
 """
 
 from __future__ import annotations
@@ -211,34 +211,70 @@ def agreement(left: Column, right: Column) -> Column:
     return of(left, right)
 
 
-def _pairs(rows: DataFrame, weight: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket set (key, node, n): the central star, a drawn star, all pairs of small buckets."""
-    led = rows.join(weight, "node").groupBy("key").agg(
-        F.max(F.struct("weight", "node")).getField("node").alias("centre"),
-        F.max(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node"))).getField("node").alias("drawn"),
-    )
-    stars = rows.join(led, "key").select("node", F.explode(F.array("centre", "drawn")).alias("other"))
-    few = rows.filter(F.col("n") <= SMALL).select("key", "node")
-    small = few.join(few.select("key", F.col("node").alias("other")), "key").filter(F.col("node") < F.col("other")).select("node", "other")
-    both = stars.unionByName(small).filter(F.col("node") != F.col("other"))
-    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
 def _buckets(keys: DataFrame) -> DataFrame:
     """(key, node, n) of the keys that two nodes or more share."""
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return keys.join(shared, "key")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``nodes`` (node, keys) that are worth comparing."""
-    coarse = materialise(_buckets(nodes.select("node", F.explode("keys").alias("key")).distinct()), "buckets")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def _star(rows: DataFrame, leader: Column) -> DataFrame:
+    """Pairs of each bucket's leader, the node with the largest ``leader``, and its nodes of other labels."""
+    led = rows.groupBy("key").agg(F.max(F.struct(leader.alias("by"), F.col("node"), F.col("label"))).alias("l")).select(F.col("key").alias("k"), F.col("l.node").alias("other"), F.col("l.label").alias("other_label"))
+    return rows.join(led, (F.col("key") == F.col("k")) & (F.col("label") != F.col("other_label"))).select("node", "other")
+
+
+def _all_of_small(rows: DataFrame) -> DataFrame:
+    few = rows.filter(F.col("n") <= SMALL).select("key", "node", "label")
+    other = few.select(F.col("key").alias("k"), F.col("node").alias("other"), F.col("label").alias("other_label"))
+    return few.join(other, (F.col("key") == F.col("k")) & (F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label"))).select("node", "other")
+
+
+def _fine(nodes: DataFrame, hot: DataFrame) -> DataFrame:
+    """Buckets (key, node, n) of two bands each, for the nodes of ``hot``."""
+    keys = F.array(*[F.xxhash64(F.lit(step), F.lit(i), F.get("keys", F.lit(i)), F.get("keys", F.lit((i + step) % BANDS))) for step in (1, 5) for i in range(BANDS)])
+    return _buckets(nodes.join(hot, "node").select("node", F.explode(keys).alias("key")))
+
+
+def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose signatures allow the threshold and whose texts reach it."""
+    near = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
+    near = near.filter(agreement(F.col("sig_a"), F.col("sig_b")) >= ESTIMATE - (THRESHOLD - threshold)).select("a", "b")
+    both = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return both.filter(jaccard(F.col("text_a"), F.col("text_b")) >= threshold).select("a", "b")
+
+
+def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Verified pairs (a, b) that connect every class of ``nodes`` (node, keys, sig).
+
+    First each bucket's most central node is compared with the rest; what that connects needs no
+    further pairs, so the later rounds, with drawn leaders, small buckets and finer ones, only
+    compare nodes of different components.
+    """
+    coarse = materialise(_buckets(nodes.select("node", F.explode("keys").alias("key"))), "buckets")
     weight = coarse.groupBy("node").agg(F.sum("n").alias("weight"), F.max("n").alias("most"))
-    pairs = _pairs(coarse, weight.select("node", "weight"))
-    hot = weight.filter(F.col("most") > SMALL).select("node", "weight")
-    fine_keys = F.array(*[F.xxhash64(F.lit(i), F.get("keys", F.lit(i)), F.get("keys", F.lit((i + step) % BANDS)), F.lit(step)) for step in (1, 5) for i in range(BANDS)])
-    fine = materialise(_buckets(nodes.join(hot, "node").select("node", F.explode(fine_keys).alias("key")).distinct()), "buckets")
-    return pairs.unionByName(_pairs(fine, hot)).distinct()
+    weight = materialise(weight, "weights")
+    # A merge join at every size: what is compared may be a fixed share of all documents.
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(weight.select("node").hint("merge"), "node", "left_semi")
+    texts = materialise(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
+    sigs = nodes.select("node", "sig")
+    rows = coarse.join(weight.select("node", "weight"), "node").withColumn("label", F.col("node"))
+    central = materialise(_verified(_ordered(_star(rows, F.col("weight"))), sigs, texts, threshold), "links")
+    labels = components(central)
+
+    def labelled(bucket: DataFrame) -> DataFrame:
+        return bucket.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    draw = F.xxhash64("key", "node")
+    rows = materialise(labelled(coarse), "buckets")
+    more = _star(rows, draw).unionByName(_all_of_small(rows))
+    hot = weight.filter(F.col("most") > SMALL)
+    fine = materialise(labelled(_fine(nodes.select("node", "keys"), hot.select("node", "weight"))), "buckets")
+    more = more.unionByName(_star(fine, draw)).unionByName(_all_of_small(fine))
+    return central.unionByName(materialise(_verified(_ordered(more), sigs, texts, threshold), "links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -273,15 +309,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = signed.groupBy("h").agg(F.min("doc_id").alias("node"))
     nodes = signed.join(first, "h").filter((F.col("doc_id") == F.col("node")) & F.col("keys").isNotNull()).select("node", "keys", "sig").dropDuplicates(["node"])
     nodes = materialise(nodes, "nodes")
-    pairs = candidates(nodes.select("node", "keys"))
-    sigs = nodes.select("node", "sig")
-    near = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
-    near = materialise(near.filter(agreement(F.col("sig_a"), F.col("sig_b")) >= ESTIMATE - (THRESHOLD - threshold)).select("a", "b"), "pairs")
-    named = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    both = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    edges = materialise(both.filter(jaccard(F.col("text_a"), F.col("text_b")) >= threshold).select("a", "b"), "links")
-    label = components(edges)
+    label = components(links(docs, nodes, threshold))
     named = first.join(label, "node", "left").select("h", F.coalesce("label", "node").alias("class_id"))
     return signed.select("doc_id", "h").join(named, "h").select("doc_id", "class_id")
 
@@ -289,11 +317,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, that of its least doc_id, with all columns of ``docs``.
 
-    Of rows that repeat a doc_id one stays: the first by text.
+    Of rows that repeat a doc_id one stays. Rows whose doc_id is null go: nothing tells them apart.
     """
     kept = classes(docs, threshold).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    again = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    one = out.join(again, "doc_id", "left_anti")
-    rest = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(rest)
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
