@@ -44,7 +44,7 @@ def fiscal_year(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
             each.append(F.when(one != "", fiscal_ending(one)))
         else:
             each.append(fiscal_range(one, F.regexp_extract(low, FLAGS + pattern, 2)))
-    return F.coalesce(*each)
+    return F.when(low.rlike(FLAGS + r"\d{4}"), F.coalesce(*each))  # most texts name no year at all
 
 
 def sql_case(text: str, rules: Sequence[tuple[str, str]], default: str = "NULL") -> str:
