@@ -80,7 +80,8 @@ def convert(files: DataFrame, make_standard: Callable, make_ocr: Callable) -> tu
                         rows = [{"doc_slug": slug, "pos": i, **item, "error": None} for i, item in enumerate(converter(content))]
                     except Exception as e:
                         rows = [{"doc_slug": slug, "error": str(e)[: fixed.ERROR_CHARS]}]
-                    yield pd.DataFrame(rows, columns=["doc_slug", "pos", "label", "level", "page_number", "text", "columns", "rows", "error"])
+                    names = ["doc_slug", "pos", "label", "level", "page_number", "text", "columns", "rows", "error"]
+                    yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype="Int32" if n in ("pos", "level", "page_number") else object) for n in names})
 
         return run
 
