@@ -78,7 +78,7 @@ def _sums(batches):
             v = bundle(text)
             if v is not None:
                 sums[lang] = sums.get(lang, 0) + (v / np.linalg.norm(v)).astype(np.float64)
-    yield pd.DataFrame({"lang": list(sums), "sums": [x.tolist() for x in sums.values()]}, columns=["lang", "sums"])
+    yield pd.DataFrame({"lang": pd.Series(list(sums), dtype=object), "sums": pd.Series([x.tolist() for x in sums.values()], dtype=object)})
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import n_words, words
+from loomline.llm.common import materialise, n_words, words
 
 WEIGHTS = (3, 1, 2)
 
@@ -45,21 +45,23 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int
     return s.select("source", "source_size", target.alias("target"))
 
 
-def plan(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, max_epochs: int = 2) -> DataFrame:
+def plan(docs: DataFrame, sizes: DataFrame | None = None, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, max_epochs: int = 2) -> DataFrame:
     """``docs`` (doc_id, source, size and more) with source_size, target and taken.
 
     ``taken`` is how many of a row's words the mix takes, repeats counted. Null sources are one
     source, sorted last. Rows without words take none. Rows that repeat a doc_id are ordered by
     size after the shared hash, and equal ones share what is left to them in any order of the
-    same numbers.
+    same numbers. ``sizes`` may give the same doc_id, source and size without wider columns, so
+    that sums do not read texts again.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.withColumns({"__key": key, "__slice": F.substring(key, 1, 3)})
-    t = targets(docs, weights, share_pct, max_epochs)
+    keyed = {"__key": key, "__slice": F.substring(key, 1, 3)}
+    rows, narrow = docs.withColumns(keyed), (docs if sizes is None else sizes).withColumns(keyed)
+    t = targets(narrow, weights, share_pct, max_epochs)
     t = t.withColumn("wanted", F.floor(F.col("target") + 0.5))
     t = t.withColumn("whole", F.when(F.col("source_size") > 0, F.call_function("div", F.col("wanted"), F.col("source_size"))).otherwise(F.lit(0)))
     t = t.withColumn("rest", F.col("wanted") - F.col("whole") * F.col("source_size"))
-    slices = rows.groupBy("source", "__slice").agg(F.sum("size").alias("slice_size"))
+    slices = narrow.groupBy("source", "__slice").agg(F.sum("size").alias("slice_size"))
     s = slices.join(t.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     run = W.partitionBy("source").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     s = s.withColumn("before", F.coalesce(F.sum("slice_size").over(run), F.lit(0)))
@@ -77,7 +79,12 @@ def plan(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, sha
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every document; see :func:`plan`."""
-    return plan(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), seed)
+    return plan(sized(docs), seed=seed)
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size) as a written table: texts are read once, however often sizes are."""
+    return materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
 
 
 def _repeat(text: Column, size: Column, taken: Column) -> Column:
@@ -93,7 +100,7 @@ def repeat(docs: DataFrame, seed: int = 7) -> DataFrame:
     A partial copy's ``n_chars``, where there is such a column, is that of its own text.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    planned = plan(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row), seed)
+    planned = plan(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row), sized(docs), seed)
     out = planned.withColumn("__text", F.explode(_repeat(F.col("__row.text"), F.col("size"), F.col("taken"))))
     now = {"text": F.col("__text"), "n_chars": F.when(F.col("__text") == F.col("__row.text"), F.col("__row.n_chars")).otherwise(F.length("__text")).cast(dict(docs.dtypes).get("n_chars", "long"))} if "n_chars" in docs.columns else {"text": F.col("__text")}
     return out.select(*[now.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
