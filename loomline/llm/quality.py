@@ -177,4 +177,5 @@ def keep(docs: DataFrame, min_group: int = 200, spread: int = 4) -> DataFrame:
     limits = limits.withColumnRenamed("lang", "__t_lang").withColumnRenamed("source", "__t_source")
     both = with_features(docs, p).join(limits, F.col("lang").eqNullSafe(F.col("__t_lang")) & F.col("source").eqNullSafe(F.col("__t_source")), "left")
     failed = base_failed(F.col(f"{p}n_words"), F.col(f"{p}n_repeat_words"))
-    return both.filter(~failed & F.coalesce(verdict(p), F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # One condition, not two: half of it below the join would have the counts made once more.
+    return both.filter(F.when(failed, False).otherwise(F.coalesce(verdict(p), F.lit(True)))).select(*[F.col(f"`{c}`") for c in docs.columns])
