@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 from functools import cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,9 @@ from loomline.llm.common import arrow_rows
 from loomline.llm.pretokens import BYTE_LEVEL, Splitter, from_mapped, pieces, to_mapped
 from loomline.llm.token_counts import groups
 
-MAX_STORE = 200_000
+#: Pre-tokens that a worker keeps, in two halves.
+MAX_STORE = 300_000
+_IDS, _N, _DATA = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
 class FragmentEncoder:
@@ -43,43 +46,60 @@ class FragmentEncoder:
         self.certain = ~joined
         self.merger = Tokenizer(library.model)
         self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.digits = {i: str(i) for i in self.bytes_of}
         self.store: dict[str, tuple[str, int, bytes]] = {}
+        self.old: dict[str, tuple[str, int, bytes]] = {}
 
-    def cut(self, tokens: list[str]) -> list[list[bytes]]:
-        """Fragments of each pre-token."""
+    def _spans(self, tokens: list[str]) -> tuple[bytes, list[int], list[int]]:
+        """The bytes of all pre-tokens, the end of each fragment in them, and each pre-token's last fragment."""
         raw = [t.encode("utf-8") for t in tokens]
         data = b"".join(raw)
         b = np.frombuffer(data, np.uint8).astype(np.int64)
         ends = np.cumsum([len(x) for x in raw])
         inner = np.flatnonzero(self.certain[b[:-1] * 256 + b[1:]]) + 1 if len(b) > 1 else np.zeros(0, np.int64)
         places = np.union1d(inner, ends)
-        out, start = [], 0
-        upto = np.searchsorted(places, ends)
-        k = 0
-        places = places.tolist()
-        for last in upto.tolist():
-            own = []
-            while k <= last:
-                own.append(data[start : places[k]])
-                start = places[k]
-                k += 1
-            out.append(own)
-        return out
+        return data, places.tolist(), np.searchsorted(places, ends).tolist()
 
-    def learn(self, new: set[str]) -> None:
-        tokens = list(new)
-        cut = self.cut(tokens)
-        fragments: dict[str, list[int]] = {}
-        mapped = [[to_mapped(x) for x in own] for own in cut]
-        distinct = list({x for own in mapped for x in own})
-        for part, ids, starts in pieces(self.merger, distinct):
+    def cut(self, tokens: list[str]) -> list[list[bytes]]:
+        """Fragments of each pre-token."""
+        data, places, lasts = self._spans(tokens)
+        own = [data[p:q] for p, q in zip([0, *places], places)]
+        return [own[p:q] for p, q in zip([0, *[k + 1 for k in lasts]], [k + 1 for k in lasts])]
+
+    def learn(self, tokens: list[str]) -> None:
+        """Puts pre-tokens into the store; each distinct fragment meets the merge rules once."""
+        data, places, lasts = self._spans(tokens)
+        chars = to_mapped(data)
+        own = [chars[p:q] for p, q in zip([0, *places], places)]
+        known: dict[str, tuple[str, int, bytes]] = {}
+        for part, ids, starts in pieces(self.merger, list(dict.fromkeys(own))):
+            texts, data_of = [self.digits[i] for i in ids], [self.bytes_of[i] for i in ids]
             at = starts.tolist()
-            for i, x in enumerate(part):
-                fragments[x] = ids[at[i] : at[i + 1]]
-        byte_of = self.bytes_of
-        for t, own in zip(tokens, mapped):
-            ids = fragments[own[0]] if len(own) == 1 else [i for x in own for i in fragments[x]]
-            self.store[t] = (",".join(map(str, ids)), len(ids), b"".join([byte_of[i] for i in ids]))
+            for x, p, q in zip(part, at, at[1:]):
+                known[x] = (",".join(texts[p:q]), q - p, b"".join(data_of[p:q]))
+        first = 0
+        for t, last in zip(tokens, lasts):
+            if first == last:
+                self.store[t] = known[own[first]]
+            else:
+                texts, ns, parts = zip(*[known[x] for x in own[first : last + 1]])
+                self.store[t] = (",".join(texts), sum(ns), b"".join(parts))
+            first = last + 1
+
+    def need(self, tokens: set) -> None:
+        """Has the store hold ``tokens``. A full store becomes the old one, which what is still in use comes back from."""
+        if len(self.store) + len(tokens.difference(self.store)) > MAX_STORE // 2:
+            self.store, self.old = {}, self.store
+        new = tokens.difference(self.store)
+        back = new.intersection(self.old)
+        self.store.update((x, self.old[x]) for x in back)
+        new -= back
+        marks = {x for x in new if isinstance(x, tuple)}
+        for m in marks:
+            i = self.specials[m[0]]
+            self.store[m] = (str(i), 1, self.bytes_of[i])
+        if len(new) > len(marks):
+            self.learn(list(new - marks))
 
     def _tokens(self, text: str) -> list:
         """Pre-tokens as strings, and special tokens as tuples of one."""
@@ -94,21 +114,11 @@ class FragmentEncoder:
     def run(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids in decimal joined by commas, decoded UTF-8) of each text."""
         lists = [self._tokens(t) for t in texts]
-        new = {x for tokens in lists for x in tokens if x not in self.store}
-        if new:
-            if len(self.store) + len(new) > MAX_STORE:
-                self.store = {}
-                new = set().union(*lists)
-            marks = {x for x in new if isinstance(x, tuple)}
-            self.learn(new - marks) if new - marks else None
-            for m in marks:
-                i = self.specials[m[0]]
-                self.store[m] = (str(i), 1, self.bytes_of[i])
-        out, store = [], self.store
+        self.need(set().union(*lists))
+        out, of = [], self.store.__getitem__
         for tokens in lists:
-            rows = [store[t] for t in tokens]
-            ids, ns, data = zip(*rows) if rows else ((), (), ())
-            out.append((sum(ns), ",".join(ids), b"".join(data).decode("utf-8", "replace").encode("utf-8")))
+            rows = list(map(of, tokens))
+            out.append((sum(map(_N, rows)), ",".join(map(_IDS, rows)), b"".join(map(_DATA, rows)).decode("utf-8", "replace").encode("utf-8")))
         return out
 
     def encode(self, text: str) -> list[int]:
