@@ -170,7 +170,8 @@ def judge(docs: DataFrame, min_group: int = 200, spread: int = 4) -> DataFrame:
 def keep(docs: DataFrame, min_group: int = 200, spread: int = 4) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; see :func:`judge`.
 
-    The counts are made twice, for the sketches and for the verdicts, so no text is shuffled.
+    The counts are made twice, for the sketches and for the verdicts. The join with the thresholds
+    may shuffle the texts, as Spark does not know their size beforehand.
     """
     p = "__q_"
     limits = thresholds(sketches(with_features(docs.select("text", "lang", "source"), p), p), min_group, spread)
