@@ -7,12 +7,12 @@ has a slot; a slot's value is its earliest point, so two documents agree in a sl
 probability equal to their weighted Jaccard similarity. Only points before a time by which all
 slots are full are made: about one per shingle and m ln m a document, not m per shingle.
 
-Exact copies are one node. Nodes meet in buckets of bands. Within a bucket no square of pairs is
-made: every node is compared with the bucket's most central node (that with the largest buckets
-altogether). Nodes that are not connected by that are also compared with a leader drawn by hash,
-buckets of up to ``SMALL`` nodes have all their pairs, and nodes of larger ones meet again in
-finer buckets of two bands, treated alike. Pairs pass an estimate by signatures, then the exact
-weighted Jaccard of the texts. Classes are the connected components of what is left.
+Exact copies are one node. Nodes meet in buckets of bands. Every node is compared with its
+bucket's most central node (that with the largest buckets altogether), which connects a group of
+copies without a square of pairs. Nodes of one bucket that are still in different components are
+then all compared by signatures, in blocks of bounded size, so that no link between nodes that
+share a band is lost to the short cut. Pairs pass that estimate, then the exact weighted Jaccard
+of the texts. Classes are the connected components of what is left.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from loomline.llm.common import arrow_rows, materialise
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-SMALL = 6
+#: About as many nodes of a bucket are compared with as many others at a time.
+BLOCK = 128
 #: Pairs whose signatures agree in fewer slots are below the threshold by more than 4.5 standard errors.
 ESTIMATE = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5
 
@@ -217,26 +218,89 @@ def _buckets(keys: DataFrame) -> DataFrame:
     return keys.join(shared, "key")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _star(rows: DataFrame) -> DataFrame:
+    """Pairs of each bucket's leader, the node of the largest weight, and its other nodes."""
+    led = rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("l")).select(F.col("key").alias("k"), F.col("l.node").alias("other"))
+    both = rows.join(led, (F.col("key") == F.col("k")) & (F.col("node") != F.col("other")))
+    return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _star(rows: DataFrame, leader: Column) -> DataFrame:
-    """Pairs of each bucket's leader, the node with the largest ``leader``, and its nodes of other labels."""
-    led = rows.groupBy("key").agg(F.max(F.struct(leader.alias("by"), F.col("node"), F.col("label"))).alias("l")).select(F.col("key").alias("k"), F.col("l.node").alias("other"), F.col("l.label").alias("other_label"))
-    return rows.join(led, (F.col("key") == F.col("k")) & (F.col("label") != F.col("other_label"))).select("node", "other")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(key, i, j, node, label, side) of rows (key, node, label): every pair of blocks of a bucket that holds two labels.
 
-
-def _all_of_small(rows: DataFrame) -> DataFrame:
-    few = rows.filter(F.col("n") <= SMALL).select("key", "node", "label")
-    other = few.select(F.col("key").alias("k"), F.col("node").alias("other"), F.col("label").alias("other_label"))
-    return few.join(other, (F.col("key") == F.col("k")) & (F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label"))).select("node", "other")
-
-
-def _fine(nodes: DataFrame, hot: DataFrame) -> DataFrame:
-    """Buckets (key, node, n) of two bands each, for the nodes of ``hot``."""
-    keys = F.array(*[F.xxhash64(F.lit(step), F.lit(i), F.get("keys", F.lit(i)), F.get("keys", F.lit((i + step) % BANDS))) for step in (1, 5) for i in range(BANDS)])
-    return _buckets(nodes.join(hot, "node").select("node", F.explode(keys).alias("key")))
+    The nodes of a bucket's most frequent label have blocks of their own, which never meet each
+    other; so the work of a bucket is its other nodes times all of them.
+    """
+    each = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    top = each.groupBy("key").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label")).alias("top")).filter("labels > 1")
+    top = top.select(F.col("key").alias("k"), "n", F.col("top.label").alias("most"), F.col("top.m").alias("m"))
+    full = rows.join(top, F.col("key") == F.col("k")).drop("k")
+    major = F.col("label") == F.col("most")
+    rest, all_of = F.ceil((F.col("n") - F.col("m")) / BLOCK), F.ceil(F.col("m") / BLOCK)
+    draw = F.xxhash64("node")
+    own = F.when(major, rest + F.pmod(draw, all_of)).otherwise(F.pmod(draw, rest))
+    full = full.withColumns({"own": own, "with": F.sequence(F.lit(0).cast("long"), F.when(major, rest).otherwise(rest + all_of) - 1)})
+    met = full.select("key", "node", "label", "n", "own", F.explode("with").alias("with"))
+    return met.select("key", "node", "label", "n", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") <= F.col("with")).alias("left"), (F.col("own") >= F.col("with")).alias("right"))
+
+
+def _near_in_blocks(batches):
+    """(a, b, key, i, j, n) of pairs of different labels, one on either side, whose signatures allow the threshold."""
+    for frame in batches:
+        found = []
+        for key, i, j, n, members, least in frame[["key", "i", "j", "n", "members", "least"]].itertuples(index=False):
+            node = np.array([x["node"] for x in members], np.int64)
+            label = np.array([x["label"] for x in members], np.int64)
+            sig = np.frombuffer(b"".join(x["sig"] for x in members), np.uint8).reshape(-1, SLOTS)
+            left = np.flatnonzero([x["left"] for x in members])
+            right = np.flatnonzero([x["right"] for x in members])
+            for x in left:
+                y = right[(label[right] != label[x]) & ((node[right] > node[x]) if i == j else True)]
+                y = y[(sig[y] == sig[x]).sum(axis=1) >= least * SLOTS]
+                found += [(min(node[x], o), max(node[x], o), key, i, j, n) for o in node[y]]
+        yield pd.DataFrame(found, columns=["a", "b", "key", "i", "j", "n"])
+
+
+def _linked_in_groups(batches):
+    """(a, b) of the pairs of each group whose texts reach the threshold; a text's shingles are made once a group."""
+    for frame in batches:
+        found = []
+        for pairs, texts, least in frame[["pairs", "texts", "least"]].itertuples(index=False):
+            at = {x["node"]: k for k, x in enumerate(texts)}
+            doc, value, count = shingles([x["text"] for x in texts])
+            cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+            each = [(value[p:q], count[p:q]) for p, q in zip(cut, cut[1:])]
+            size = [int(c.sum()) for _, c in each]
+            for x in pairs:
+                p, q = at[x["a"]], at[x["b"]]
+                if min(size[p], size[q]) >= least * max(size[p], size[q]) and similarity(each[p], each[q]) >= least:
+                    found.append((x["a"], x["b"]))
+        yield pd.DataFrame(found, columns=["a", "b"])
+
+
+def _remaining(rows: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """All links (a, b) between nodes of different labels that share a bucket.
+
+    Signatures are compared block by block, so only pairs that pass are ever rows. Each pair is
+    then verified in the largest bucket it was found in, to which a text goes once per pair of
+    blocks, however many pairs it is in.
+    """
+    spark = rows.sparkSession
+    met = _blocks(rows).join(sigs, "node")
+    met = met.groupBy("key", "i", "j").agg(F.first("n").alias("n"), F.collect_list(F.struct("node", "label", "sig", "left", "right")).alias("members"))
+    met = met.withColumn("least", F.lit(ESTIMATE - (THRESHOLD - threshold)))
+    arrow_rows(spark, 64)
+    near = met.mapInPandas(_near_in_blocks, "a long, b long, key long, i long, j long, n long")
+    home = near.groupBy("a", "b").agg(F.max(F.struct("n", "key", "i", "j")).alias("h")).select("a", "b", F.xxhash64("h.key", "h.i", "h.j").alias("g"))
+    home = materialise(home, "near")
+    need = home.select("g", F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.hint("merge"), "node")
+    held = need.groupBy("g").agg(F.collect_list(F.struct("node", "text")).alias("texts"))
+    pairs = home.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    both = pairs.hint("merge").join(held, "g").withColumn("least", F.lit(float(threshold)))
+    arrow_rows(spark, 4)
+    found = materialise(both.mapInPandas(_linked_in_groups, "a long, b long"), "links")
+    arrow_rows(spark)
+    return found
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -251,30 +315,17 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Verified pairs (a, b) that connect every class of ``nodes`` (node, keys, sig).
 
     First each bucket's most central node is compared with the rest; what that connects needs no
-    further pairs, so the later rounds, with drawn leaders, small buckets and finer ones, only
-    compare nodes of different components.
+    further pairs. Then all nodes of a bucket that are still in different components are compared.
     """
     coarse = materialise(_buckets(nodes.select("node", F.explode("keys").alias("key"))), "buckets")
-    weight = coarse.groupBy("node").agg(F.sum("n").alias("weight"), F.max("n").alias("most"))
-    weight = materialise(weight, "weights")
+    weight = materialise(coarse.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     # A merge join at every size: what is compared may be a fixed share of all documents.
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(weight.select("node").hint("merge"), "node", "left_semi")
     texts = materialise(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
     sigs = nodes.select("node", "sig")
-    rows = coarse.join(weight.select("node", "weight"), "node").withColumn("label", F.col("node"))
-    central = materialise(_verified(_ordered(_star(rows, F.col("weight"))), sigs, texts, threshold), "links")
-    labels = components(central)
-
-    def labelled(bucket: DataFrame) -> DataFrame:
-        return bucket.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    draw = F.xxhash64("key", "node")
-    rows = materialise(labelled(coarse), "buckets")
-    more = _star(rows, draw).unionByName(_all_of_small(rows))
-    hot = weight.filter(F.col("most") > SMALL)
-    fine = materialise(labelled(_fine(nodes.select("node", "keys"), hot.select("node", "weight"))), "buckets")
-    more = more.unionByName(_star(fine, draw)).unionByName(_all_of_small(fine))
-    return central.unionByName(materialise(_verified(_ordered(more), sigs, texts, threshold), "links"))
+    central = materialise(_verified(_star(coarse.join(weight, "node")), sigs, texts, threshold), "links")
+    labelled = coarse.select("key", "node").join(components(central), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return central.unionByName(_remaining(materialise(labelled, "buckets"), sigs, texts, threshold))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -166,6 +166,21 @@ def test_near_duplicates(spark):
     assert got == model_classes(texts)
 
 
+def test_near_duplicates_about_the_threshold(spark):
+    """A group whose pairs lie on either side of the threshold: no star finds all of its links."""
+    rng = random.Random(4)
+    base = [f"v{rng.randrange(4000)}" for _ in range(150)]
+    texts = {}
+    for i in range(320):
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+        texts[i] = " ".join(copy)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(df).collect()}
+    assert got == model_classes(texts)
+
+
 def test_signatures_estimate_the_weighted_jaccard():
     rng = random.Random(8)
     a = [f"t{rng.randrange(60)}" for _ in range(400)]
