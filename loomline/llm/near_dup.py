@@ -10,9 +10,9 @@ slots are full are made: about one per shingle and m ln m a document, not m per
 Exact copies are one node. Nodes meet in buckets of bands. Every node is compared with its
 bucket's most central node (that with the largest buckets altogether), which connects a group of
 copies without a square of pairs. Nodes of one bucket that are still in different components are
-then all compared by signatures, in blocks of bounded size, so that no link between nodes that
-share a band is lost to the short cut. Pairs pass that estimate, then the exact weighted Jaccard
-of the texts. Classes are the connected components of what is left.
+then all compared where blocks of bounded size meet, so that nothing that shares a band is lost
+to the short cut; such pairs never are rows. Pairs pass an estimate by signatures, then the exact
+weighted Jaccard of the texts. Classes are the connected components of what is left.
 """
 
 from __future__ import annotations
@@ -240,65 +240,97 @@ def _blocks(rows: DataFrame) -> DataFrame:
     draw = F.xxhash64("node")
     own = F.when(major, rest + F.pmod(draw, all_of)).otherwise(F.pmod(draw, rest))
     full = full.withColumns({"own": own, "with": F.sequence(F.lit(0).cast("long"), F.when(major, rest).otherwise(rest + all_of) - 1)})
-    met = full.select("key", "node", "label", "n", "own", F.explode("with").alias("with"))
-    return met.select("key", "node", "label", "n", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") <= F.col("with")).alias("left"), (F.col("own") >= F.col("with")).alias("right"))
-
-
-def _near_in_blocks(batches):
-    """(a, b, key, i, j, n) of pairs of different labels, one on either side, whose signatures allow the threshold."""
-    for frame in batches:
-        found = []
-        for key, i, j, n, members, least in frame[["key", "i", "j", "n", "members", "least"]].itertuples(index=False):
-            node = np.array([x["node"] for x in members], np.int64)
-            label = np.array([x["label"] for x in members], np.int64)
-            sig = np.frombuffer(b"".join(x["sig"] for x in members), np.uint8).reshape(-1, SLOTS)
-            left = np.flatnonzero([x["left"] for x in members])
-            right = np.flatnonzero([x["right"] for x in members])
-            for x in left:
-                y = right[(label[right] != label[x]) & ((node[right] > node[x]) if i == j else True)]
-                y = y[(sig[y] == sig[x]).sum(axis=1) >= least * SLOTS]
-                found += [(min(node[x], o), max(node[x], o), key, i, j, n) for o in node[y]]
-        yield pd.DataFrame(found, columns=["a", "b", "key", "i", "j", "n"])
-
-
-def _linked_in_groups(batches):
-    """(a, b) of the pairs of each group whose texts reach the threshold; a text's shingles are made once a group."""
-    for frame in batches:
-        found = []
-        for pairs, texts, least in frame[["pairs", "texts", "least"]].itertuples(index=False):
-            at = {x["node"]: k for k, x in enumerate(texts)}
-            doc, value, count = shingles([x["text"] for x in texts])
-            cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-            each = [(value[p:q], count[p:q]) for p, q in zip(cut, cut[1:])]
-            size = [int(c.sum()) for _, c in each]
-            for x in pairs:
-                p, q = at[x["a"]], at[x["b"]]
-                if min(size[p], size[q]) >= least * max(size[p], size[q]) and similarity(each[p], each[q]) >= least:
-                    found.append((x["a"], x["b"]))
-        yield pd.DataFrame(found, columns=["a", "b"])
-
-
-def _remaining(rows: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """All links (a, b) between nodes of different labels that share a bucket.
-
-    Signatures are compared block by block, so only pairs that pass are ever rows. Each pair is
-    then verified in the largest bucket it was found in, to which a text goes once per pair of
-    blocks, however many pairs it is in.
+    met = full.select("key", "node", "label", "own", F.explode("with").alias("with"))
+    return met.select("key", "node", "label", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") <= F.col("with")).alias("left"), (F.col("own") >= F.col("with")).alias("right"))
+
+
+def _pairs(members: list, key: int, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of a pair of blocks that are to be verified there, the likeliest first.
+
+    They have different labels, one node on either side (``same``: both sides are one block), this
+    bucket as that of their first common band, and signatures that allow the threshold.
+    """
+    label = np.array([x["label"] for x in members], np.int64)
+    keys = np.array([x["keys"] for x in members], np.int64)
+    sig = np.frombuffer(b"".join(x["sig"] for x in members), np.uint8).reshape(-1, SLOTS)
+    left = np.flatnonzero([x["left"] for x in members])
+    right = np.flatnonzero([x["right"] for x in members])
+    xs, ys, agree = [], [], []
+    for x in left:
+        y = right[(label[right] != label[x]) & ((right > x) if same else True)]
+        equal = (sig[y] == sig[x]).sum(axis=1)
+        y, equal = y[equal >= least * SLOTS], equal[equal >= least * SLOTS]
+        first = (keys[y] == keys[x]).argmax(axis=1)
+        here = keys[x][first] == key
+        ys.append(y[here])
+        xs.append(np.full(len(ys[-1]), x))
+        agree.append(equal[here])
+    if not xs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(-np.concatenate(agree), kind="stable")
+    return np.concatenate(xs)[order], np.concatenate(ys)[order]
+
+
+def _nodes_with_pairs(least: float):
+    """(key, i, j, node, label, left, right) of the nodes that some pair of their blocks needs."""
+
+    def run(batches):
+        for frame in batches:
+            found = []
+            for key, i, j, members in frame[["key", "i", "j", "members"]].itertuples(index=False):
+                for p in np.unique(np.concatenate(_pairs(members, key, i == j, least))):
+                    x = members[p]
+                    found.append((key, i, j, x["node"], x["label"], x["left"], x["right"]))
+            yield pd.DataFrame(found, columns=["key", "i", "j", "node", "label", "left", "right"])
+
+    return run
+
+
+def _linked_in_blocks(least: float, threshold: float):
+    """(a, b) of links that connect the labels of each pair of blocks; a text's shingles are made once there."""
+
+    def run(batches):
+        for frame in batches:
+            found = []
+            for key, i, j, members in frame[["key", "i", "j", "members"]].itertuples(index=False):
+                doc, value, count = shingles([x["text"] for x in members])
+                cut = np.searchsorted(doc, np.arange(len(members) + 1))
+                each = [(value[p:q], count[p:q]) for p, q in zip(cut, cut[1:])]
+                size = [int(c.sum()) for _, c in each]
+                root: dict = {}
+
+                def find(v):
+                    while root.get(v, v) != v:
+                        v = root[v]
+                    return v
+
+                for p, q in zip(*_pairs(members, key, i == j, least)):
+                    u, v = find(members[p]["label"]), find(members[q]["label"])
+                    if u == v or min(size[p], size[q]) < threshold * max(size[p], size[q]):
+                        continue
+                    if similarity(each[p], each[q]) >= threshold:
+                        root[u] = v
+                        found.append((members[p]["node"], members[q]["node"]))
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
+def _remaining(rows: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that connect all nodes of different labels that share a bucket and reach the threshold.
+
+    Blocks meet twice: with signatures, to find the nodes that some pair needs, then with the texts
+    of those. Pairs are compared where the blocks meet and never are rows.
     """
-    spark = rows.sparkSession
-    met = _blocks(rows).join(sigs, "node")
-    met = met.groupBy("key", "i", "j").agg(F.first("n").alias("n"), F.collect_list(F.struct("node", "label", "sig", "left", "right")).alias("members"))
-    met = met.withColumn("least", F.lit(ESTIMATE - (THRESHOLD - threshold)))
+    spark, least = rows.sparkSession, ESTIMATE - (THRESHOLD - threshold)
+    at = ["key", "i", "j"]
+    met = _blocks(rows).join(nodes, "node").groupBy(*at).agg(F.collect_list(F.struct("node", "label", "left", "right", "keys", "sig")).alias("members"))
     arrow_rows(spark, 64)
-    near = met.mapInPandas(_near_in_blocks, "a long, b long, key long, i long, j long, n long")
-    home = near.groupBy("a", "b").agg(F.max(F.struct("n", "key", "i", "j")).alias("h")).select("a", "b", F.xxhash64("h.key", "h.i", "h.j").alias("g"))
-    home = materialise(home, "near")
-    need = home.select("g", F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.hint("merge"), "node")
-    held = need.groupBy("g").agg(F.collect_list(F.struct("node", "text")).alias("texts"))
-    pairs = home.groupBy("g").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    both = pairs.hint("merge").join(held, "g").withColumn("least", F.lit(float(threshold)))
+    need = materialise(met.mapInPandas(_nodes_with_pairs(least), "key long, i long, j long, node long, label long, left boolean, right boolean"), "near")
+    full = need.join(nodes, "node").join(texts.hint("merge"), "node")
+    full = full.groupBy(*at).agg(F.collect_list(F.struct("node", "label", "left", "right", "keys", "sig", "text")).alias("members"))
     arrow_rows(spark, 4)
-    found = materialise(both.mapInPandas(_linked_in_groups, "a long, b long"), "links")
+    found = materialise(full.mapInPandas(_linked_in_blocks(least, threshold), "a long, b long"), "links")
     arrow_rows(spark)
     return found
 
@@ -325,7 +357,7 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     sigs = nodes.select("node", "sig")
     central = materialise(_verified(_star(coarse.join(weight, "node")), sigs, texts, threshold), "links")
     labelled = coarse.select("key", "node").join(components(central), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return central.unionByName(_remaining(materialise(labelled, "buckets"), sigs, texts, threshold))
+    return central.unionByName(_remaining(materialise(labelled, "buckets"), nodes, texts, threshold))
 
 
 def components(edges: DataFrame) -> DataFrame:
