@@ -7,7 +7,7 @@ has a slot; a slot's value is its earliest point, so two documents agree in a sl
 probability equal to their weighted Jaccard similarity. Only points before a time by which all
 slots are full are made: about one per shingle and m ln m a document, not m per shingle.
 
-Exact copies are one node. Nodes meet in buckets of bands. Every node is compared with its
+Exact copies are one node, named by a hash of their text; ids only name the classes. Nodes meet in buckets of bands. Every node is compared with its
 bucket's most central node (that with the largest buckets altogether), which connects a group of
 copies without a square of pairs. Nodes of one bucket that are still in different components are
 then all compared where blocks of bounded size meet, so that nothing that shares a band is lost
@@ -212,6 +212,11 @@ def agreement(left: Column, right: Column) -> Column:
     return of(left, right)
 
 
+def _node(text: Column) -> Column:
+    """The node of a text: 64 bits of its hash; null counts as the empty text."""
+    return F.xxhash64(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def _buckets(keys: DataFrame) -> DataFrame:
     """(key, node, n) of the keys that two nodes or more share."""
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -351,9 +356,10 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """
     coarse = materialise(_buckets(nodes.select("node", F.explode("keys").alias("key"))), "buckets")
     weight = materialise(coarse.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    # A merge join at every size: what is compared may be a fixed share of all documents.
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(weight.select("node").hint("merge"), "node", "left_semi")
-    texts = materialise(texts.groupBy("node").agg(F.max("text").alias("text")), "texts")
+    # Copies are dropped before the texts move; a semi join would be pushed below that. A merge join
+    # at every size: what is compared may be a fixed share of all documents.
+    texts = docs.select(_node(F.col("text")).alias("node"), "text").groupBy("node").agg(F.max("text").alias("text"))
+    texts = materialise(texts.join(weight.select("node").hint("merge"), "node"), "texts")
     sigs = nodes.select("node", "sig")
     central = materialise(_verified(_star(coarse.join(weight, "node")), sigs, texts, threshold), "links")
     labelled = coarse.select("key", "node").join(components(central), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -378,23 +384,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of every row, and (node, doc_id, label) of every text: its least id and its class."""
+    arrow_rows(docs.sparkSession)
+    signed = docs.select("doc_id", _node(F.col("text")).alias("node"), _signed(F.coalesce("text", F.lit(""))).alias("s"))
+    signed = materialise(signed.select("doc_id", "node", "s.keys", "s.sig"), "signed")
+    nodes = materialise(signed.filter(F.col("keys").isNotNull()).select("node", "keys", "sig").dropDuplicates(["node"]), "nodes")
+    label = components(links(docs, nodes, threshold))
+    texts = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return signed.select("doc_id", "node"), texts.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of every row: the least doc_id of its class of near-duplicates.
 
     Equal texts are one class; null counts as the empty text. Texts of fewer than five words are
-    near only to texts of the same words. Rows that share a doc_id share its class; rows whose
-    doc_id is null get the class of their text, null if no row with an id has it. An empty table
-    gives none; other columns are ignored.
+    near only to texts of the same words. Every row has the class of its own text, also where rows
+    share a doc_id. Rows whose doc_id is null are compared like others; their class is null only
+    if no row of it has an id. An empty table gives none; other columns are ignored.
     """
-    arrow_rows(docs.sparkSession)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    signed = materialise(docs.select("doc_id", F.md5(text).alias("h"), _signed(text).alias("s")).select("doc_id", "h", "s.keys", "s.sig"), "signed")
-    first = signed.groupBy("h").agg(F.min("doc_id").alias("node"))
-    nodes = signed.join(first, "h").filter((F.col("doc_id") == F.col("node")) & F.col("keys").isNotNull()).select("node", "keys", "sig").dropDuplicates(["node"])
-    nodes = materialise(nodes, "nodes")
-    label = components(links(docs, nodes, threshold))
-    named = first.join(label, "node", "left").select("h", F.coalesce("label", "node").alias("class_id"))
-    return signed.select("doc_id", "h").join(named, "h").select("doc_id", "class_id")
+    rows, texts = _labelled(docs, threshold)
+    texts = materialise(texts, "classes")
+    least = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(texts.join(least, "label").select("node", "class_id"), "node").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -254,3 +254,17 @@ def test_top_k_with_many_blocks(spark):
         s = x @ x[q]
         want = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:5]
         assert got[q] == [(i, int(s[i])) for i in want]
+
+
+def near_texts():
+    """A text, a near copy of it and another text, of words of their own."""
+    a = [f"k{i}" for i in range(100)]
+    return " ".join(a), " ".join([*a[:99], "other"]), " ".join(f"z{i}" for i in range(100))
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    a, near_a, b = near_texts()
+    c, near_c = (t.replace("k", "c") for t in (a, near_a))
+    rows = [(None, a), (5, near_a), (7, b), (7, c), (9, near_c), (None, "alone " * 9), (None, b)]
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, class_id={k})" for i, k in [(None, 5), (5, 5), (7, 7), (7, 7), (9, 7), (None, None), (None, 7)])
