@@ -410,9 +410,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, that of its least doc_id, with all columns of ``docs``.
+    """One row of each class, with all columns of ``docs``: that of its least doc_id, null last, then of its least text hash.
 
-    Of rows that repeat a doc_id one stays. Rows whose doc_id is null go: nothing tells them apart.
+    Classes are of texts, so no text is lost to a null or repeated doc_id. Of rows that repeat
+    both doc_id and text one stays.
     """
-    kept = classes(docs, threshold).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = lambda node: F.concat_ws(":", node.cast("string"), F.col("doc_id").cast("string")).alias("_key")
+    _, texts = _labelled(docs, threshold)
+    first = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("f"))
+    kept = first.select("f.doc_id", "f.node").select(key(F.col("node")))
+    return docs.select("*", key(_node(F.col("text")))).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

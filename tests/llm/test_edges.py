@@ -53,3 +53,12 @@ def test_vectors(spark):
     assert [g[1:] for g in got if g[0] == 100] == [(1, 0, -73728), (2, 1, -73728)]
     assert {g[0] for g in got} == {0, 100} and all(g[0] != g[2] for g in got)
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_keep_one_loses_no_class_to_its_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, a + " end"), (3, c), (3, d), (3, c), (8, d), (None, c)]
+    got = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    texts = [r["text"] for r in got]
+    assert len(texts) == 4 and {b, c, d} < set(texts) and (a in texts or a + " end" in texts)
+    assert all(r["doc_id"] == 3 for r in got if r["text"] in (c, d))
