@@ -268,3 +268,14 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     rows = [(None, a), (5, near_a), (7, b), (7, c), (9, near_c), (None, "alone " * 9), (None, b)]
     got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, class_id={k})" for i, k in [(None, 5), (5, 5), (7, 7), (7, 7), (9, 7), (None, None), (None, 7)])
+
+
+def test_lm_probabilities_of_all_words_sum_to_one(spark, monkeypatch):
+    """One-word documents: their distinct words share at most the whole probability, the rarer the less."""
+    texts = [w for i in range(300) for w in [f"w{i}ab"] * (1 + i % 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (lm.LEXICON, 80):
+        monkeypatch.setattr(lm, "LEXICON", most)
+        p = {texts[r["doc_id"]]: np.exp(r["pll"]) for r in lm.score(df).collect()}
+        assert len(p) == 300 and 0.9 < sum(p.values()) < 1.0001
+        assert abs(p["w2ab"] / p["w0ab"] - 3) < 1e-6
