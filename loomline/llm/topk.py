@@ -104,11 +104,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, block: int = BLOCK,
 
     Ties go to the smaller vec_id. Vectors that are null or hold a null or non-finite component
     take no part; vectors of other lengths than a query's are no candidates of it. Rows that
-    repeat a vec_id are candidates each, but never of a query with that id. Null ids take no
-    part. An empty table gives no rows; other columns are ignored.
+    repeat a vec_id are candidates each, but never of a query with that id; as queries each is
+    asked, and the k best pairs of the id are kept. Null ids take no part. An empty table gives no rows; other columns are ignored.
     """
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", integers(F.col("embedding")).alias("v"))
-    asked = rows.filter(queries).dropDuplicates(["vec_id"])
+    asked = rows.filter(queries)
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(queries).alias("q")).first()
     chunks = max(1, -(-sizes["q"] // chunk))
     blocks = _packed(rows, block, sizes["n"], ("ids", "x")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).drop("part")

@@ -279,3 +279,14 @@ def test_lm_probabilities_of_all_words_sum_to_one(spark, monkeypatch):
         p = {texts[r["doc_id"]]: np.exp(r["pll"]) for r in lm.score(df).collect()}
         assert len(p) == 300 and 0.9 < sum(p.values()) < 1.0001
         assert abs(p["w2ab"] / p["w0ab"] - 3) < 1e-6
+
+
+def test_top_k_asks_every_row_of_a_repeated_id(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    v = [(int(i), np.round(rng.normal(size=4), 1).tolist()) for i in [*range(60), 0, 50, 50, 7]]
+    spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries.op9_topk(spark, str(tmp_path)).select("query_id", "rank", "score").collect()
+    want = con.execute(f"SELECT query_id, rank, score FROM ({queries.oracle_sql()['op9_topk']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
