@@ -20,9 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from loomline.llm.common import arrow_rows
+from loomline.llm.common import groups
 from loomline.llm.pretokens import BYTE_LEVEL, Splitter, from_mapped, pieces, to_mapped
-from loomline.llm.token_counts import groups
 
 #: Pre-tokens that a worker keeps, in two halves.
 MAX_STORE = 300_000
@@ -173,11 +172,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts give no ids and an empty text back; repeated rows are encoded each; an
     empty table gives none; other columns are ignored.
     """
-    arrow_rows(docs.sparkSession)
     return docs.select("doc_id", codes(F.col("text"), path).alias("c")).select("doc_id", "c.*")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; see :func:`encode`."""
-    arrow_rows(docs.sparkSession)
     return docs.select("doc_id", digests(F.col("text"), path).alias("c")).select("doc_id", "c.*")

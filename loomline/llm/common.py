@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 #: ASCII white space as the word contracts define it: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 WS_RE = r"[\x20\x09-\x0D]+"
+#: Tables of at most as many (narrow) rows are broadcast; larger ones meet in a shuffled join.
+BROADCAST_ROWS = 50_000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_left: dict[str, SparkSession] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,27 +27,99 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary one is set.
+    Where the session names none, a temporary one serves a master that runs in this process; on
+    a cluster its absence is an error, for executors could not see a folder of the driver.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomline-")
+        _left[found] = spark
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back, which cuts its lineage."""
+    """Writes ``df`` as a table in the shared folder and reads it back, which cuts its lineage.
+
+    :func:`discard` removes the table when it is of no more use; else it goes when Python ends.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    _left[path] = spark
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _left.pop(path, None)
+    if spark is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`materialise` wrote and nothing reads any more."""
+    for t in tables:
+        _delete(t._table)
+
 
+@atexit.register
+def _discard_all() -> None:
+    for path in list(_left):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(path)
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch, and with them the memory of a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows for the actions within; then the session's own setting again."""
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW, before)
+
+
+def if_small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` to be broadcast if it has at most ``most`` rows, which are counted; else as it is."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of ``counts`` (n and more) with the largest ``n``, at most ``most``; a tie at the end is left out whole.
+
+    The least ``n`` comes from a histogram of a few thousand bins, so no table is sorted for it.
+    """
+    shift = F.greatest(F.length(F.bin("n")) - 8, F.lit(0))
+    bins = counts.groupBy(F.call_function("shiftleft", F.call_function("shiftright", F.col("n"), shift), shift).alias("b")).agg(F.count(F.lit(1)).alias("m"))
+    least, held = None, 0
+    for r in sorted(bins.collect(), reverse=True):
+        held += r["m"]
+        if held > most:
+            break
+        least = r["b"]
+    return counts.filter(F.lit(False) if least is None else F.col("n") >= least)
+
+
+def groups(texts, most: int = 1_500_000):
+    """Lists of texts of about ``most`` characters at most, or of one longer text; null counts as empty."""
+    part, size = [], 0
+    for t in texts:
+        t = t or ""
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
 
 
 def let(value: Column, body) -> Column:

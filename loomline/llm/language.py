@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import arrow_rows
 
 DIM = 512
 #: Symbols: 0 for all that is no letter, a to z, and the rest of the letters in a few classes.
@@ -126,7 +125,6 @@ def identify(docs: DataFrame) -> DataFrame:
     could be learnt. Equal cosines go to the first language by name. Repeated rows get equal
     predictions; an empty table gives none; other columns are ignored.
     """
-    arrow_rows(docs.sparkSession)
     protos = prototypes(docs)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text"), protos).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -15,7 +15,6 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import arrow_rows
 
 #: Phrases that are searched word for word, and their labels.
 PHRASES = (
@@ -129,5 +128,4 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words, labels "" and score 0. Repeated rows are scanned each;
     an empty table gives none; other columns are ignored.
     """
-    arrow_rows(docs.sparkSession)
     return docs.select("doc_id", scans(F.col("text")).alias("s")).select("doc_id", "s.*")
