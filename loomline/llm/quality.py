@@ -4,9 +4,11 @@ Each document gets integer counts and ratios. For every (language, source) group
 sketch of each ratio is kept as a high-dynamic-range histogram: a ratio becomes an integer
 number of 2^-16 steps, whose highest six bits name its bin, so a bin is at most 1/32 wide
 relative to its values. Bins are counts, hence sketches merge by addition: sources merge into
-their language and languages into the whole, and a group of fewer than ``min_group`` rows uses
-the next coarser sketch. A threshold is ``median + spread * (q75 - median) + slack``; the
-median and upper quartile stay put while fewer than a quarter of a group's rows are junk.
+their language and languages into the whole. A group's quantiles are blended with those of its
+language, and these with those of all rows, by row counts: the coarser sketch counts as
+``prior`` rows at every size, so nothing switches when a group grows. A threshold is
+``median + spread * (q75 - median) + slack``; the median and upper quartile stay put while fewer
+than a quarter of a group's rows are junk.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import WS, let, materialise, words
+from loomline.llm.common import WS, if_small, let, materialise, words
 
 #: Steps of a ratio's unit.
 UNIT = 1 << 16
@@ -81,12 +83,17 @@ def features(text: Column) -> Column:
 FEATURES = ("n_words", "n_repeat_words", "n_lines", "n_dup_lines", "word_chars", "n_symbols", "n_exclaims")
 
 
-def with_features(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """``docs`` and its counts; ``prefix`` keeps them apart from columns of the same names."""
-    flat = docs.withColumn("__f", features(F.col("text")))
-    f = F.col("__f")
+def counts(f: Column) -> dict[str, Column]:
+    """The counts of a :func:`features` struct by name."""
     at = {"n_words": f["w"]["n_words"], "n_repeat_words": f["w"]["n_repeat_words"], "n_lines": f["l"]["n_lines"], "n_dup_lines": f["l"]["n_dup_lines"]}
-    return flat.withColumns({prefix + k: at.get(k, f[k]) for k in FEATURES}).drop("__f")
+    return {k: at.get(k, f[k]) for k in FEATURES}
+
+
+def _counted(docs: DataFrame, *more: Column) -> DataFrame:
+    """(lang, source, the counts, and ``more``) of every row as a written table: counts are made once."""
+    f = docs.select("lang", "source", *more, features(F.col("text")).alias("f"))
+    kept = [c for c in f.columns if c != "f"]
+    return materialise(f.select(*kept, *[c.alias(k) for k, c in counts(F.col("f")).items()]), "quality")
 
 
 def base_failed(n: Column, repeats: Column) -> Column:
@@ -104,9 +111,9 @@ def _bin(step: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", step, shift), shift)
 
 
-def sketches(feats: DataFrame, prefix: str = "") -> DataFrame:
+def sketches(feats: DataFrame) -> DataFrame:
     """Histogram sketches: (lang, source, ratio, bin, n)."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), _bin(_step(F.col(prefix + a), F.col(prefix + b))).alias("bin")) for k, (a, b, _, _) in RATIOS.items()]))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), _bin(_step(F.col(a), F.col(b))).alias("bin")) for k, (a, b, _, _) in RATIOS.items()]))
     return feats.select("lang", "source", each.alias("e")).groupBy("lang", "source", F.col("e.ratio").alias("ratio"), F.col("e.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -120,63 +127,66 @@ def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*by).agg(F.max("total").alias("total"), at(1, 2).alias("mid"), at(1, 4).alias("q25"), at(3, 4).alias("q75"))
 
 
-def thresholds(sketch: DataFrame, min_group: int = 200, spread: int = 4) -> DataFrame:
-    """Per (lang, source): ``hi_<ratio>`` and ``lo_<ratio>`` in steps, from the finest sketch of ``min_group`` rows.
+def thresholds(sketch: DataFrame, prior: int = 200, spread: int = 4) -> DataFrame:
+    """Per (lang, source): ``hi_<ratio>`` and ``lo_<ratio>`` in steps.
 
-    Sketches of the language and of all rows are merged from those of the groups. With fewer
-    rows than ``min_group`` altogether the sketch of all rows is used.
+    Sketches of the language and of all rows are merged from those of the groups. A group of n
+    rows has n / (n + ``prior``) of its own quantiles, the rest is of its language's, which are
+    blended with those of all rows in the same way.
     """
-    levels = {"g": _quantiles(sketch, ["lang", "source"]), "l": _quantiles(sketch, ["lang"]), "a": _quantiles(sketch, [])}
-    q = levels["g"].select("lang", "source", "ratio", *[F.col(c).alias(f"g_{c}") for c in ("total", "mid", "q25", "q75")])
-    lang = levels["l"].select(F.col("lang").alias("l_lang"), F.col("ratio").alias("l_ratio"), *[F.col(c).alias(f"l_{c}") for c in ("total", "mid", "q25", "q75")])
-    every = levels["a"].select(F.col("ratio").alias("a_ratio"), *[F.col(c).alias(f"a_{c}") for c in ("mid", "q25", "q75")])
-    q = q.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("ratio") == F.col("l_ratio"))).join(every, F.col("ratio") == F.col("a_ratio"))
-    pick = lambda c: F.when(F.col("g_total") >= min_group, F.col(f"g_{c}")).when(F.col("l_total") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    q = q.select("lang", "source", "ratio", pick("mid").alias("mid"), pick("q25").alias("q25"), pick("q75").alias("q75"))
+    names = ("mid", "q25", "q75")
+    g, lang, every = (_quantiles(sketch, by) for by in (["lang", "source"], ["lang"], []))
+    lang = lang.select(F.col("lang").alias("l_lang"), F.col("ratio").alias("l_ratio"), F.col("total").alias("l_total"), *[F.col(c).alias(f"l_{c}") for c in names])
+    every = every.select(F.col("ratio").alias("a_ratio"), *[F.col(c).alias(f"a_{c}") for c in names])
+    q = g.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("ratio") == F.col("l_ratio"))).join(every, F.col("ratio") == F.col("a_ratio"))
+    blend = lambda n, own, coarse: (n * own + prior * coarse) / (n + prior)
+    pick = lambda c: blend(F.col("total"), F.col(c), blend(F.col("l_total"), F.col(f"l_{c}"), F.col(f"a_{c}")))
+    q = q.select("lang", "source", "ratio", *[pick(c).alias(c) for c in names])
     one = []
     for k, (_, _, up, down) in RATIOS.items():
         of = F.col("ratio") == k
-        one.append(F.max(F.when(of, F.col("mid") + spread * (F.col("q75") - F.col("mid")) + int(up * UNIT))).alias(f"hi_{k}"))
+        one.append(F.max(F.when(of, F.floor(F.col("mid") + spread * (F.col("q75") - F.col("mid"))) + int(up * UNIT))).alias(f"hi_{k}"))
         if down is not None:
-            one.append(F.max(F.when(of, F.col("mid") - spread * (F.col("mid") - F.col("q25")) - int(down * UNIT))).alias(f"lo_{k}"))
-    return q.groupBy("lang", "source").agg(*one)
+            one.append(F.max(F.when(of, F.ceil(F.col("mid") - spread * (F.col("mid") - F.col("q25"))) - int(down * UNIT))).alias(f"lo_{k}"))
+    return q.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*one)
 
 
-def verdict(prefix: str = "") -> Column:
+def verdict() -> Column:
     """True where every ratio lies within its thresholds."""
     ok = F.lit(True)
     for k, (a, b, _, down) in RATIOS.items():
-        step = _step(F.col(prefix + a), F.col(prefix + b))
+        step = _step(F.col(a), F.col(b))
         ok = ok & (step <= F.col(f"hi_{k}"))
         if down is not None:
             ok = ok & (step >= F.col(f"lo_{k}"))
     return ok
 
 
-def judge(docs: DataFrame, min_group: int = 200, spread: int = 4) -> DataFrame:
+def _judged(rows: DataFrame, prior: int, spread: int) -> DataFrame:
+    """Counted rows with base_failed and kept; the table of thresholds, one row a group, is broadcast if it is small."""
+    limits = if_small(materialise(thresholds(sketches(rows), prior, spread), "thresholds"))
+    both = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    return both.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(verdict(), F.lit(True))})
+
+
+def judge(docs: DataFrame, prior: int = 200, spread: int = 4) -> DataFrame:
     """(doc_id, counts, base_failed, kept) of every row of ``docs``.
 
     Null languages and sources are groups of their own. A null or empty text has no words and
-    fails the base rule. Repeated rows each count and each get a verdict; an empty table gives
-    none. Other columns of ``docs`` are ignored.
+    fails the base rule; a very long one is one row like others. Repeated rows each count and
+    each get a verdict; an empty table gives none. Other columns of ``docs`` are ignored.
     """
-    narrow = materialise(with_features(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
-    limits = thresholds(sketches(narrow), min_group, spread).withColumnRenamed("lang", "t_lang").withColumnRenamed("source", "t_source")
-    both = narrow.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return both.select("doc_id", *FEATURES, failed.alias("base_failed"), (~failed & F.coalesce(verdict(), F.lit(True))).alias("kept"))
+    return _judged(_counted(docs, F.col("doc_id")), prior, spread).select("doc_id", *FEATURES, "base_failed", "kept")
 
 
-def keep(docs: DataFrame, min_group: int = 200, spread: int = 4) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns; see :func:`judge`.
+def keep(docs: DataFrame, prior: int = 200, spread: int = 4) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, also where these have names of the counts.
 
-    The counts are made twice, for the sketches and for the verdicts. The join with the thresholds
-    may shuffle the texts, as Spark does not know their size beforehand.
+    Null, empty and long texts, null groups and repeated rows are treated as by :func:`judge`; an
+    empty table gives none. Rows are written once with their counts, so texts are neither counted
+    twice nor shuffled.
     """
-    p = "__q_"
-    limits = thresholds(sketches(with_features(docs.select("text", "lang", "source"), p), p), min_group, spread)
-    limits = limits.withColumnRenamed("lang", "__t_lang").withColumnRenamed("source", "__t_source")
-    both = with_features(docs, p).join(limits, F.col("lang").eqNullSafe(F.col("__t_lang")) & F.col("source").eqNullSafe(F.col("__t_source")), "left")
-    failed = base_failed(F.col(f"{p}n_words"), F.col(f"{p}n_repeat_words"))
-    # One condition, not two: half of it below the join would have the counts made once more.
-    return both.filter(F.when(failed, False).otherwise(F.coalesce(verdict(p), F.lit(True)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = _judged(_counted(docs, row), prior, spread).filter("kept")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
