@@ -7,9 +7,9 @@ has a slot; a slot's value is its earliest point, so two documents agree in a sl
 probability equal to their weighted Jaccard similarity. Only points before a time by which all
 slots are full are made: about one per shingle and m ln m a document, not m per shingle.
 
-Exact copies are one node, named by a hash of their text; ids only name the classes. Nodes meet in buckets of bands. Every node is compared with its
-bucket's most central node (that with the largest buckets altogether), which connects a group of
-copies without a square of pairs. Nodes of one bucket that are still in different components are
+Exact copies are one node, named by a hash of their text; ids only name the classes. Nodes meet
+in buckets of bands. Every node is compared with its bucket's most central node (that with the
+largest buckets altogether), which connects a group of copies without a square of pairs. Nodes of one bucket that are still in different components are
 then all compared where blocks of bounded size meet, so that nothing that shares a band is lost
 to the short cut; such pairs never are rows. Pairs pass an estimate by signatures, then the exact
 weighted Jaccard of the texts. Classes are the connected components of what is left.
@@ -17,12 +17,14 @@ weighted Jaccard of the texts. Classes are the connected components of what is l
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import arrow_rows, materialise
+from loomline.llm.common import arrow_rows, discard, groups, materialise
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -59,6 +61,8 @@ def factor(k: int) -> np.uint64:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BLANK = re.compile(rb"[\t-\r ]")
+PIECE = 1 << 20
 
 
 def _short(word: np.ndarray) -> np.uint64:
@@ -67,28 +71,47 @@ def _short(word: np.ndarray) -> np.uint64:
     return mix(total + _U(len(word)))[0]
 
 
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The start and the hash of each word of ``data``, which ends with a blank."""
+    b = np.frombuffer(data, np.uint8)
+    blank = _SPACE[b]
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    # A word's hash: the difference of a running polynomial at its ends, brought back to its start.
+    power = np.full(len(b), _BASE, np.uint64)
+    power[0] = 1
+    np.cumprod(power, out=power)
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * power)])
+    back = np.full(len(b), _inverse(int(_BASE)), np.uint64)
+    back[0] = 1
+    np.cumprod(back, out=back)
+    return starts, mix((run[ends] - run[starts]) * back[starts])
+
+
+def _all_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_words` of pieces of about ``PIECE`` bytes, so that a long text takes memory by its words and not by its bytes."""
+    found, at = [], 0
+    while at < len(data):
+        cut = _BLANK.search(data, min(at + PIECE, len(data) - 1))
+        end = cut.end() if cut else len(data)
+        starts, word = _words(data[at:end])
+        found.append((starts + at, word))
+        at = end
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def shingles(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle, count) of all documents, by document.
 
     A text of fewer than five words has one shingle, of all its words; one without words none.
     """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     ends_of = np.cumsum([len(r) + 1 for r in raw])
-    blank = _SPACE[data]
-    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
+    starts, word = _all_words(b" ".join(raw) + b" ")
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    # A word's hash: the difference of a running polynomial at its ends, brought back to its start.
-    power = np.full(len(data), _BASE, np.uint64)
-    power[0] = 1
-    np.cumprod(power, out=power)
-    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power)])
-    back = np.full(len(data), _inverse(int(_BASE)), np.uint64)
-    back[0] = 1
-    np.cumprod(back, out=back)
-    word = mix((run[ends] - run[starts]) * back[starts])
     doc = np.searchsorted(ends_of, starts, side="right")
     n = np.bincount(doc, minlength=len(texts))
     first = np.cumsum(n) - n
@@ -160,8 +183,7 @@ def _signed(text: Column) -> Column:
     @F.pandas_udf("keys array<long>, sig binary")
     def of(s: pd.Series) -> pd.DataFrame:
         keys, sigs = [], []
-        for k in range(0, len(s), 128):
-            texts = list(s.iloc[k : k + 128])
+        for texts in groups(s, 400_000):
             doc, value, count = shingles(texts)
             has = np.bincount(doc, minlength=len(texts)) > 0
             sig = signatures(len(texts), doc, value, count)
@@ -185,14 +207,16 @@ def similarity(a: tuple, b: tuple) -> float:
 def jaccard(left: Column, right: Column) -> Column:
     @F.pandas_udf("double")
     def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for k in range(0, len(x), 64):
-            texts = [*x.iloc[k : k + 64], *y.iloc[k : k + 64]]
-            doc, value, count = shingles(texts)
-            at = np.searchsorted(doc, np.arange(len(texts) + 1))
-            each = [(value[p:q], count[p:q]) for p, q in zip(at, at[1:])]
-            half = len(texts) // 2
-            out += [similarity(p, q) for p, q in zip(each[:half], each[half:])]
+        out, texts, size = [], [], 0
+        for k, (p, q) in enumerate(zip(x, y), 1):
+            texts += [p, q]
+            size += len(p) + len(q)
+            if size > 1_000_000 or k == len(x):
+                doc, value, count = shingles(texts)
+                at = np.searchsorted(doc, np.arange(len(texts) + 1))
+                each = [(value[i:j], count[i:j]) for i, j in zip(at, at[1:])]
+                out += [similarity(*z) for z in zip(each[::2], each[1::2])]
+                texts, size = [], 0
         return pd.Series(out, dtype="float64")
 
     return of(left, right)
@@ -330,13 +354,13 @@ def _remaining(rows: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: f
     spark, least = rows.sparkSession, ESTIMATE - (THRESHOLD - threshold)
     at = ["key", "i", "j"]
     met = _blocks(rows).join(nodes, "node").groupBy(*at).agg(F.collect_list(F.struct("node", "label", "left", "right", "keys", "sig")).alias("members"))
-    arrow_rows(spark, 64)
-    need = materialise(met.mapInPandas(_nodes_with_pairs(least), "key long, i long, j long, node long, label long, left boolean, right boolean"), "near")
+    with arrow_rows(spark, 64):
+        need = materialise(met.mapInPandas(_nodes_with_pairs(least), "key long, i long, j long, node long, label long, left boolean, right boolean"), "near")
     full = need.join(nodes, "node").join(texts.hint("merge"), "node")
     full = full.groupBy(*at).agg(F.collect_list(F.struct("node", "label", "left", "right", "keys", "sig", "text")).alias("members"))
-    arrow_rows(spark, 4)
-    found = materialise(full.mapInPandas(_linked_in_blocks(least, threshold), "a long, b long"), "links")
-    arrow_rows(spark)
+    with arrow_rows(spark, 4):
+        found = materialise(full.mapInPandas(_linked_in_blocks(least, threshold), "a long, b long"), "links")
+    discard(need)
     return found
 
 
@@ -361,9 +385,15 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     texts = docs.select(_node(F.col("text")).alias("node"), "text").groupBy("node").agg(F.max("text").alias("text"))
     texts = materialise(texts.join(weight.select("node").hint("merge"), "node"), "texts")
     sigs = nodes.select("node", "sig")
-    central = materialise(_verified(_star(coarse.join(weight, "node")), sigs, texts, threshold), "links")
-    labelled = coarse.select("key", "node").join(components(central), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return central.unionByName(_remaining(materialise(labelled, "buckets"), nodes, texts, threshold))
+    with arrow_rows(docs.sparkSession, 512):
+        central = materialise(_verified(_star(coarse.join(weight, "node")), sigs, texts, threshold), "links")
+    label = components(central)
+    labelled = coarse.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = materialise(labelled, "buckets")
+    more = _remaining(labelled, nodes, texts, threshold)
+    out = materialise(central.unionByName(more), "links")
+    discard(coarse, weight, texts, central, label, labelled, more)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -373,24 +403,30 @@ def components(edges: DataFrame) -> DataFrame:
     label; rounds grow with the logarithm of a component's diameter. Each is a written table.
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    now = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        near = both.join(now.select("node", "label"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
+        step = now.select("node", "label").join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = step.select(F.col("node").alias("via"), F.col("label").alias("end"))
         after = materialise(step.join(jump, F.col("label") == F.col("via")).select("node", "old", F.least("label", "end").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if not after.filter(F.col("old") != F.col("label")).limit(1).count():
-            return labels
+        discard(now)
+        now = after
+        if not now.filter(F.col("old") != F.col("label")).limit(1).count():
+            discard(both)
+            out = now.select("node", "label")
+            out._table = now._table
+            return out
 
 
 def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of every row, and (node, doc_id, label) of every text: its least id and its class."""
-    arrow_rows(docs.sparkSession)
     signed = docs.select("doc_id", _node(F.col("text")).alias("node"), _signed(F.coalesce("text", F.lit(""))).alias("s"))
-    signed = materialise(signed.select("doc_id", "node", "s.keys", "s.sig"), "signed")
+    with arrow_rows(docs.sparkSession, 512):
+        signed = materialise(signed.select("doc_id", "node", "s.keys", "s.sig"), "signed")
     nodes = materialise(signed.filter(F.col("keys").isNotNull()).select("node", "keys", "sig").dropDuplicates(["node"]), "nodes")
-    label = components(links(docs, nodes, threshold))
+    edges = links(docs, nodes, threshold)
+    label = components(edges)
+    discard(edges, nodes)
     texts = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     return signed.select("doc_id", "node"), texts.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
 
