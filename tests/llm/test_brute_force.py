@@ -309,7 +309,7 @@ def test_lm_against_a_sum_over_tokens(spark, texts, monkeypatch, lexicon):
     df = spark.createDataFrame([*list(texts.items())[:80], (900, None), (901, "  "), (902, "one"), (903, "one")], "doc_id long, text string")
     by_id = {r["doc_id"]: r["text"] for r in df.collect()}
     counts = collections.Counter(w for t in by_id.values() for w in (t or "").lower().split())
-    model, _ = lm.train(df)
+    model, _, _ = lm.train(df)
     for r in lm.score(df).collect():
         w = (by_id[r["doc_id"]] or "").lower().split()
         own = collections.Counter(w)
@@ -321,7 +321,7 @@ def test_lm_against_a_sum_over_tokens(spark, texts, monkeypatch, lexicon):
 def test_lm_probabilities_of_all_words_sum_to_one(spark):
     """At one place of a text: over all words of the corpus, as they are in all other rows."""
     df = spark.createDataFrame([*enumerate(f"w{i}ab w{i * 7 % 300}cd w{i % 9}" for i in range(300))], "doc_id long, text string")
-    model, table = lm.train(df)
+    model, table, _ = lm.train(df)
     counts = {r["word"]: r["n"] for r in table.collect()}
     ids, net = lm.Ids(model.words), lm.Network(model.weights)
     own, own_class = collections.Counter(["w5ab", "w3", "w3"]), collections.Counter(int(ids.cls[ids[x]]) for x in ["w5ab", "w3", "w3"])
@@ -348,7 +348,7 @@ def test_lm_trains_by_shards(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD", 200)
     rng = random.Random(4)
     df = spark.createDataFrame([(i, " ".join(rng.choice(["x y z", "u v w"]) for _ in range(60))) for i in range(200)], "doc_id long, text string")
-    model, _ = lm.train(df)
+    model, _, _ = lm.train(df)
     ids, net = lm.Ids(model.words), lm.Network(model.weights)
     at = lambda *w: [np.array([ids.context[ids[x]]]) for x in w]
     assert net.log_p(at("z", "x", "z", "x"), np.array([ids.cls[ids["y"]]]))[0] > net.log_p(at("z", "x", "z", "x"), np.array([ids.cls[ids["v"]]]))[0] + 1
