@@ -42,13 +42,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, dealt: bool = False) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back, which cuts its lineage.
 
+    ``dealt`` is for what comes from a shuffle: its partitions are written by four tasks a core,
+    one after the other in each, so that many small ones do not become many small files.
     :func:`discard` removes the table when it is of no more use; else it goes when Python ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if dealt:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path

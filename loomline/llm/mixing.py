@@ -85,7 +85,7 @@ def plan(docs: DataFrame, narrow: DataFrame, size: Column | None = None, seed: i
     equal ones share what is left to them in any order of the same numbers. An empty table gives
     no rows.
     """
-    s = if_small(materialise(ends(narrow, seed, weights, share_pct, max_epochs), "ends"))
+    s = if_small(materialise(ends(narrow, seed, weights, share_pct, max_epochs), "ends", dealt=True))
     both = docs.join(s, F.col("source").eqNullSafe(F.col("s_source")))
     own = F.col("size") if size is None else size
     here = _slice(seed)

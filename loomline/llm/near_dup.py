@@ -355,11 +355,11 @@ def _remaining(rows: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: f
     at = ["key", "i", "j"]
     met = _blocks(rows).join(nodes, "node").groupBy(*at).agg(F.collect_list(F.struct("node", "label", "left", "right", "keys", "sig")).alias("members"))
     with arrow_rows(spark, 64):
-        need = materialise(met.mapInPandas(_nodes_with_pairs(least), "key long, i long, j long, node long, label long, left boolean, right boolean"), "near")
+        need = materialise(met.mapInPandas(_nodes_with_pairs(least), "key long, i long, j long, node long, label long, left boolean, right boolean"), "near", dealt=True)
     full = need.join(nodes, "node").join(texts.hint("merge"), "node")
     full = full.groupBy(*at).agg(F.collect_list(F.struct("node", "label", "left", "right", "keys", "sig", "text")).alias("members"))
     with arrow_rows(spark, 4):
-        found = materialise(full.mapInPandas(_linked_in_blocks(least, threshold), "a long, b long"), "links")
+        found = materialise(full.mapInPandas(_linked_in_blocks(least, threshold), "a long, b long"), "links", dealt=True)
     discard(need)
     return found
 
@@ -378,20 +378,20 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     First each bucket's most central node is compared with the rest; what that connects needs no
     further pairs. Then all nodes of a bucket that are still in different components are compared.
     """
-    coarse = materialise(_buckets(nodes.select("node", F.explode("keys").alias("key"))), "buckets")
-    weight = materialise(coarse.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    coarse = materialise(_buckets(nodes.select("node", F.explode("keys").alias("key"))), "buckets", dealt=True)
+    weight = materialise(coarse.groupBy("node").agg(F.sum("n").alias("weight")), "weights", dealt=True)
     # Copies are dropped before the texts move; a semi join would be pushed below that. A merge join
     # at every size: what is compared may be a fixed share of all documents.
     texts = docs.select(_node(F.col("text")).alias("node"), "text").groupBy("node").agg(F.max("text").alias("text"))
-    texts = materialise(texts.join(weight.select("node").hint("merge"), "node"), "texts")
+    texts = materialise(texts.join(weight.select("node").hint("merge"), "node"), "texts", dealt=True)
     sigs = nodes.select("node", "sig")
     with arrow_rows(docs.sparkSession, 512):
-        central = materialise(_verified(_star(coarse.join(weight, "node")), sigs, texts, threshold), "links")
+        central = materialise(_verified(_star(coarse.join(weight, "node")), sigs, texts, threshold), "links", dealt=True)
     label = components(central)
     labelled = coarse.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = materialise(labelled, "buckets")
+    labelled = materialise(labelled, "buckets", dealt=True)
     more = _remaining(labelled, nodes, texts, threshold)
-    out = materialise(central.unionByName(more), "links")
+    out = materialise(central.unionByName(more), "links", dealt=True)
     discard(coarse, weight, texts, central, label, labelled, more)
     return out
 
@@ -402,13 +402,13 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among a node and its neighbours, then the label of that
     label; rounds grow with the logarithm of a component's diameter. Each is a written table.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    now = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", dealt=True)
+    now = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels", dealt=True)
     while True:
         near = both.join(now.select("node", "label"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
         step = now.select("node", "label").join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = step.select(F.col("node").alias("via"), F.col("label").alias("end"))
-        after = materialise(step.join(jump, F.col("label") == F.col("via")).select("node", "old", F.least("label", "end").alias("label")), "labels")
+        after = materialise(step.join(jump, F.col("label") == F.col("via")).select("node", "old", F.least("label", "end").alias("label")), "labels", dealt=True)
         discard(now)
         now = after
         if not now.filter(F.col("old") != F.col("label")).limit(1).count():
@@ -423,7 +423,7 @@ def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     signed = docs.select("doc_id", _node(F.col("text")).alias("node"), _signed(F.coalesce("text", F.lit(""))).alias("s"))
     with arrow_rows(docs.sparkSession, 512):
         signed = materialise(signed.select("doc_id", "node", "s.keys", "s.sig"), "signed")
-    nodes = materialise(signed.filter(F.col("keys").isNotNull()).select("node", "keys", "sig").dropDuplicates(["node"]), "nodes")
+    nodes = materialise(signed.filter(F.col("keys").isNotNull()).select("node", "keys", "sig").dropDuplicates(["node"]), "nodes", dealt=True)
     edges = links(docs, nodes, threshold)
     label = components(edges)
     discard(edges, nodes)
@@ -440,7 +440,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if no row of it has an id. An empty table gives none; other columns are ignored.
     """
     rows, texts = _labelled(docs, threshold)
-    texts = materialise(texts, "classes")
+    texts = materialise(texts, "classes", dealt=True)
     least = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return rows.join(texts.join(least, "label").select("node", "class_id"), "node").select("doc_id", "class_id")
 

@@ -164,7 +164,7 @@ def verdict() -> Column:
 
 def _judged(rows: DataFrame, prior: int, spread: int) -> DataFrame:
     """Counted rows with base_failed and kept; the table of thresholds, one row a group, is broadcast if it is small."""
-    limits = if_small(materialise(thresholds(sketches(rows), prior, spread), "thresholds"))
+    limits = if_small(materialise(thresholds(sketches(rows), prior, spread), "thresholds", dealt=True))
     both = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return both.withColumns({"base_failed": failed, "kept": ~failed & F.coalesce(verdict(), F.lit(True))})

@@ -96,7 +96,7 @@ def _sized(path: str):
 def lexicon(docs: DataFrame, path: str) -> DataFrame:
     """(token, n, pieces) of every distinct pre-token of all texts, as a written table."""
     counts = docs.select("text").mapInPandas(_counted(path), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return materialise(counts.mapInPandas(_sized(path), "token string, n long, pieces int"), "lexicon")
+    return materialise(counts.mapInPandas(_sized(path), "token string, n long, pieces int"), "lexicon", dealt=True)
 
 
 def _frequencies(text: Column, path: str, known: dict[str, int]) -> Column:

@@ -53,7 +53,7 @@ def packed(rows: DataFrame, block: int) -> DataFrame:
     part = F.pmod(F.monotonically_increasing_id(), F.lit(max(1, -(-n // block))))
     lists = rows.select(part.alias("part"), F.size("v").alias("dims"), "vec_id", "v").groupBy("part", "dims").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("rows"))
     with arrow_rows(rows.sparkSession, 4):
-        return materialise(lists.select("ids", "rows").mapInPandas(_pack, "ids binary, x binary, sorted binary, dims int"), "blocks")
+        return materialise(lists.select("ids", "rows").mapInPandas(_pack, "ids binary, x binary, sorted binary, dims int"), "blocks", dealt=True)
 
 
 class Best:
@@ -160,16 +160,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, block: int = BLOCK,
     spark = vectors.sparkSession
     usable_rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = usable_rows.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v"))
-    asked = materialise(usable_rows.filter(queries).select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")), "queries")
+    asked = materialise(usable_rows.filter(queries).select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("n")), "queries", dealt=True)
     waves = max(1, -(-asked.count() // wave))
     blocks, found = packed(rows, block), []
     for w in range(waves):  # each wave is one job over all blocks; its result has k rows a query
         part = asked.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(waves)) == w).collect()
         hits = blocks.mapInPandas(_search([(r["vec_id"], r["v"], r["n"]) for r in part], k), "query_id long, vec_id long, score long")
         with arrow_rows(spark, 8):
-            found.append(materialise(_ranked(hits, k).drop("rank"), "wave"))
+            found.append(materialise(_ranked(hits, k).drop("rank"), "wave", dealt=True))
         if len(found) == 32:  # plans stay small however many waves there are
-            merged = materialise(_union(found), "waves")
+            merged = materialise(_union(found), "waves", dealt=True)
             discard(*found)
             found = [merged]
     discard(blocks, asked)

@@ -130,7 +130,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    return materialise(rows.select("text", F.col("toxic").cast("int").alias("toxic")), "toxic")
+    return materialise(rows.select("text", F.col("toxic").cast("int").alias("toxic")), "toxic", dealt=True)
 
 
 def _term_counts(names: Names):
