@@ -37,14 +37,16 @@ def any_match(text: Column, patterns: Sequence[str]) -> Column:
 def fiscal_year(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The first rule that gives a valid fiscal year; one that is found but not valid is passed over."""
     low = F.lower(text)
-    each = []
-    for pattern, mode in rules:
-        one = F.regexp_extract(low, FLAGS + pattern, 1)
-        if mode == "end_year":
-            each.append(F.when(one != "", fiscal_ending(one)))
-        else:
-            each.append(fiscal_range(one, F.regexp_extract(low, FLAGS + pattern, 2)))
-    return F.when(low.rlike(FLAGS + r"\d{4}"), F.coalesce(*each))  # most texts name no year at all
+
+    def year(pattern: str, mode: str) -> Column:
+        # One pass over the text; the groups come from the short passage that it finds.
+        def of(hit: Column) -> Column:
+            one = F.regexp_extract(hit, FLAGS + pattern, 1)
+            return F.when(hit != "", fiscal_ending(one) if mode == "end_year" else fiscal_range(one, F.regexp_extract(hit, FLAGS + pattern, 2)))
+
+        return F.element_at(F.transform(F.array(F.regexp_extract(low, FLAGS + pattern, 0)), of), 1)
+
+    return F.when(low.rlike(FLAGS + r"\d{4}"), F.coalesce(*[year(p, m) for p, m in rules]))  # most texts name no year at all
 
 
 def sql_case(text: str, rules: Sequence[tuple[str, str]], default: str = "NULL") -> str:

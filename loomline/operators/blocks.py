@@ -1,49 +1,44 @@
 """Reading-order items to text blocks with heading paths, and tables with ids and captions.
 
 Items are rows (doc_slug, pos, label, level, page_number, text, columns, rows). A heading cuts the
-path to its level and adds itself; one ordered fold per document carries the path and whether
-its section is skipped. Everything else is a window over the same key, so one shuffle serves all.
+path to its level and adds itself. The path's depth after the i-th heading is the least of its
+level and the depth before it plus one, which unrolls to i plus the least of 0 and (level - place)
+over the headings so far; the k-th part of a path is the last heading of depth k. So paths,
+captions and numbers are all windows over one order of a document: one shuffle, no fold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomline.functions import fixed
-from loomline.functions.text import heading_level, mentions_any, strip, table_id
+from loomline.functions.text import heading_level, mentions_any, strip, table_id, text_or_empty
+from loomline.functions.text import label as normal_label
 
 TEXT_LABELS = ("section_header", "text", "list_item", "caption")
 TABLE_LABEL = "table"
-
-
-def heading_trail(headings: Column) -> Column:
-    """Paths after each of an ordered array of (pos, level, text): a stack that keeps siblings of skipped levels nested."""
-    empty = F.array().cast("array<struct<pos:int,path:array<string>>>")
-
-    def step(trail: Column, h: Column) -> Column:
-        last = F.coalesce(F.try_element_at(trail, F.lit(-1)).getField("path"), F.array().cast("array<string>"))
-        return F.concat(trail, F.array(F.struct(h["pos"].alias("pos"), F.concat(F.slice(last, F.lit(1), h["level"] - 1), F.array(h["text"])).alias("path"))))
-
-    return F.aggregate(headings, empty, step)
+#: The deepest heading level.
+LEVELS = 6
 
 
 def with_headings(items: DataFrame, skips: DataFrame | None = None) -> DataFrame:
     """Items with ``heading_path`` and ``skipped``; a heading belongs to the section it opens.
 
-    ``skips`` gives skip_sections by doc_slug. Headings without text open no section.
+    ``skips`` gives skip_sections by doc_slug. Headings without text open no section. Labels are
+    lower-cased, missing ones are ``unknown``; missing texts are empty.
     """
-    is_heading = (F.col("label") == "section_header") & (strip(F.coalesce("text", F.lit(""))) != "")
-    clean = items.withColumn("text", strip(F.coalesce("text", F.lit("")))).withColumn("__h", is_heading)
-    level = heading_level(F.col("level"), F.col("label"))
-    trails = clean.filter("__h").groupBy("doc_slug").agg(
-        heading_trail(F.array_sort(F.collect_list(F.struct("pos", level.alias("level"), "text")))).alias("trail")
-    )
-    paths = trails.select("doc_slug", F.explode("trail").alias("t")).select("doc_slug", F.col("t.pos").alias("pos"), F.col("t.path").alias("__path"))
-    order = W.partitionBy("doc_slug").orderBy("pos")
-    out = clean.join(paths, ["doc_slug", "pos"], "left")
-    out = out.withColumn("heading_path", F.coalesce(F.last("__path", ignorenulls=True).over(order), F.array().cast("array<string>"))).drop("__path", "__h")
+    clean = items.withColumns({"label": normal_label(F.col("label")), "text": strip(text_or_empty(F.col("text")))})
+    is_heading = (F.col("label") == "section_header") & (F.col("text") != "")
+    upto = W.partitionBy("doc_slug").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    place = F.count_if(is_heading).over(upto).cast("int")
+    staged = clean.withColumns({"__place": place, "__level": F.when(is_heading, heading_level(F.col("level"), F.col("label")))})
+    lowest = F.min(F.col("__level") - F.col("__place")).over(upto)
+    staged = staged.withColumn("__depth", F.col("__place") + F.least(F.lit(0), F.coalesce(lowest, F.lit(0))))
+    of = lambda k: F.last(F.when(F.col("__level").isNotNull() & (F.col("__depth") == k), F.col("text")), ignorenulls=True).over(upto)
+    parts = F.array(*[of(k) for k in range(1, LEVELS + 1)])
+    out = staged.withColumn("heading_path", F.slice(parts, F.lit(1), F.col("__depth"))).drop("__place", "__level", "__depth")
     if skips is None:
         return out.withColumn("skipped", F.lit(False))
     out = out.join(skips.select("doc_slug", "skip_sections"), "doc_slug", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomline.functions import fixed
 from loomline.functions.rules import FLAGS, any_match, first_match, fiscal_year
 from loomline.functions.text import cut, fiscal_ending, fiscal_range, fiscal_starting, normalize, ordinal_half, strip
+from loomline.operators.lookup import if_small
 
 UNKNOWN = "unknown"
 #: value, source and review of each field
@@ -46,8 +47,8 @@ def with_name_pass(docs: DataFrame, name: str = "filename") -> DataFrame:
 
 
 def with_overrides(docs: DataFrame, overrides: DataFrame, name: str = "filename") -> DataFrame:
-    """Fields that ``overrides`` (filename, o_type, o_year, o_period; a small fixed table) sets win."""
-    out = docs.join(F.broadcast(overrides.withColumnRenamed("filename", "__o")), F.col(name) == F.col("__o"), "left")
+    """Fields that ``overrides`` (filename, o_type, o_year, o_period) sets win; it is broadcast if it is small."""
+    out = docs.join(if_small(overrides.withColumnRenamed("filename", "__o")), F.col(name) == F.col("__o"), "left")
     for field, given in zip(FIELDS, ("o_type", "o_year", "o_period")):
         has = F.col(given).isNotNull()
         out = out.withColumns({

@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from loomline.functions import fixed, rules
 from loomline.functions import text as T
 from loomline.operators import blocks as B
-from loomline.operators import cascade, lookup, progress, tables
+from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval, tables
 from loomline.plans import runs
-from loomline.sources import sinks
+from loomline.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -55,10 +55,20 @@ def slugify(spark, sf):
     return _read(spark, sf, "pages").select("page_id", T.base_name(u).alias("name"), T.stem(u).alias("stem"), T.slug(T.stem(u)).alias("slug"))
 
 
-@registered(f"SELECT {_SLUG.format('url')} AS slug, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1 HAVING count(DISTINCT url) > 1")
+# Long names with a late difference: their slugs are cut before it.
+_LONG = "'Annual report of the ' || replace(p_type, '_', ' ') || ' department, part ' || p_name || ' (' || p_partkey || ').pdf'"
+
+
+def _long_names(spark, sf):
+    p = _read(spark, sf, "part")
+    return p.select(F.concat(F.lit("Annual report of the "), F.replace("p_type", F.lit("_"), F.lit(" ")), F.lit(" department, part "), "p_name", F.lit(" ("), F.col("p_partkey").cast("string"), F.lit(").pdf")).alias("name"))
+
+
+@registered(f"""WITH p AS (SELECT {_LONG} AS name FROM part), s AS (SELECT {_SLUG.format("regexp_replace(name, '[.]pdf$', '')")} AS slug, name FROM p)
+  SELECT slug, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT slug || '_' || substr(sha256(name), 1, 8)) AS BIGINT) AS keys FROM s GROUP BY 1 HAVING count(DISTINCT name) > 1""")
 def slug_collisions(spark, sf):
-    p = _read(spark, sf, "pages").select(T.slug(F.col("url")).alias("slug"), "url")
-    return p.groupBy("slug").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("u")).filter("u > 1").select("slug", "n")
+    p = _long_names(spark, sf).select("name", T.slug(T.stem(F.col("name"))).alias("slug"), T.slug_key(F.col("name")).alias("key"))
+    return p.groupBy("slug").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("name").alias("u"), F.countDistinct("key").alias("keys")).filter("u > 1").select("slug", "n", "keys")
 
 
 @registered(f"SELECT doc_id, {rules.sql_case('lower(text)', LICENSE_RULES)} AS label FROM documents")
@@ -66,6 +76,30 @@ def classify_first_match(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", rules.first_match(F.lower("text"), LICENSE_RULES).alias("label"))
 
 
+def _sample(pattern: str) -> str:
+    """A text that the pattern's last branch finds."""
+    out = pattern.split("|")[-1].replace("\\d{4}", "2019").replace(".?", "-").replace(".*", " of the ")
+    return "The " + out.replace(".", " ")
+
+
+def _list_sql(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_SAMPLES = [_sample(p) for p, _ in fixed.FILENAME_TYPES + fixed.COVER_TYPES]
+_NORMAL = "translate(lower(t), ' -_', '...')"
+
+
+@registered(f"""WITH d AS (SELECT p_partkey, ({_list_sql(_SAMPLES)})[CAST(p_partkey % {len(_SAMPLES)} AS INTEGER) + 1] || ' ' || p_name AS t FROM part)
+  SELECT p_partkey, coalesce({rules.sql_case(_NORMAL, fixed.FILENAME_TYPES)}, 'unknown') AS by_name, {rules.sql_case(_NORMAL, fixed.COVER_TYPES)} AS by_cover, {rules.sql_case('lower(t)', fixed.COVER_TYPES)} AS by_plain_cover FROM d""")
+def type_rules(spark, sf):
+    """Every rule of both lists on a text that it finds; cover rules also on texts whose blanks are blanks."""
+    t = F.concat(F.element_at(F.array(*map(F.lit, _SAMPLES)), (F.col("p_partkey") % len(_SAMPLES)).cast("int") + 1), F.lit(" "), F.col("p_name"))
+    d = _read(spark, sf, "part").select("p_partkey", t.alias("t"))
+    name = T.normalize(F.col("t"))
+    return d.select("p_partkey", F.coalesce(rules.first_match(name, fixed.FILENAME_TYPES), F.lit("unknown")).alias("by_name"), rules.first_match(name, fixed.COVER_TYPES).alias("by_cover"), rules.first_match(F.lower("t"), fixed.COVER_TYPES).alias("by_plain_cover"))
+
+
 _RANGE_SQL = "CASE WHEN abs(CAST({0} AS INTEGER) - CAST(CASE WHEN length({1}) = 4 THEN {1} ELSE '20' || {1} END AS INTEGER)) <= 2 THEN {0} || '_' || right({1}, 2) END"
 _YEARS = "SELECT o_orderkey, CAST(year(o_orderdate) + 10 AS VARCHAR) AS y1, CAST(year(o_orderdate) + 10 + o_orderkey % 5 AS VARCHAR) AS y4 FROM orders"
 
@@ -259,7 +293,7 @@ def custom_rank_sort(spark, sf):
     cat = F.when(F.col("o_orderkey") % 11 == 10, F.lit(None)).otherwise((F.col("o_orderkey") % 11).cast("int"))
     d = _read(spark, sf, "orders").select("o_orderkey", cat.alias("category"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("filename"), F.col("o_orderpriority").alias("lane"))
     d = d.withColumn("work_rank", lookup.work_rank())
-    return d.select("o_orderkey", "work_rank", F.row_number().over(W.partitionBy("lane").orderBy("work_rank", "filename")).alias("n"))
+    return lookup.numbered(d, ["lane"], "work_rank", "filename").select("o_orderkey", "work_rank", "n")
 
 
 _TAG = r"<(h1|p|li)[^>]*>([^<]*)</"
@@ -281,17 +315,16 @@ def html_blocks(spark, sf):
 
 # Conversations as items: each turn of a user is a heading whose level its words and turn give.
 _LEVEL = "CAST((turn * 7 + length(text)) % 4 + 1 AS INTEGER)"
-_HEAD = "regexp_extract(text, '^\\S+(?: \\S+)?')"
+_HEAD = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
 def _talk(spark, sf):
     c = _read(spark, sf, "conversations")
-    head = F.regexp_extract("text", r"^\S+(?: \S+)?", 0)
     level = ((F.col("turn") * 7 + F.length("text")) % 4 + 1).cast("int")
     is_head = F.col("role") == "user"
     return c.select(
         F.col("conv_id").cast("string").alias("doc_slug"), F.col("turn").cast("int").alias("pos"), F.when(is_head, "section_header").otherwise("text").alias("label"), level.alias("level"),
-        (F.col("turn") / 3).cast("int").alias("page_number"), head.alias("text"), F.lit(None).cast("array<string>").alias("columns"), F.lit(None).cast("array<array<string>>").alias("rows"),
+        (F.col("turn") / 3).cast("int").alias("page_number"), "text", F.lit(None).cast("array<string>").alias("columns"), F.lit(None).cast("array<array<string>>").alias("rows"),
     )
 
 
@@ -328,34 +361,39 @@ def caption_lookup(spark, sf):
     return c.select(F.col("doc_slug").cast("long").alias("conv_id"), F.col("pos").cast("long").alias("turn"), "caption")
 
 
-# Orders as documents with one table a line of the order; every seventh line's table is empty.
+# Orders as documents with one table a line of the order; every seventh line's table is empty. Lines have their place in a
+# total order of all columns, as line numbers repeat; rows that are equal in all of them are alike in any order.
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_MANY = "l_linenumber * CASE WHEN l_suppkey % 5 = 0 THEN 9 ELSE 1 END"
+
+
 def _line_items(spark, sf):
-    li = _read(spark, sf, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
+    li = _read(spark, sf, "lineitem").withColumn("pos", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)))
     cells = F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    rows = F.when((F.col("l_partkey") + F.col("l_linenumber")) % 7 == 0, F.array().cast("array<array<string>>")).otherwise(F.array_repeat(cells, F.col("l_linenumber")))
-    return li.select(F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("doc_slug"), F.col("l_linenumber").alias("pos"), F.lit("table").alias("label"), F.lit(None).cast("int").alias("level"),
+    many = F.expr(_MANY).cast("int")
+    rows = F.when((F.col("l_partkey") + F.col("l_linenumber")) % 7 == 0, F.array().cast("array<array<string>>")).otherwise(F.array_repeat(cells, many))
+    return li.select(F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("doc_slug"), "pos", F.lit("table").alias("label"), F.lit(None).cast("int").alias("level"),
                      F.col("l_linenumber").alias("page_number"), F.lit("").alias("text"), F.array(F.col("l_returnflag"), F.col("l_linestatus")).alias("columns"), rows.alias("rows"))
 
 
-_LINES = """SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus FROM lineitem"""
-_TABLES = f"""WITH d AS ({_LINES}), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS table_index FROM d),
+_TABLES = f"""WITH n AS (SELECT *, CAST({_MANY} AS INTEGER) AS many, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE_ORDER)}) - 1 AS INTEGER) AS table_index FROM lineitem),
   t AS (SELECT *, printf('order_%d_table_%03d', l_orderkey, table_index) AS table_id FROM n WHERE (l_partkey + l_linenumber) % 7 <> 0)
 """
 
 
-@registered(_TABLES + "SELECT table_id, table_index, l_linenumber AS n_rows FROM t")
+@registered(_TABLES + "SELECT table_id, table_index, many AS n_rows FROM t")
 def table_ids(spark, sf):
     return B.tables(B.with_headings(_line_items(spark, sf))).select("table_id", "table_index", F.size("rows").alias("n_rows"))
 
 
-@registered(_TABLES + "SELECT l_linenumber AS n_rows, 2 AS n_cols, CAST(count(*) AS BIGINT) AS n FROM t WHERE l_linenumber >= 2 GROUP BY 1")
+@registered(_TABLES + "SELECT many AS n_rows, 2 AS n_cols, CAST(count(*) AS BIGINT) AS n FROM t WHERE many >= 2 GROUP BY 1")
 def table_shape_filter(spark, sf):
     c = tables.chunks(B.tables(B.with_headings(_line_items(spark, sf))))
     return c.groupBy(F.col("shape.rows").alias("n_rows"), F.col("shape.cols").alias("n_cols")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered(_TABLES + """SELECT table_id, '| ' || l_returnflag || ' | ' || l_linestatus || ' |' || chr(10) || '| --- | --- |' || repeat(chr(10) || '| ' || l_partkey || ' | ' || l_suppkey || ' |', l_linenumber) AS markdown
-  FROM t WHERE l_linenumber >= 2""")
+@registered(_TABLES + """SELECT table_id, '| ' || l_returnflag || ' | ' || l_linestatus || ' |' || chr(10) || '| --- | --- |' || repeat(chr(10) || '| ' || l_partkey || ' | ' || l_suppkey || ' |', least(many, 50)) AS markdown
+  FROM t WHERE many >= 2""")
 def table_markdown(spark, sf):
     return tables.chunks(B.tables(B.with_headings(_line_items(spark, sf)))).select("table_id", "markdown")
 
@@ -376,7 +414,7 @@ _PAGE = "CAST((turn * 5 + length(text)) % 6 AS INTEGER)"
 
 
 def _woven(spark, sf):
-    c = _read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("doc_slug"), "turn", "role", ((F.col("turn") * 5 + F.length("text")) % 6).cast("int").alias("page_number"), F.substring("text", 1, 20).alias("text"))
+    c = _read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("doc_slug"), "turn", "role", ((F.col("turn") * 5 + F.length("text")) % 6).cast("int").alias("page_number"), "text")
     n = (F.row_number().over(W.partitionBy("doc_slug", F.col("role") == "assistant").orderBy("turn")) - 1).alias("i")
     c = c.select("*", n)
     b = c.filter("role <> 'assistant'").select("doc_slug", F.col("i").alias("block_index"), "page_number", F.lit("paragraph").alias("block_type"), "text", F.lit(None).cast("string").alias("table_ref"))
@@ -384,7 +422,7 @@ def _woven(spark, sf):
     return tables.interleave(b, t)
 
 
-@registered(f"""WITH c AS (SELECT conv_id, turn, role = 'assistant' AS tab, {_PAGE} AS page, substr(text, 1, 20) AS text,
+@registered(f"""WITH c AS (SELECT conv_id, turn, role = 'assistant' AS tab, {_PAGE} AS page, text,
     CAST(row_number() OVER (PARTITION BY conv_id, role = 'assistant' ORDER BY turn) - 1 AS INTEGER) AS i FROM conversations),
   t AS (SELECT *, printf('%d_table_%03d', conv_id, i) AS tid FROM c WHERE tab), b AS (SELECT * FROM c WHERE NOT tab),
   a AS (SELECT t.conv_id, t.i, t.page, t.tid, coalesce(max(b.i), -1) AS anchor FROM t LEFT JOIN b ON b.conv_id = t.conv_id AND b.page <= t.page GROUP BY 1, 2, 3, 4),
@@ -480,13 +518,149 @@ def config_scalars(spark, sf):
     return p.select("p_partkey", sinks.yaml_string(F.concat("p_name", F.lit(" o'clock: "), "p_brand")).alias("scalar"))
 
 
-@registered(None)
+def _quoted(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN 'null' ELSE chr(39) || replace({x}, chr(39), chr(39) || chr(39)) || chr(39) END"
+
+
+def _literal(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _sections_sql() -> str:
+    text = lambda names: "    skip_sections:\n" + "\n".join("      - " + _literal(n) for n in names) if names else "    skip_sections: []"
+    return "CASE type " + " ".join(f"WHEN '{t}' THEN {_literal(text(names))}" for t, names in fixed.SKIPPED.items()) + " ELSE '    skip_sections: []' END"
+
+
+_ENTRY = " || chr(10) || ".join([
+    f"'  - filename: ' || {_quoted('filename')}",
+    f"'    document_type: ' || {_quoted('type')} || CASE WHEN type = 'unknown' THEN '  # HARD: unknown type' ELSE '' END",
+    f"""'    fiscal_year: ' || {_quoted('fy')} || CASE WHEN fy = 'na' THEN '  # timeless: no fiscal year applies' WHEN fy = 'unknown' THEN '  # HARD: no fiscal year found'
+      WHEN fy_source IN ('cover', 'deep') THEN '  # SOFT: found in the text' WHEN fy_source = 'filename' AND fy_review = 'soft' THEN '  # SOFT: inferred from a single year' ELSE '' END""",
+    f"'    report_period: ' || {_quoted('period')} || CASE WHEN period_source = 'cover' THEN '  # SOFT: found in the text' ELSE '' END",
+    *[f"'    {k}: ' || {_quoted(k)}" for k in ("domain", "priority")],
+    *[f"'    {k}: ' || CAST({k} AS VARCHAR)" for k in ("rag_weight", "category")],
+    *[f"'    {k}: ' || {_quoted(k)}" for k in ("chunking_strategy", "chunk_by")],
+    *[f"'    {k}: ' || CAST({k} AS VARCHAR)" for k in ("chunk_size", "chunk_overlap")],
+    "'    index: true'",
+    *[f"'    {k}: ' || CAST({k} AS VARCHAR)" for k in ("has_tables", "is_scanned")],
+    _literal("    language: 'english'"),
+    _sections_sql(),
+    "'    supersedes: null' || CASE WHEN type <> 'budget_review_outlook' THEN '' WHEN supersedes_hint THEN '  # SOFT: hints at a revision, check which' ELSE '  # HARD: name what this revises' END",
+    "'    superseded_by: null'",
+    "'    # resolved: type=' || type_source || ' fy=' || fy_source || ' period=' || period_source",
+])
+_LEVEL_LINE = "CASE review_level WHEN 'hard' THEN '  # HARD: fix by hand' || chr(10) WHEN 'soft' THEN '  # SOFT: spot-check' || chr(10) ELSE '' END"
+
+
+@registered(_CASCADE + f", en AS (SELECT * FROM lv JOIN {_dim_sql()} ON t = type) SELECT filename, {_LEVEL_LINE} || {_ENTRY} AS entry FROM en")
 def config_entries(spark, sf):
-    """The annotated entries of a whole configuration; its parts have SQL of their own, and tests hold its text."""
+    """The annotated entries of a whole configuration."""
     d = runs.configuration(_files(spark, sf), lookup.override_table(spark, _OVER))
     return sinks.config_lines(d)
 
 
+# Names of which overrides of the package hold.
+_KNOWN = [f for f, *_ in fixed.OVERRIDES]
+
+
+@registered(f"""WITH o AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in fixed.OVERRIDES)}) k(fn, ot, oy, op)),
+  f AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN ({_list_sql(_KNOWN)})[CAST(s_suppkey // 2 % {len(_KNOWN)} AS INTEGER) + 1] ELSE s_name || '.pdf' END AS filename FROM supplier)
+  SELECT s_suppkey, filename, ot IS NOT NULL AS typed, coalesce(oy, 'unknown') AS fy, coalesce(op, 'annual') AS period FROM f LEFT JOIN o ON fn = filename""")
+def package_overrides(spark, sf):
+    names = F.element_at(F.array(*map(F.lit, _KNOWN)), (F.col("s_suppkey") / 2).cast("int") % len(_KNOWN) + 1)
+    d = _read(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, names).otherwise(F.concat("s_name", F.lit(".pdf"))).alias("filename"))
+    got = cascade.detect(d, lookup.override_table(spark), text=None)
+    return got.select("s_suppkey", "filename", (F.col("type_source") == "override").alias("typed"), F.when(F.col("fy_source") == "override", F.col("fy")).otherwise("unknown").alias("fy"),
+                      F.when(F.col("period_source") == "override", F.col("period")).otherwise("annual").alias("period"))
+
+
+# Customers as documents; what their orders name is stored, of status P with an error.
+@registered("""WITH s AS (SELECT 'u ' || CAST(o_custkey AS VARCHAR) || '.pdf' AS filename FROM orders WHERE o_orderstatus <> 'P'),
+  c AS (SELECT 'u ' || CAST(c_custkey AS VARCHAR) || '.pdf' AS filename FROM customer)
+  SELECT filename, CASE WHEN filename IN (SELECT filename FROM s) THEN 'cached' ELSE 'convert' END AS state FROM c""")
+def extraction_cache(spark, sf):
+    name = lambda c: F.concat(F.lit("u "), F.col(c).cast("string"), F.lit(".pdf"))
+    stored = cache.keyed(_read(spark, sf, "orders").select(name("o_custkey").alias("filename"), F.when(F.col("o_orderstatus") == "P", "failed").alias("error")))
+    hits, misses = cache.split(_read(spark, sf, "customer").select(name("c_custkey").alias("filename")), stored)
+    return hits.select("filename", F.lit("cached").alias("state")).unionByName(misses.select("filename", F.lit("convert").alias("state")))
+
+
+@registered("SELECT CAST(o_custkey AS VARCHAR) AS doc_slug, max(o_orderkey) AS run, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1")
+def stored_last_runs(spark, sf):
+    o = _read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("doc_slug"), F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("status"))
+    return cache.last_runs(o)
+
+
+@registered(f"""WITH e AS (SELECT {_STATUS} AS status, event_id FROM events)
+  SELECT CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS done, CAST(count(*) FILTER (status = 'skipped') AS BIGINT) AS skip, CAST(count(*) FILTER (status = 'failed') AS BIGINT) AS fail FROM e WHERE event_id >= 300""")
+def session_counters(spark, sf):
+    return progress.session(_progress(spark, sf), F.timestamp_seconds(F.lit(300))).select("done", "skip", "fail")
+
+
+@registered(_LATEST + f"""SELECT 1 AS line_no, '  Processed: ' || count(*) FILTER ({_STATUS} = 'completed') AS line FROM events UNION ALL
+  SELECT 2, '  Skipped: ' || count(*) FILTER ({_STATUS} = 'skipped') FROM events UNION ALL SELECT 3, '  Failed: ' || count(*) FILTER ({_STATUS} = 'failed') FROM events UNION ALL
+  SELECT 4, '  Overall: completed=' || count(*) FILTER (status = 'completed') || ' failed=' || count(*) FILTER (status = 'failed') || ' skipped=' || count(*) FILTER (status = 'skipped') FROM l UNION ALL
+  SELECT 5, '  ' || file || ': ' || substr(error, 1, 100) FROM l WHERE status = 'failed'""")
+def run_report(spark, sf):
+    return progress.report(_progress(spark, sf), F.timestamp_seconds(F.lit(0))).filter("line_no > 0")
+
+
+# What a converter gives for a turn of a conversation: labels of any case or none, a page or none, texts or none.
+@registered("""SELECT CAST(conv_id AS VARCHAR) AS doc_slug, CAST(turn AS INTEGER) AS pos, CASE WHEN turn % 4 = 3 THEN 'unknown' ELSE lower(role) END AS label,
+  CASE WHEN turn % 3 = 0 THEN 0 ELSE CAST(turn AS INTEGER) END AS page_number, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text FROM conversations""")
+def raw_items(spark, sf):
+    c = _read(spark, sf, "conversations")
+    page = F.when(F.col("turn") % 3 > 0, F.array(F.struct(F.col("turn").cast("int").alias("page_no")))).when(F.col("turn") % 2 == 0, F.array().cast("array<struct<page_no:int>>"))
+    raw = c.select(F.col("conv_id").cast("string").alias("doc_slug"), F.col("turn").cast("int").alias("pos"), F.when(F.col("turn") % 4 != 3, F.upper("role")).alias("label"), F.lit(None).cast("int").alias("level"),
+                   page.alias("prov"), F.when(F.col("turn") % 5 != 4, F.col("text")).alias("text"), F.lit(None).cast("array<string>").alias("columns"), F.lit(None).cast("array<array<string>>").alias("rows"))
+    return files.normal_items(raw).select("doc_slug", "pos", "label", "page_number", "text")
+
+
+@registered("""WITH p AS (SELECT doc_slug, max(page) AS total_pages FROM (SELECT CAST(conv_id AS VARCHAR) AS doc_slug, CASE WHEN turn > 1 THEN CAST(floor(turn / 3) AS INTEGER) END AS page FROM conversations) GROUP BY 1)
+  SELECT doc_slug, coalesce(total_pages, 0) AS total_pages FROM p""")
+def page_counts(spark, sf):
+    c = _read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("doc_slug"), F.when(F.col("turn") > 1, F.floor(F.col("turn") / 3).cast("int")).alias("page_number"))
+    return files.page_counts(c)
+
+
+# Parts as documents of a collection: some not indexed, some superseded; the lines of an order are hits.
+@registered("""WITH d AS (SELECT 'p' || p_partkey AS filename, p_partkey % 11 <> 0 AS index, CASE WHEN p_partkey % 7 = 0 THEN 'p' || (p_partkey - 1) END AS supersedes, [2.0, 1.5, 1.0, 0.5][CAST(p_partkey % 4 AS INTEGER) + 1] AS w FROM part),
+  c AS (SELECT * FROM d WHERE index AND filename NOT IN (SELECT supersedes FROM d WHERE supersedes IS NOT NULL)),
+  h AS (SELECT l_orderkey AS query_id, 'p' || l_partkey AS filename, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2),
+  s AS (SELECT query_id, filename, CAST(score * w AS DOUBLE) AS score FROM h JOIN c USING (filename)),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, filename) AS INTEGER) AS rank FROM s)
+  SELECT query_id, rank, filename, score FROM r WHERE rank <= 3""")
+def weighted_hits(spark, sf):
+    key = F.col("p_partkey")
+    weight = F.element_at(F.array(*[F.lit(w) for _, w in fixed.PRIORITY_WEIGHTS]), (key % 4).cast("int") + 1)
+    docs = _read(spark, sf, "part").select(F.concat(F.lit("p"), key.cast("string")).alias("filename"), (key % 11 != 0).alias("index"), F.when(key % 7 == 0, F.concat(F.lit("p"), (key - 1).cast("string"))).alias("supersedes"), weight.alias("rag_weight"))
+    hits = _read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("filename")).agg(F.max("l_quantity").alias("score"))
+    return retrieval.weighted(hits, docs, 3)
+
+
+def _units_sql() -> str:
+    return "CASE " + " ".join(f"WHEN chunk_by = '{k}' THEN regexp_extract_all(text, '{p}')" for k, p in chunking.UNITS.items()) + " END"
+
+
+_CHUNK_OF = ", ".join(f"({c}, '{by}', {size}, {overlap})" for c, _, by, size, overlap in fixed.CHUNKING)
+
+
+@registered(f"""WITH k AS (SELECT * FROM (VALUES {_CHUNK_OF}) v(cat, chunk_by, size, overlap)),
+  d AS (SELECT doc_id, text, chunk_by, size, size - overlap AS step FROM documents JOIN k ON cat = doc_id % 9),
+  u AS (SELECT doc_id, size, step, list_filter(list_transform({_units_sql()}, lambda x: regexp_extract_all(x, '{chunking.WORD}')), lambda w: len(w) > 0) AS us FROM d),
+  p AS (SELECT doc_id, size, step, flatten(list_transform(us, lambda w: list_transform(range(0, len(w), {fixed.CHUNK_MAX_TOKENS}), lambda i: w[i + 1:i + {fixed.CHUNK_MAX_TOKENS}]))) AS ps FROM u),
+  e AS (SELECT doc_id, size, step, unnest(ps) AS w, generate_subscripts(ps, 1) AS pos FROM p),
+  s AS (SELECT *, CAST(coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(len(w)) OVER (PARTITION BY doc_id) AS BIGINT) AS total FROM e),
+  l AS (SELECT *, (total - 1) // step - CASE WHEN (total - 1) // step > 0 AND total - (total - 1) // step * step < {fixed.CHUNK_MIN_TOKENS} THEN 1 ELSE 0 END AS last FROM s),
+  c AS (SELECT *, unnest(range(least(CASE WHEN start < size THEN 0 ELSE (start - size) // step + 1 END, last), least(start // step, last) + 1)) AS i FROM l)
+  SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(sum(len(w)) AS BIGINT) AS n_tokens, string_agg(array_to_string(w, ' '), chr(10) ORDER BY pos) AS chunk FROM c GROUP BY doc_id, i""")
+def chunk_units(spark, sf):
+    """Chunks by the unit, size and overlap of a category (an extension; the names and sizes are those of the fixed values)."""
+    k = spark.createDataFrame([(c, by, size, overlap) for c, _, by, size, overlap in fixed.CHUNKING], "cat long, chunk_by string, chunk_size int, chunk_overlap int")
+    d = _read(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 9).alias("cat")).join(F.broadcast(k), "cat")
+    return chunking.chunk(d, "doc_id")
+
+
 @registered("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
   s AS (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 1, 0), 300)) AS k FROM w WHERE len(w) > 0)
   SELECT doc_id, CAST(k AS INTEGER) AS start_at, array_to_string(w[k + 1:k + 350], ' ') AS chunk FROM s WHERE k = 0 OR k + 50 < len(w)""")

@@ -1,13 +1,18 @@
-"""The two runs: a configuration from file names and texts, and an extraction from items."""
+"""The runs: a configuration from file names and texts, and an extraction from files or items."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions import fixed
 from loomline.operators import blocks as B
-from loomline.operators import cascade, lookup, tables
+from loomline.operators import cache, cascade, lookup, tables
 from loomline.operators.progress import pending
+from loomline.sources import files as sources
+from loomline.sources import sinks
 
 
 def configuration(docs: DataFrame, overrides: DataFrame | None = None, text: str | None = "text") -> DataFrame:
@@ -16,15 +21,55 @@ def configuration(docs: DataFrame, overrides: DataFrame | None = None, text: str
     return lookup.enrich(cascade.detect(docs, known, text).withColumnRenamed("type", "document_type"))
 
 
-def extraction(items: DataFrame, skips: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Blocks with markers, tables, and table chunks of converted items."""
+def extraction(items: DataFrame, skips: DataFrame | None = None, kept: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Blocks with markers, tables, and table chunks of converted items.
+
+    All four read the items with their headings. ``kept(df, name)``, where it is given, writes
+    these and reads them again, so that they are made once.
+    """
     headed = B.with_headings(items, skips)
+    if kept is not None:
+        headed = kept(headed, "headed")
     found = B.tables(headed)
     text = B.blocks(headed)
     return {"blocks": text, "tables": found, "chunks": tables.chunks(found), "woven": tables.interleave(text, found)}
 
 
+def preview(extracted: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The first few rows of an extraction's parts, in order, for display."""
+    order = {"blocks": ["doc_slug", "block_index"], "tables": ["doc_slug", "table_index"], "chunks": ["doc_slug", "table_index"]}
+    out = {k: extracted[k].orderBy(*by).limit(fixed.PREVIEW[k]) for k, by in order.items()}
+    return out | {"markers": extracted["woven"].filter("block_type = 'table_ref'").orderBy("doc_slug", "seq").limit(fixed.PREVIEW["markers"])}
+
+
 def resumed(config: DataFrame, events: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
     """What a run still has to do, in order of work: known, present and not yet completed."""
     names = files.select(F.col("name").alias("filename")).distinct()
     return lookup.in_work_order(pending(config, events, force).join(names, "filename", "left_semi"))
+
+
+def extract(config: DataFrame, files: DataFrame, make_standard: Callable, make_ocr: Callable, path: str, force: bool = False, run: int = 0) -> DataFrame:
+    """Stored extractions of the documents of ``config`` (filename, is_scanned, skip_sections) that have a file.
+
+    What is stored at ``path`` is read; the rest, with ``force`` all, is converted once and
+    appended as ``run``, a file that fails with its error. A later run tries such a file again.
+    """
+    spark = config.sparkSession
+    here = config.join(files.select(F.col("name").alias("filename")).distinct(), "filename", "left_semi")
+    _, todo = cache.split(here, sources.read_stored(spark, path), force)
+    given = todo.join(files.select(F.col("name").alias("filename"), "content"), "filename")
+    both = sources.converted(given.select("doc_slug", "content", "is_scanned"), make_standard, make_ocr).persist()  # once for all that is made of it
+    items, errors = sources.split_converted(both)
+    out = extraction(items, todo.select("doc_slug", "skip_sections"))
+    info = todo.select("doc_slug", F.col("filename").alias("source_file"), "is_scanned").join(sources.page_counts(items), "doc_slug", "left").join(errors, "doc_slug", "left")
+    sinks.store(sinks.documents(info, out["blocks"], out["tables"]), path, run)
+    both.unpersist()
+    return sources.read_stored(spark, path).join(cache.keyed(here).select("doc_slug"), "doc_slug", "left_semi")
+
+
+def extract_single(spark: SparkSession, path: str, convert: Callable, is_scanned: bool = False) -> dict[str, DataFrame]:
+    """The extraction of one file without a configuration: nothing is skipped, nothing stored."""
+    one = sources.list_files(spark, path, suffix="")
+    given = cache.keyed(one.withColumnRenamed("name", "filename")).select("doc_slug", "content", F.lit(is_scanned).alias("is_scanned"))
+    items, errors = sources.convert(given, convert, convert)
+    return extraction(items) | {"pages": sources.page_counts(items), "errors": errors}

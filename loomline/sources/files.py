@@ -7,26 +7,34 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from loomline.functions import fixed
-from loomline.functions.text import base_name, strip
+from loomline.functions.text import base_name, first_page, label, strip, text_or_empty
+from loomline.operators.cache import last_runs
 
 ITEMS = "doc_slug string, pos int, label string, level int, page_number int, text string, columns array<string>, rows array<array<string>>"
 BLOCK = "text string, block_type string, heading_path array<string>, page_number int, block_index int, table_ref string"
-TABLE = "table_id string, caption string, heading_path array<string>, page_number int, table_index int, markdown string, columns array<string>, rows array<array<string>>"
-STORED = f"source_file string, doc_slug string, is_scanned boolean, total_pages int, error string, blocks array<struct<{BLOCK.replace(' ', ':').replace(',:', ',')}>>, tables array<struct<{TABLE.replace(' ', ':').replace(',:', ',')}>>"
+TABLE = "table_id string, caption string, heading_path array<string>, page_number int, table_index int, markdown string, columns array<string>, rows array<array<string>>, records array<map<string,string>>"
+_fields = lambda schema: schema.replace(" ", ":").replace(",:", ",")
+STORED = f"run long, source_file string, doc_slug string, is_scanned boolean, total_pages int, error string, blocks array<struct<{_fields(BLOCK)}>>, tables array<struct<{_fields(TABLE)}>>"
 
 
 def list_files(spark: SparkSession, directory: str, suffix: str = ".pdf", recursive: bool = False, required: bool = True) -> DataFrame:
-    """(path, name, length, content) by path. The bytes are only read by plans that use them.
+    """(path, name, length, content). The bytes are only read by plans that use them, so they are in no order.
 
-    ``recursive`` looks below the directory; ``required`` raises if there is no file at all.
+    :func:`by_path` sorts the names. Files of no bytes are not listed. ``recursive`` looks below the directory; ``required`` raises if there is no file at all.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", str(recursive).lower()).load(directory)
     out = files.select("path", base_name(F.col("path")).alias("name"), "length", "content")
     if required and out.select("path").limit(1).count() == 0:
         raise FileNotFoundError(f"no *{suffix} in {directory}")
-    return out.orderBy("path")
+    return out
+
+
+def by_path(files: DataFrame) -> DataFrame:
+    """(path, name, length) in path order; the bytes do not move."""
+    return files.select("path", "name", "length").orderBy("path")
 
 
 def first_directory(files: DataFrame) -> DataFrame:
@@ -62,8 +70,8 @@ def page_text(files: DataFrame, reader: Callable[[bytes], Iterable[str]], start:
     return files.select("name", "content").mapInPandas(run, "name string, text string, is_scanned boolean")
 
 
-def convert(files: DataFrame, make_standard: Callable, make_ocr: Callable) -> tuple[DataFrame, DataFrame]:
-    """(items, errors) of files (doc_slug, content, is_scanned) by a pluggable layout converter.
+def converted(files: DataFrame, make_standard: Callable, make_ocr: Callable) -> DataFrame:
+    """Items, each with a null error, and errors of files (doc_slug, content, is_scanned) by a pluggable layout converter.
 
     A ``make`` function is called once per task and returns ``bytes -> iterable of item dicts``.
     Scanned files go to the OCR one: rows are split before Python, so neither is started in vain.
@@ -87,10 +95,26 @@ def convert(files: DataFrame, make_standard: Callable, make_ocr: Callable) -> tu
 
     source = files.select("doc_slug", "content", "is_scanned")
     scanned = F.coalesce("is_scanned", F.lit(False))
-    both = source.filter(~scanned).mapInPandas(runner(make_standard), schema).unionByName(source.filter(scanned).mapInPandas(runner(make_ocr), schema))
+    return source.filter(~scanned).mapInPandas(runner(make_standard), schema).unionByName(source.filter(scanned).mapInPandas(runner(make_ocr), schema))
+
+
+def convert(files: DataFrame, make_standard: Callable, make_ocr: Callable) -> tuple[DataFrame, DataFrame]:
+    """(items, errors) of files; see :func:`converted`, which a caller of both keeps."""
+    return split_converted(converted(files, make_standard, make_ocr))
+
+
+def split_converted(both: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.filter("error IS NULL").drop("error"), both.filter("error IS NOT NULL").select("doc_slug", "error")
 
 
+RAW = "doc_slug string, pos int, label string, level int, prov array<struct<page_no:int>>, text string, columns array<string>, rows array<array<string>>"
+
+
+def normal_items(raw: DataFrame) -> DataFrame:
+    """Items of a converter's raw rows: lower-case labels, ``unknown`` for none, "" for no text, the first known page or 0."""
+    return raw.select("doc_slug", "pos", label(F.col("label")).alias("label"), "level", first_page(F.col("prov")).alias("page_number"), text_or_empty(F.col("text")).alias("text"), "columns", "rows")
+
+
 def page_counts(items: DataFrame) -> DataFrame:
     """(doc_slug, total_pages): the last page seen, 0 if none is known."""
     return items.groupBy("doc_slug").agg(F.coalesce(F.max("page_number"), F.lit(0)).alias("total_pages"))
@@ -108,8 +132,13 @@ def read_config(spark: SparkSession, text: str) -> DataFrame:
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
-    """Stored extractions with the defaults of missing fields."""
-    d = spark.read.schema(STORED).json(path)
+    """The last stored extraction of each document, with the defaults of missing fields; none if nothing was stored yet."""
+    try:
+        d = last_runs(spark.read.schema(STORED).json(path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        d = spark.createDataFrame([], STORED)
     return d.withColumns({
         "is_scanned": F.coalesce("is_scanned", F.lit(False)),
         "total_pages": F.coalesce("total_pages", F.lit(0)),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import fixed
+from loomline.operators.tables import markdown
 
 
 def yaml_string(c: Column) -> Column:
@@ -43,7 +44,7 @@ def config_lines(docs: DataFrame) -> DataFrame:
         line("fiscal_year", yaml_string(c("fy")), year_flag),
         line("report_period", yaml_string(c("period")), _flag([(c("period_source") == "cover", "SOFT: found in the text")])),
         *map(quoted, ("domain", "priority")), *map(plain, ("rag_weight", "category")), *map(quoted, ("chunking_strategy", "chunk_by")),
-        *map(plain, ("chunk_size", "chunk_overlap")), F.lit("    index: true"), *map(plain, ("has_tables", "is_scanned")), F.lit("    language: 'en'"),
+        *map(plain, ("chunk_size", "chunk_overlap")), F.lit("    index: true"), *map(plain, ("has_tables", "is_scanned")), F.lit("    language: 'english'"),
         sections, line("supersedes", F.lit("null"), revision), F.lit("    superseded_by: null"),
         F.concat(F.lit("    # resolved: type="), c("type_source"), F.lit(" fy="), c("fy_source"), F.lit(" period="), c("period_source")),
     ))
@@ -57,22 +58,39 @@ def config_header(collection: str, agent: str) -> str:
 
 
 def write_config(docs: DataFrame, path: str, collection: str = "documents", agent: str = "corpus") -> None:
-    """One text file. A configuration is one entry per file of a collection, written by one task in name order."""
+    """Text parts whose names are in the order of the entries, the header first: read in that order they are one configuration."""
     spark = docs.sparkSession
     head = spark.createDataFrame([(0, "", config_header(collection, agent))], "part int, filename string, entry string")
     rows = head.unionByName(config_lines(docs).withColumn("part", F.lit(1)))
-    rows.orderBy("part", "filename").select(F.col("entry").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    rows.orderBy("part", "filename").select(F.col("entry").alias("value")).write.mode("overwrite").text(path)
+
+
+def records(columns: Column, rows: Column) -> Column:
+    """A table's rows as maps by column name; of columns that share a name the last one counts."""
+    names = F.transform(columns, lambda c: F.coalesce(c, F.lit("")))
+
+    def of(row: Column) -> Column:
+        pairs = F.transform(names, lambda n, i: F.struct(n.alias("key"), F.get(row, i).alias("value")))
+        last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(names, i + 2, F.size(names)), lambda n: n == p["key"]))
+        return F.map_from_entries(last)
+
+    return F.transform(rows, of)
 
 
 def documents(info: DataFrame, blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """One row a document with its blocks and tables in order, for storing; documents without either have empty arrays."""
+    """One row a document with its blocks and tables in order, for storing; documents without either have empty arrays.
+
+    Tables have their markdown, and their rows both by place and as records by column name.
+    """
     b = blocks.groupBy("doc_slug").agg(F.array_sort(F.collect_list(F.struct("block_index", "text", "block_type", "heading_path", "page_number", "table_ref"))).alias("blocks"))
     t = tables.groupBy("doc_slug").agg(F.array_sort(F.collect_list(F.struct("table_index", "table_id", "caption", "heading_path", "page_number", "columns", "rows"))).alias("tables"))
-    return info.join(b, "doc_slug", "left").join(t, "doc_slug", "left")
+    full = F.transform("tables", lambda x: x.withField("markdown", markdown(x["columns"], x["rows"])).withField("records", records(x["columns"], x["rows"])))
+    return info.join(b, "doc_slug", "left").join(t.withColumn("tables", full), "doc_slug", "left")
 
 
-def store(docs: DataFrame, path: str) -> None:
-    docs.write.mode("append").option("ignoreNullFields", "false").json(path)
+def store(docs: DataFrame, path: str, run: int = 0) -> None:
+    """Appends; a document that is stored again counts by its largest ``run``."""
+    docs.withColumn("run", F.lit(run).cast("long")).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
 def append_events(events: DataFrame, path: str) -> None:

@@ -99,7 +99,7 @@ def test_sources_and_streaming(spark, tmp_path):
     for n, body in (("b.pdf", b"one two"), ("a.pdf", b"\xff"), ("c.PDF", b"")):
         (d / n).write_bytes(body)
     found = files.list_files(spark, str(d))
-    assert [r["name"] for r in found.select("name").collect()] == ["a.pdf", "b.pdf"]
+    assert [r["name"] for r in files.by_path(found).collect()] == ["a.pdf", "b.pdf"]
     texts = {r["name"]: (r["text"], r["is_scanned"]) for r in files.page_text(found, lambda c: [c.decode()] * 3, 0, 10).collect()}
     assert texts == {"a.pdf": ("", False), "b.pdf": ("one twoone", True)}
     src = found.select(F.col("name").alias("doc_slug"), "content", (F.col("name") == "b.pdf").alias("is_scanned"))
