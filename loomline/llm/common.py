@@ -60,6 +60,12 @@ def materialise(df: DataFrame, name: str, dealt: bool = False) -> DataFrame:
     return out
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table at ``path`` was written to its end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def _delete(path: str) -> None:
     spark = _left.pop(path, None)
     if spark is not None:

@@ -33,3 +33,51 @@ def test_stages(spark, tmp_path):
         if k == 4:
             assert after.count() == docs.count() and after.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         docs = after
+
+
+def test_hard_rows_and_empty_tables(spark, tmp_path):
+    from tests.llm import conftest
+
+    plain = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("1000 + doc_id AS doc_id", "text", "lang", "source", "n_chars", "'s' AS size", "1 AS taken", "'q' AS score")
+    docs = spark.createDataFrame(conftest.rows(), conftest.DOCS).unionByName(plain)
+    labels = spark.createDataFrame([(i, None, None if i == 2 else int(i in (1, 8))) for i in range(12)], "doc_id long, quality int, toxic int")
+    for name, rows in (("hard", docs), ("none", docs.limit(0))):
+        sf = str(tmp_path / name)
+        rows.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        out = corpus_pipeline.run(spark, sf)
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        got = out.collect()
+        if name == "none":
+            assert got == []
+        else:
+            ids = {r["doc_id"] for r in got}
+            assert len(ids) > 100 and not ids & {None, 0, 1, 2, 3, 4, 5, 7, 8}  # the hard rows but the long one are short or empty
+            assert all(r["n_tokens"] > 0 for r in got)
+
+
+def test_a_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    import uuid
+
+    name, calls = f"run-{uuid.uuid4().hex}", []
+    counted = [(n, lambda s, d, sf, n=n, f=f: calls.append(n) or f(s, d, sf)) for n, f in corpus_pipeline.STAGES]
+    broken = [*counted[:3], ("mixing", lambda s, d, sf: 1 / 0), counted[4]]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", broken)
+    try:
+        corpus_pipeline.run(spark, SF, name)
+    except ZeroDivisionError:
+        pass
+    monkeypatch.setattr(corpus_pipeline, "STAGES", counted)
+    first = sorted(map(str, corpus_pipeline.run(spark, SF, name).collect()))
+    assert calls == ["toxicity", "quality", "near_dup", "mixing", "bpe"]
+    assert first == sorted(map(str, corpus_pipeline.run(spark, SF, name).collect())) and len(calls) == 5
+
+
+def test_the_session_keeps_its_settings(spark):
+    from loomline.llm import queries
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for q in ("op6_near_dup", "op9_topk"):
+        queries.queries()[q](spark, SF).count()
+    assert spark.conf.get(key) == before
