@@ -1,36 +1,50 @@
-"""A corpus pipeline of five of the training-data operators; each stage works on all its predecessor kept."""
+"""A corpus pipeline of five of the training-data operators; each stage works on all its predecessor kept.
+
+Nulls in any column, empty and very long texts, ties and repeated rows are treated as by the
+operator of a stage; an empty table stays empty; all but the last stage return the columns of
+their input, whatever their names.
+"""
 
 from __future__ import annotations
 
+import os
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm import bpe, mixing, near_dup, quality, toxicity
-from loomline.llm.common import materialise, read
+from loomline.llm.common import finished, materialise, read, shared_dir
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; the classifier learns from the labelled rows of ``docs``."""
+    """Documents that are not predicted toxic; the classifier learns from the labelled rows of ``docs``.
+
+    Null texts count as empty and stay; without labels of both kinds all rows stay or, if all are
+    toxic, none does.
+    """
     return toxicity.reject(docs, docs, read(spark, sf_dir, "labels"))
 
 
 def quality_in(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the adaptive quality rules."""
+    """Documents that pass the quality rules: the base rule (50 words, few repeats) and the adaptive thresholds.
+
+    Null, empty and shorter texts go; null languages and sources are groups.
+    """
     return quality.keep(docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, the one of its least doc_id; null ids come last and lose no text."""
     return near_dup.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole and fractional repetitions of the documents by their sources' targets."""
+    """Whole documents, up to twice, by their sources' targets; rows without words go, null sources are one source."""
     return mixing.repeat(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every mixed row."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every mixed row; null texts count as empty."""
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -40,10 +54,18 @@ STAGES = [("toxicity", toxic_out), ("quality", quality_in), ("near_dup", one_of_
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """The last stage's rows. With a ``name`` of the run its stages are kept under it in the shared folder, and a run that is
+    started again with that name goes on after the last stage that was finished."""
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
+    for k, (stage, f) in enumerate(STAGES):
+        if name is not None:
+            path = os.path.join(shared_dir(spark), name, f"{k}-{stage}")
+            if not finished(spark, path):
+                f(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+            docs = spark.read.parquet(path)
+        else:
+            docs = f(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = materialise(docs, f"stage-{stage}")
     return docs
