@@ -17,6 +17,7 @@ WS_RE = r"[\x20\x09-\x0D]+"
 #: Tables of at most as many (narrow) rows are broadcast; larger ones meet in a shuffled join.
 BROADCAST_ROWS = 50_000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 _left: dict[str, SparkSession] = {}
 
 
@@ -45,13 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, dealt: bool = False) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back, which cuts its lineage.
 
-    ``dealt`` is for what comes from a shuffle: its partitions are written by four tasks a core,
-    one after the other in each, so that many small ones do not become many small files.
+    ``dealt`` is for what comes from a shuffle. Where the session does not coalesce small
+    partitions by their size, four tasks a core write them, one after the other in each, so that
+    they do not become as many small files.
     :func:`discard` removes the table when it is of no more use; else it goes when Python ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    if dealt:
+    if dealt and "true" not in (spark.conf.get(_COALESCE, "true") or "").lower():
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import arrow_rows, discard, groups, materialise
+from loomline.llm.common import arrow_rows, discard, groups, if_small, materialise
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -242,14 +242,20 @@ def _node(text: Column) -> Column:
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
-    """(key, node, n) of the keys that two nodes or more share."""
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """(key, node, n) of the keys that two nodes or more share.
+
+    The counts are a table of their own here, as are the leaders and the labels below: a join of
+    two plain shuffles can be split where one key holds a large part of all rows, a join with an
+    aggregate of the same shuffle cannot.
+    """
+    shared = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared", dealt=True)
     return keys.join(shared, "key")
 
 
 def _star(rows: DataFrame) -> DataFrame:
     """Pairs of each bucket's leader, the node of the largest weight, and its other nodes."""
     led = rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("l")).select(F.col("key").alias("k"), F.col("l.node").alias("other"))
+    led = materialise(led, "led", dealt=True)
     both = rows.join(led, (F.col("key") == F.col("k")) & (F.col("node") != F.col("other")))
     return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
@@ -262,7 +268,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     """
     each = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     top = each.groupBy("key").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label")).alias("top")).filter("labels > 1")
-    top = top.select(F.col("key").alias("k"), "n", F.col("top.label").alias("most"), F.col("top.m").alias("m"))
+    top = if_small(materialise(top.select(F.col("key").alias("k"), "n", F.col("top.label").alias("most"), F.col("top.m").alias("m")), "open", dealt=True))
     full = rows.join(top, F.col("key") == F.col("k")).drop("k")
     major = F.col("label") == F.col("most")
     rest, all_of = F.ceil((F.col("n") - F.col("m")) / BLOCK), F.ceil(F.col("m") / BLOCK)
