@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 WS_RE = r"[\x20\x09-\x0D]+"
 #: Tables of at most as many (narrow) rows are broadcast; larger ones meet in a shuffled join.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 10_000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 _left: dict[str, SparkSession] = {}
