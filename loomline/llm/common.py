@@ -16,6 +16,8 @@ WS = " \t\n\x0b\x0c\r"
 WS_RE = r"[\x20\x09-\x0D]+"
 #: Tables of at most as many (narrow) rows are broadcast; larger ones meet in a shuffled join.
 BROADCAST_ROWS = 10_000
+#: Rows of a file of a narrow table whose number of rows is known to be bounded.
+FILE_ROWS = 1_000_000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 _left: dict[str, SparkSession] = {}
@@ -43,17 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialise(df: DataFrame, name: str, dealt: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, dealt: bool = False, rows: int | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back, which cuts its lineage.
 
-    ``dealt`` is for what comes from a shuffle. Where the session does not coalesce small
-    partitions by their size, four tasks a core write them, one after the other in each, so that
-    they do not become as many small files.
+    ``rows`` is a bound of the rows of a narrow table: it is written in files of about
+    ``FILE_ROWS``, not in as many small ones as the shuffle before it has partitions. ``dealt`` is
+    for other tables that come from a shuffle: where the session does not coalesce small
+    partitions by their size, four tasks a core write them, one after the other in each.
     :func:`discard` removes the table when it is of no more use; else it goes when Python ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    if dealt and "true" not in (spark.conf.get(_COALESCE, "true") or "").lower():
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    elif dealt and "true" not in (spark.conf.get(_COALESCE, "true") or "").lower():
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -241,26 +241,26 @@ def _node(text: Column) -> Column:
     return F.xxhash64(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _buckets(keys: DataFrame) -> DataFrame:
-    """(key, node, n) of the keys that two nodes or more share.
+def _buckets(keys: DataFrame, n: int) -> DataFrame:
+    """(key, node, n) of the keys that two nodes or more share; ``n`` bounds the rows.
 
     The counts are a table of their own here, as are the leaders and the labels below: a join of
     two plain shuffles can be split where one key holds a large part of all rows, a join with an
     aggregate of the same shuffle cannot.
     """
-    shared = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared", dealt=True)
+    shared = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared", rows=n)
     return keys.join(shared, "key")
 
 
-def _star(rows: DataFrame) -> DataFrame:
+def _star(rows: DataFrame, n: int) -> DataFrame:
     """Pairs of each bucket's leader, the node of the largest weight, and its other nodes."""
     led = rows.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("l")).select(F.col("key").alias("k"), F.col("l.node").alias("other"))
-    led = materialise(led, "led", dealt=True)
+    led = materialise(led, "led", rows=n)
     both = rows.join(led, (F.col("key") == F.col("k")) & (F.col("node") != F.col("other")))
     return both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, n: int) -> DataFrame:
     """(key, i, j, node, label, side) of rows (key, node, label): every pair of blocks of a bucket that holds two labels.
 
     The nodes of a bucket's most frequent label have blocks of their own, which never meet each
@@ -268,7 +268,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     """
     each = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     top = each.groupBy("key").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label")).alias("top")).filter("labels > 1")
-    top = if_small(materialise(top.select(F.col("key").alias("k"), "n", F.col("top.label").alias("most"), F.col("top.m").alias("m")), "open", dealt=True))
+    top = if_small(materialise(top.select(F.col("key").alias("k"), "n", F.col("top.label").alias("most"), F.col("top.m").alias("m")), "open", rows=n))
     full = rows.join(top, F.col("key") == F.col("k")).drop("k")
     major = F.col("label") == F.col("most")
     rest, all_of = F.ceil((F.col("n") - F.col("m")) / BLOCK), F.ceil(F.col("m") / BLOCK)
@@ -351,7 +351,7 @@ def _linked_in_blocks(least: float, threshold: float):
     return run
 
 
-def _remaining(rows: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _remaining(rows: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
     """Links (a, b) that connect all nodes of different labels that share a bucket and reach the threshold.
 
     Blocks meet twice: with signatures, to find the nodes that some pair needs, then with the texts
@@ -359,7 +359,7 @@ def _remaining(rows: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: f
     """
     spark, least = rows.sparkSession, ESTIMATE - (THRESHOLD - threshold)
     at = ["key", "i", "j"]
-    met = _blocks(rows).join(nodes, "node").groupBy(*at).agg(F.collect_list(F.struct("node", "label", "left", "right", "keys", "sig")).alias("members"))
+    met = _blocks(rows, n).join(nodes, "node").groupBy(*at).agg(F.collect_list(F.struct("node", "label", "left", "right", "keys", "sig")).alias("members"))
     with arrow_rows(spark, 64):
         need = materialise(met.mapInPandas(_nodes_with_pairs(least), "key long, i long, j long, node long, label long, left boolean, right boolean"), "near", dealt=True)
     full = need.join(nodes, "node").join(texts.hint("merge"), "node")
@@ -384,37 +384,40 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     First each bucket's most central node is compared with the rest; what that connects needs no
     further pairs. Then all nodes of a bucket that are still in different components are compared.
     """
-    coarse = materialise(_buckets(nodes.select("node", F.explode("keys").alias("key"))), "buckets", dealt=True)
-    weight = materialise(coarse.groupBy("node").agg(F.sum("n").alias("weight")), "weights", dealt=True)
+    n_nodes = nodes.count()
+    n = n_nodes * BANDS
+    coarse = materialise(_buckets(nodes.select("node", F.explode("keys").alias("key")), n), "buckets", rows=n)
+    weight = materialise(coarse.groupBy("node").agg(F.sum("n").alias("weight")), "weights", rows=n_nodes)
     # Copies are dropped before the texts move; a semi join would be pushed below that. A merge join
     # at every size: what is compared may be a fixed share of all documents.
     texts = docs.select(_node(F.col("text")).alias("node"), "text").groupBy("node").agg(F.max("text").alias("text"))
     texts = materialise(texts.join(weight.select("node").hint("merge"), "node"), "texts", dealt=True)
     sigs = nodes.select("node", "sig")
     with arrow_rows(docs.sparkSession, 512):
-        central = materialise(_verified(_star(coarse.join(weight, "node")), sigs, texts, threshold), "links", dealt=True)
+        central = materialise(_verified(_star(coarse.join(weight, "node"), n), sigs, texts, threshold), "links", dealt=True)
     label = components(central)
     labelled = coarse.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = materialise(labelled, "buckets", dealt=True)
-    more = _remaining(labelled, nodes, texts, threshold)
-    out = materialise(central.unionByName(more), "links", dealt=True)
+    labelled = materialise(labelled, "buckets", rows=n)
+    more = _remaining(labelled, nodes, texts, threshold, n)
+    out = materialise(central.unionByName(more), "links", rows=central.count() + more.count())
     discard(coarse, weight, texts, central, label, labelled, more)
     return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each node's component; edges are (a, b).
+    """(node, label): the least node of each node's component; edges are a written table (a, b).
 
     Each round takes the least label among a node and its neighbours, then the label of that
     label; rounds grow with the logarithm of a component's diameter. Each is a written table.
     """
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", dealt=True)
-    now = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels", dealt=True)
+    n = 2 * edges.count()
+    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", rows=n)
+    now = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels", rows=n)
     while True:
         near = both.join(now.select("node", "label"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
         step = now.select("node", "label").join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = step.select(F.col("node").alias("via"), F.col("label").alias("end"))
-        after = materialise(step.join(jump, F.col("label") == F.col("via")).select("node", "old", F.least("label", "end").alias("label")), "labels", dealt=True)
+        after = materialise(step.join(jump, F.col("label") == F.col("via")).select("node", "old", F.least("label", "end").alias("label")), "labels", rows=n)
         discard(now)
         now = after
         if not now.filter(F.col("old") != F.col("label")).limit(1).count():
