@@ -56,7 +56,8 @@ class FragmentEncoder:
         b = np.frombuffer(data, np.uint8).astype(np.int64)
         ends = np.cumsum([len(x) for x in raw])
         inner = np.flatnonzero(self.certain[b[:-1] * 256 + b[1:]]) + 1 if len(b) > 1 else np.zeros(0, np.int64)
-        places = np.union1d(inner, ends)
+        places = np.sort(np.concatenate([inner, ends]))
+        places = places[np.concatenate([[True], places[1:] != places[:-1]])] if len(places) else places
         return data, places.tolist(), np.searchsorted(places, ends).tolist()
 
     def cut(self, tokens: list[str]) -> list[list[bytes]]:
