@@ -122,8 +122,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row.
 
     Texts that are null or have no letter are ``und`` with score 0, and so are all if nothing
-    could be learnt. Equal cosines go to the first language by name. Repeated rows get equal
-    predictions; an empty table gives none; other columns are ignored.
+    could be learnt. Equal cosines go to the first language by name. A very long text is
+    one bundle, whose size is fixed. Repeated rows get equal predictions; doc_ids may be null; an empty table gives none; other columns are ignored.
     """
     protos = prototypes(docs)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text"), protos).alias("p"))

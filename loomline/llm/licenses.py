@@ -125,7 +125,7 @@ def scans(text: Column) -> Column:
 def scan_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of every row.
 
-    Null and empty texts have no words, labels "" and score 0. Repeated rows are scanned each;
-    an empty table gives none; other columns are ignored.
+    Null and empty texts have no words, labels "" and score 0. A very long text is scanned whole, in
+    windows about exact seeds. Repeated rows are scanned each; doc_ids may be null; an empty table gives none; other columns are ignored.
     """
     return docs.select("doc_id", scans(F.col("text")).alias("s")).select("doc_id", "s.*")

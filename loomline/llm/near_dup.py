@@ -444,7 +444,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) of every row: the least doc_id of its class of near-duplicates.
 
     Equal texts are one class; null counts as the empty text. Texts of fewer than five words are
-    near only to texts of the same words. Every row has the class of its own text, also where rows
+    near only to texts of the same words; very long ones are read in pieces and compared whole. Every row has the class of its own text, also where rows
     share a doc_id. Rows whose doc_id is null are compared like others; their class is null only
     if no row of it has an id. An empty table gives none; other columns are ignored.
     """
@@ -458,7 +458,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with all columns of ``docs``: that of its least doc_id, null last, then of its least text hash.
 
     Classes are of texts, so no text is lost to a null or repeated doc_id. Of rows that repeat
-    both doc_id and text one stays.
+    both doc_id and text one stays. Null texts count as empty, which is a class; an empty table
+    gives none; columns of any name are kept but for one named ``_key``.
     """
     key = lambda node: F.concat_ws(":", node.cast("string"), F.col("doc_id").cast("string")).alias("_key")
     _, texts = _labelled(docs, threshold)
