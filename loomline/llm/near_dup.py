@@ -459,10 +459,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Classes are of texts, so no text is lost to a null or repeated doc_id. Of rows that repeat
     both doc_id and text one stays. Null texts count as empty, which is a class; an empty table
-    gives none; columns of any name are kept but for one named ``_key``.
+    gives none; columns of any name are kept.
     """
     key = lambda node: F.concat_ws(":", node.cast("string"), F.col("doc_id").cast("string")).alias("_key")
     _, texts = _labelled(docs, threshold)
     first = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("f"))
     kept = first.select("f.doc_id", "f.node").select(key(F.col("node")))
-    return docs.select("*", key(_node(F.col("text")))).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    one = docs.select(row, key(_node(F.col("text")))).join(kept, "_key", "left_semi").dropDuplicates(["_key"])
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

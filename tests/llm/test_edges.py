@@ -62,3 +62,16 @@ def test_keep_one_loses_no_class_to_its_ids(spark):
     texts = [r["text"] for r in got]
     assert len(texts) == 4 and {b, c, d} < set(texts) and (a in texts or a + " end" in texts)
     assert all(r["doc_id"] == 3 for r in got if r["text"] in (c, d))
+
+
+def test_clashing_names(spark, labels):
+    """Columns that have the names operators work with."""
+    names = ["_key", "row", "text_a", "n_words", "kept", "t_lang", "cut", "s_source", "__row", "__copy", "__toxic", "lexicon", "node", "f"]
+    word = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, f"{word} {i // 2 * 'x y z ' }", "en", "s", *range(len(names))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in names))
+    for f in (lambda d: toxicity.reject(d, d, labels), quality.keep, near_dup.keep_one, mixing.repeat):
+        out = f(df)
+        assert out.columns == df.columns and all(r["_key"] == 0 and r["f"] == len(names) - 1 for r in out.collect())
+    for name in RUNS:
+        assert len(RUNS[name](df, labels).collect()) == 6
