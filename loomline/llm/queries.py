@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, language, licenses, lm, mixing, near_dup, quality, token_counts, topk, toxicity
+from loomline.llm import bpe, language, licenses, lm, mixing, near_dup, packing, quality, token_counts, topk, toxicity
 from loomline.llm.common import read
 
 
@@ -54,6 +54,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mix_sources, op2_lm_score, op3_token_counts, op4_toxicity, op5_bpe, op6_near_dup, op7_licenses, op8_language, op9_topk, op10_quality, pipeline]
+    own = [op1_mix_sources, op2_lm_score, op3_token_counts, op4_toxicity, op5_bpe, op6_near_dup, op7_licenses, op8_language, op9_topk, op10_quality, op11_packing, pipeline]
     return {f.__name__: f for f in own}
 
 
