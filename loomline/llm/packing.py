@@ -161,9 +161,9 @@ def _pieces(data: bytes, size: int) -> Iterator[tuple[int, int, int]]:
         yield k, a, b - a
 
 
-def _packed(pieces: Iterator[tuple], schema: pa.Schema, size: int, step: int, last: bool) -> Iterator[pa.RecordBatch]:
+def _packed(pieces: Iterator[tuple], schema: pa.Schema, size: int, step: int, last: bool, most_open: int, most_pieces: int) -> Iterator[pa.RecordBatch]:
     """Rows of packed pieces (doc_id, piece, start, length, crc, ids); with ``last`` no piece is left without a sequence."""
-    bins, window, rows = OpenBins(size, OPEN), [], []
+    bins, window, rows = OpenBins(size, most_open), [], []
     number = ((step << 24) | TaskContext.get().partitionId()) << 36
     by_length = lambda p: -p[3]
 
@@ -192,7 +192,7 @@ def _packed(pieces: Iterator[tuple], schema: pa.Schema, size: int, step: int, la
             emit([p])
         else:
             window.append(p)
-            if len(window) == WINDOW:
+            if len(window) == most_pieces:
                 pack()
         if len(rows) >= 5000:
             yield batch()
@@ -205,7 +205,7 @@ def _packed(pieces: Iterator[tuple], schema: pa.Schema, size: int, step: int, la
     yield batch()
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = 0, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = 0, with_ids: bool = True, open_bins: int = OPEN, window: int = WINDOW, task_pieces: int = TASK_PIECES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), with ``with_ids`` also ids, of every piece of ``docs``.
 
     Null and empty texts are a piece of the end id alone; a null doc_id and repeated rows are
@@ -232,11 +232,11 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = 0, with_ids: b
                         yield (*head, np.frombuffer(own, "<i4")) if with_ids else head
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _packed(encoded(batches), arrow, size, 0, False)
+        yield from _packed(encoded(batches), arrow, size, 0, False, open_bins, window)
 
     def again(step: int, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from _packed((tuple(r.values())[:-2] for b in batches for r in b.to_pylist()), arrow, size, step, last)
+            yield from _packed((tuple(r.values())[:-2] for b in batches for r in b.to_pylist()), arrow, size, step, last, open_bins, window)
 
         return run
 
@@ -250,7 +250,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = 0, with_ids: b
             break
         step += 1
         # Fewer tasks each time, even where hardly a bin was filled.
-        tasks = -(-n // TASK_PIECES)
+        tasks = -(-n // task_pieces)
         tasks = tasks if before is None else max(1, min(tasks, before // 2))
         before = tasks
         order = ["doc_id", "piece", "ids_crc32", "length"]

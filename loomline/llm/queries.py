@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, language, licenses, lm, mixing, near_dup, packing, quality, token_counts, topk, toxicity
+from loomline.llm import bpe, language, licenses, lm, merkle, mixing, near_dup, packing, quality, token_counts, topk, toxicity
 from loomline.llm.common import read
 
 
@@ -58,6 +58,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mix_sources, op2_lm_score, op3_token_counts, op4_toxicity, op5_bpe, op6_near_dup, op7_licenses, op8_language, op9_topk, op10_quality, op11_packing, pipeline]
+    own = [op1_mix_sources, op2_lm_score, op3_token_counts, op4_toxicity, op5_bpe, op6_near_dup, op7_licenses, op8_language, op9_topk, op10_quality, op11_packing, op12_merkle, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -102,5 +106,45 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def _levels_sql(prefix: str, first: str, levels: int) -> str:
+    """Tables prefix0 to prefix<levels> of nodes (g, pos, n, digest, lft, rgt) over ``first`` (g, pos, n, digest): eight neighbours become one while a group has more."""
+    out, node = [], first
+    for k in range(levels + 1):
+        sides = "string_agg(digest, '') OVER (PARTITION BY g, pos // 8 ORDER BY pos ROWS BETWEEN {})"
+        out.append(f"""{prefix}{k} AS (SELECT *, CASE WHEN n > 1 THEN coalesce({sides.format("UNBOUNDED PRECEDING AND 1 PRECEDING")}, '') END AS lft,
+        CASE WHEN n > 1 THEN coalesce({sides.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")}, '') END AS rgt FROM {node})""")
+        node = f"(SELECT g, pos // 8 AS pos, (max(n) + 7) // 8 AS n, CASE WHEN max(n) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {prefix}{k} GROUP BY g, pos // 8)"
+    return ",\n".join(out)
+
+
+def _steps_sql(prefix: str, rows: str, key: str, at: str, levels: int) -> str:
+    """``rows`` with the proof so far and the folded digest led through the levels of a tree."""
+    for k in range(levels + 1):
+        rows = f"""(SELECT r.* EXCLUDE (proof, folded), proof || coalesce(lft || rgt, '') AS proof, CASE WHEN lft IS NULL THEN folded ELSE sha256(lft || folded || rgt) END AS folded
+        FROM {rows} r JOIN (SELECT g AS jg, pos AS jp, lft, rgt FROM {prefix}{k}) ON jg = {key} AND jp = {at} // {8**k})"""
+    return rows
+
+
+def _merkle_sql(levels: int = 8, tops: int = 3) -> str:
+    """The tree for up to 8**levels rows a language and 8**tops languages."""
+    part = lambda x: f"coalesce(strlen({x}) || ':' || {x}, '-')"
+    row = lambda text: "sha256(" + " || ".join(part(x) for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+c AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) % 3 = 0 AS touched FROM documents, tab),
+h AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {row("text")} AS leaf, CASE WHEN touched THEN {row(low)} END AS changed FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM h),
+{_levels_sql("a", "(SELECT g, pos, n, leaf AS digest FROM p)", levels)},
+s AS (SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS spot, count(*) OVER () AS many FROM a{levels}),
+{_levels_sql("b", "(SELECT '' AS g, spot AS pos, many AS n, subroot AS digest FROM s)", tops)},
+l AS (SELECT p.*, '' AS proof, coalesce(changed, leaf) AS folded, subroot, spot FROM p JOIN s USING (g)),
+u AS (SELECT * FROM {_steps_sql("a", "l", "r.g", "r.pos", levels)}),
+v AS (SELECT * FROM {_steps_sql("b", "u", "''", "r.spot", tops)})
+SELECT doc_id, leaf, subroot, (SELECT max(digest) FROM b{tops}) AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = (SELECT max(digest) FROM b{tops}) AS verified FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1, "op9_topk": _OP9}
+    return {"op1_mix_sources": _OP1, "op9_topk": _OP9, "op12_merkle": _merkle_sql()}

@@ -69,14 +69,11 @@ def test_query_against_the_library(spark):
 
 
 @pytest.mark.parametrize(("open_bins", "window", "task"), [(packing.OPEN, packing.WINDOW, packing.TASK_PIECES), (2, 3, 10)])
-def test_hard_rows_over_many_partitions(spark, docs, monkeypatch, open_bins, window, task):
+def test_hard_rows_over_many_partitions(spark, docs, open_bins, window, task):
     """Nulls, long texts, ties, repeated rows; with few bins and tasks pieces go through many rounds."""
-    monkeypatch.setattr(packing, "OPEN", open_bins)
-    monkeypatch.setattr(packing, "WINDOW", window)
-    monkeypatch.setattr(packing, "TASK_PIECES", task)
     rows = [r for r in docs.collect()] + [(i, "few words of text " * (i % 9), *[None] * 6) for i in range(200, 300)]
     df = spark.createDataFrame(rows, docs.schema)
-    got = packing.pack(df.repartition(6), PATH, size=256, end=7)
+    got = packing.pack(df.repartition(6), PATH, size=256, end=7, open_bins=open_bins, window=window, task_pieces=task)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
     out = got.collect()
     ids = library([r[1] for r in rows])
