@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import bpe, language, licenses, lm, merkle, mixing, near_dup, packing, quality, token_counts, topk, toxicity
+from loomline.llm import bpe, language, licenses, lm, merkle, mixing, near_dup, packing, quality, spelling, token_counts, topk, toxicity
 from loomline.llm.common import read
 
 
@@ -62,6 +62,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(read(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mix_sources, op2_lm_score, op3_token_counts, op4_toxicity, op5_bpe, op6_near_dup, op7_licenses, op8_language, op9_topk, op10_quality, op11_packing, op12_merkle, pipeline]
+    own = [op1_mix_sources, op2_lm_score, op3_token_counts, op4_toxicity, op5_bpe, op6_near_dup, op7_licenses, op8_language, op9_topk, op10_quality, op11_packing, op12_merkle, op13_spelling, pipeline]
     return {f.__name__: f for f in own}
 
 
