@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,20 +36,21 @@ def chunks(tables: DataFrame) -> DataFrame:
     })
 
 
-def interleave(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+def interleave(blocks: DataFrame, tables: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Blocks and a marker for each table, in order, each tagged with the table that follows it.
 
     ``blocks`` (doc_slug, block_index, page_number, block_type, text, table_ref), ``tables``
     (doc_slug, table_index, table_id, page_number). A marker stands after the last block whose
     page is not beyond its own; a block is tagged with the first marker after it, a marker with
     the next one of its place if that is a later table, else with itself. The place comes from a
-    running maximum over pages, so blocks and tables are never paired.
+    running maximum over pages, so blocks and tables are never paired. With ``carry``, columns of
+    ``blocks``, rows have these too, null for markers, and ``table_id``, a marker's own table.
     """
     doc = W.partitionBy("doc_slug")
-    b = blocks.select("doc_slug", F.col("block_index").alias("i"), "page_number", "block_type", "text", "table_ref", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("table_id"))
+    b = blocks.select("doc_slug", F.col("block_index").alias("i"), "page_number", "block_type", "text", "table_ref", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("table_id"), *carry)
     t = tables.select("doc_slug", F.col("table_index").alias("i"), "page_number", F.lit("table_ref").alias("block_type"), table_marker(F.col("table_id")).alias("text"),
                       F.lit(None).cast("string").alias("table_ref"), F.lit(1).alias("kind"), "table_id")
-    both = b.unionByName(t)
+    both = b.unionByName(t, allowMissingColumns=bool(carry))
     upto = doc.orderBy("page_number").rangeBetween(W.unboundedPreceding, W.currentRow)
     last = F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("i"))).over(upto), F.lit(-1))
     placed = both.withColumn("__last", last).withColumn("anchor", F.when(F.col("kind") == 0, F.col("i")).otherwise(F.col("__last")))
@@ -58,4 +61,4 @@ def interleave(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     follows = (F.col("__n.kind") == 1) & (F.col("__n.anchor") == F.col("anchor"))
     later = F.when(follows & (F.col("__n.i") > F.col("i")), F.col("__n.table_id"))
     ref = F.when(F.col("kind") == 0, F.coalesce(F.when(follows, F.col("__n.table_id")), F.col("table_ref"))).otherwise(F.coalesce(later, F.col("table_id")))
-    return placed.select("doc_slug", "seq", F.when(F.col("kind") == 0, F.col("i")).otherwise(-1).alias("block_index"), "block_type", "text", "page_number", ref.alias("table_ref"))
+    return placed.select("doc_slug", "seq", F.when(F.col("kind") == 0, F.col("i")).otherwise(-1).alias("block_index"), "block_type", "text", "page_number", ref.alias("table_ref"), *(["table_id", *carry] if carry else []))

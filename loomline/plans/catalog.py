@@ -661,6 +661,62 @@ def chunk_units(spark, sf):
     return chunking.chunk(d, "doc_id")
 
 
+# Conversations as documents: users' turns are headings, every second turn of the assistant is a table of its lines, each
+# turn is a page. Strategies go by the conversation.
+_STRATEGY_OF = ", ".join(f"({c}, '{st}', '{by}', {size}, {overlap})" for c, st, by, size, overlap in fixed.CHUNKING)
+_SAME = "{0}.conv_id = {1}.conv_id AND {0}.section = {1}.section AND {0}.part = {1}.part"
+
+
+def _dialogues(spark, sf):
+    t = _talk(spark, sf).withColumns({"role": F.col("label"), "page_number": F.col("pos")})
+    is_table = (F.col("role") == "text") & (F.col("pos") % 4 == 3)
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda x, i: F.array(i.cast("string"), x))
+    return t.withColumns({
+        "label": F.when(is_table, "table").otherwise(F.col("role")), "columns": F.when(is_table, F.array(F.lit("line"), F.lit("Budget"))),
+        "rows": F.when(is_table, lines), "text": F.when(is_table, "").otherwise(F.col("text")),
+    }).drop("role")
+
+
+@registered(_TRAIL + rf""", k AS (SELECT * FROM (VALUES {_STRATEGY_OF}) v(cat, strategy, chunk_by, size, overlap)),
+  a AS (SELECT i.conv_id, i.turn, i.is_head, w.path, i.txt AS text, role <> 'user' AND i.turn % 4 = 3 AS tab, list_filter(string_split(c.text, chr(10)), lambda x: x <> '') AS lines
+    FROM i JOIN w ON i.conv_id = w.conv_id AND i.turn = w.turn JOIN conversations c ON i.conv_id = c.conv_id AND i.turn = c.turn),
+  n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, tab ORDER BY turn) - 1 AS ti FROM a),
+  x AS (SELECT *, CASE WHEN tab THEN printf('%d_table_%03d', conv_id, ti) END AS tid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,
+    CAST(count(*) FILTER (is_head) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS section FROM n WHERE CASE WHEN tab THEN len(lines) > 0 ELSE text <> '' END),
+  s AS (SELECT x.*, strategy, chunk_by, size, overlap FROM x JOIN k ON cat = conv_id % 9),
+  us AS (SELECT * EXCLUDE (lines), list_filter(list_transform(CASE WHEN tab THEN ['[TABLE_REF: ' || tid || ']'] WHEN is_head THEN [text] ELSE {_units_sql()} END, lambda x: regexp_extract_all(x, '{chunking.WORD}')), lambda w: len(w) > 0) AS ws
+    FROM s WHERE strategy <> 'tables_only'),
+  ps AS (SELECT *, flatten(list_transform(ws, lambda w: list_transform(range(0, len(w), size), lambda i: w[i + 1:i + size]))) AS pieces FROM us),
+  e0 AS (SELECT conv_id, section, seq, strategy, size, overlap, path, tid, unnest(pieces) AS w, generate_subscripts(pieces, 1) AS u FROM ps),
+  e1 AS (SELECT *, len(w) AS n, CAST(coalesce(sum(len(w)) OVER (PARTITION BY conv_id, section ORDER BY seq, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM e0),
+  e AS (SELECT *, b // {chunking.PART_TOKENS} AS part, row_number() OVER (PARTITION BY conv_id, section, b // {chunking.PART_TOKENS} ORDER BY seq, u) - 1 AS i FROM e1),
+  g AS (SELECT conv_id, section, part, list(b ORDER BY i) AS bs, max(b + n) AS total, max(i) + 1 AS many FROM e GROUP BY ALL),
+  r AS (SELECT conv_id, section, part, i, CAST(0 AS BIGINT) AS a FROM e WHERE i = 0 UNION ALL
+    SELECT e.conv_id, e.section, e.part, e.i, CASE WHEN e.b + e.n - bs[r.a + 1] <= size THEN r.a
+      ELSE list_filter(range(r.a + 1, e.i + 1), lambda k: e.b - bs[k + 1] <= overlap AND e.b + e.n - bs[k + 1] <= size)[1] END
+    FROM r JOIN e ON {_SAME.format("r", "e")} AND e.i = r.i + 1 JOIN g ON {_SAME.format("r", "g")}),
+  c0 AS (SELECT conv_id, section, part, a, max(i) + 1 AS z FROM r GROUP BY ALL),
+  c1 AS (SELECT c0.*, bs, total, many, lag(a) OVER p AS prior, lead(a) OVER p IS NULL AS is_last FROM c0 JOIN g ON {_SAME.format("c0", "g")} WINDOW p AS (PARTITION BY c0.conv_id, c0.section, c0.part ORDER BY a)),
+  c2 AS (SELECT *, is_last AND prior IS NOT NULL AND total - bs[a + 1] < {fixed.CHUNK_MIN_TOKENS} AND total - bs[prior + 1] <= {fixed.CHUNK_MAX_TOKENS} AS joins FROM c1),
+  c3 AS (SELECT *, coalesce(lead(joins) OVER (PARTITION BY conv_id, section, part ORDER BY a), false) AS grows FROM c2),
+  c AS (SELECT conv_id, section, part, a, CASE WHEN grows THEN many ELSE z END AS z FROM c3 WHERE NOT joins),
+  prose AS (SELECT c.conv_id, min(e.strategy) AS strategy, min(e.path) AS path, list(tid ORDER BY e.i) FILTER (tid IS NOT NULL) AS refs, sum(n) AS n_tokens, string_agg(array_to_string(w, ' '), chr(10) ORDER BY e.i) AS chunk,
+    min(seq) AS seq, arg_min(u, e.i) AS u, 0 AS kind FROM c JOIN e ON {_SAME.format("c", "e")} AND e.i >= c.a AND e.i < c.z GROUP BY c.conv_id, c.section, c.part, c.a),
+  caps AS (SELECT conv_id, turn, last_value(CASE WHEN NOT tab AND text <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cap FROM a),
+  tabs AS (SELECT s.conv_id, strategy, path, [tid] AS refs, seq, CASE WHEN len(path) > 0 THEN 'Section: ' || array_to_string(path, ' > ') || chr(10) ELSE '' END || CASE WHEN length(cap) < {fixed.CAPTION_BELOW} AND cap <> '' THEN 'Table: ' || cap || chr(10) ELSE '' END
+      || 'Reference: ' || tid || chr(10) || chr(10) || '| line | Budget |' || chr(10) || '| --- | --- |' || array_to_string(list_transform(lines[1:{fixed.TABLE_ROWS}], lambda x, i: chr(10) || '| ' || (i - 1) || ' | ' || x || ' |'), '') AS chunk
+    FROM s JOIN caps ON caps.conv_id = s.conv_id AND caps.turn = s.turn WHERE tab AND len(lines) >= 2 AND strategy IN ('tables_only', 'hybrid')),
+  every AS (SELECT conv_id, strategy, path, coalesce(refs, []) AS refs, n_tokens, chunk, seq, u, kind FROM prose UNION ALL SELECT conv_id, strategy, path, refs, len(regexp_extract_all(chunk, '{chunking.WORD}')), chunk, seq, 0, 1 FROM tabs)
+  SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY seq, u, kind) - 1 AS INTEGER) AS chunk_index, strategy, array_to_string(path, ' > ') AS heading_path, array_to_string(refs, ',') AS table_refs, CAST(n_tokens AS BIGINT) AS n_tokens, chunk FROM every""")
+def section_chunks(spark, sf):
+    """Chunks of woven blocks and tables by the strategy of a category (an extension; names and sizes are those of the fixed values)."""
+    k = spark.createDataFrame(fixed.CHUNKING, "cat long, chunking_strategy string, chunk_by string, chunk_size int, chunk_overlap int")
+    items = _dialogues(spark, sf)
+    config = items.select("doc_slug").distinct().withColumn("cat", F.col("doc_slug").cast("long") % 9).join(F.broadcast(k), "cat")
+    c = runs.chunked(runs.extraction(items), config)
+    return c.select(F.col("doc_slug").cast("long").alias("conv_id"), "chunk_index", "strategy", T.breadcrumb(F.col("heading_path")).alias("heading_path"), F.array_join("table_refs", ",").alias("table_refs"), "n_tokens", "chunk")
+
+
 @registered("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
   s AS (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 1, 0), 300)) AS k FROM w WHERE len(w) > 0)
   SELECT doc_id, CAST(k AS INTEGER) AS start_at, array_to_string(w[k + 1:k + 350], ' ') AS chunk FROM s WHERE k = 0 OR k + 50 < len(w)""")

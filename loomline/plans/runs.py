@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import fixed
 from loomline.operators import blocks as B
-from loomline.operators import cache, cascade, lookup, tables
+from loomline.operators import cache, cascade, chunking, lookup, tables
 from loomline.operators.progress import pending
 from loomline.sources import files as sources
 from loomline.sources import sinks
@@ -35,6 +35,12 @@ def extraction(items: DataFrame, skips: DataFrame | None = None, kept: Callable[
     return {"blocks": text, "tables": found, "chunks": tables.chunks(found), "woven": tables.interleave(text, found)}
 
 
+def chunked(extracted: dict[str, DataFrame], config: DataFrame) -> DataFrame:
+    """The chunks of an extraction by the strategy, unit, size and overlap that ``config`` has for its doc_slug."""
+    woven = tables.interleave(extracted["blocks"], extracted["tables"], carry=("heading_path",))
+    return chunking.section_chunks(woven, extracted["chunks"], config)
+
+
 def preview(extracted: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The first few rows of an extraction's parts, in order, for display."""
     order = {"blocks": ["doc_slug", "block_index"], "tables": ["doc_slug", "table_index"], "chunks": ["doc_slug", "table_index"]}
