@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from loomline.functions import fixed, rules
 from loomline.functions import text as T
 from loomline.operators import blocks as B
-from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval, tables
+from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval, similar, tables
 from loomline.plans import runs
 from loomline.sources import files, sinks
 
@@ -730,6 +730,25 @@ def chunk_windows(spark, sf):
     return e.select("doc_id", "start_at", F.array_join(F.slice("w", F.col("start_at") + 1, F.lit(size)), " ").alias("chunk"))
 
 
+# Sets of five-word shingles, compared in full: every pair that shares any.
+_SETS = rf"""w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{chunking.WORD}') AS w FROM documents),
+  g AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < {similar.SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - {similar.SHINGLE - 1}), lambda k: array_to_string(w[k + 1:k + {similar.SHINGLE}], ' ')) END)) AS s FROM w WHERE len(w) > 0),
+  c AS (SELECT s, min(doc_id) AS id, count(*) AS n FROM g GROUP BY s)"""
+
+
+@registered(f"""WITH {_SETS}, x AS (SELECT id, n, len(s) AS size, unnest(s) AS h FROM c),
+  p AS (SELECT a.id AS left_id, b.id AS right_id, a.n AS n_left, b.n AS n_right, a.size AS sa, b.size AS sb, CAST(count(*) AS BIGINT) AS n_shared FROM x a JOIN x b ON a.h = b.h AND a.id < b.id GROUP BY ALL)
+  SELECT left_id, right_id, n_left, n_right, n_shared, CAST(sa + sb - n_shared AS BIGINT) AS n_either, n_shared / (sa + sb - n_shared) AS similarity FROM p WHERE n_shared * 100 >= (sa + sb - n_shared) * {round(fixed.DEDUP_THRESHOLD * 100)}""")
+def similar_pairs(spark, sf):
+    """All pairs of documents at the declared threshold (an extension), between sets that stand for equal ones."""
+    return similar.similar_pairs(_read(spark, sf, "documents"))
+
+
+@registered(f"WITH {_SETS} SELECT d.doc_id, c.id AS class_id FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN c ON c.s = g.s")
+def set_classes(spark, sf):
+    return similar.set_classes(_read(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
