@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from loomline.functions import fixed, rules
 from loomline.functions import text as T
 from loomline.operators import blocks as B
-from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval, similar, tables
+from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval, similar, tables, vectors
 from loomline.plans import runs
 from loomline.sources import files, sinks
 
@@ -749,6 +749,28 @@ def set_classes(spark, sf):
     return similar.set_classes(_read(spark, sf, "documents"))
 
 
+# Vectors as documents of a collection, as parts above: not all are indexed, some are superseded, weights by priority.
+_COLLECTION = """d AS (SELECT vec_id, embedding, vec_id % 11 <> 0 AS index, CASE WHEN vec_id % 7 = 0 THEN vec_id - 1 END AS supersedes, [2.0, 1.5, 1.0, 0.5][CAST(vec_id % 4 AS INTEGER) + 1] AS w FROM embeddings),
+  c AS (SELECT * FROM d WHERE index AND vec_id NOT IN (SELECT supersedes FROM d WHERE supersedes IS NOT NULL))"""
+
+
+def _collection(spark, sf):
+    key = F.col("vec_id")
+    weight = F.element_at(F.array(*[F.lit(w) for _, w in fixed.PRIORITY_WEIGHTS]), (key % 4).cast("int") + 1)
+    return _read(spark, sf, "embeddings").select("vec_id", "embedding", key.alias("filename"), (key % 11 != 0).alias("index"), F.when(key % 7 == 0, key - 1).alias("supersedes"), weight.alias("rag_weight"))
+
+
+@registered(f"""WITH {_COLLECTION}, p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) * c.w, 6) + 0.0 AS score
+    FROM embeddings q JOIN c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM p) SELECT query_id, rank, id, CAST(score AS DOUBLE) AS score FROM r WHERE rank <= 10""")
+def vector_search(spark, sf):
+    """The ten best of the collection's current documents for every hundredth vector, by cosine times weight (an extension)."""
+    docs = retrieval.current(_collection(spark, sf))
+    index = vectors.build(docs, "vec_id", "embedding", F.col("rag_weight"))
+    queries = _read(spark, sf, "embeddings").filter(F.col("vec_id") % 100 == 0)
+    return vectors.search(index, queries, "vec_id", "embedding", 10, skip_own=True)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
