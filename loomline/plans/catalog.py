@@ -13,7 +13,9 @@ from loomline.functions import text as T
 from loomline.operators import blocks as B
 from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval, similar, tables, vectors
 from loomline.plans import runs
-from loomline.sources import files, sinks
+from loomline.sources import files, shared, sinks
+from loomline.sources.snapshots import Snapshots
+from loomline.streaming import progress as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -771,6 +773,35 @@ def vector_search(spark, sf):
     return vectors.search(index, queries, "vec_id", "embedding", 10, skip_own=True)
 
 
+@registered(_LATEST + "SELECT file, status, error, last_id FROM l")
+def progress_compacted(spark, sf):
+    """Events in four runs, two of them merged into a snapshot, one into the next, the last one read beside it."""
+    e = _progress(spark, sf)
+    with shared.scratch():
+        own = Snapshots(spark, shared.place(spark, "events"), progress.SCHEMA, ["file"], ["ts", "status"])
+        for run in range(4):
+            own.append(e.filter(F.pmod(F.xxhash64("file", "ts"), F.lit(4)) == run), run)
+            if run in (1, 2):
+                own.compact()
+        last = own.read().select("file", "status", F.coalesce(F.substring("error", 1, fixed.ERROR_CHARS), F.lit("")).alias("error"), F.unix_timestamp("ts").alias("last_id"))
+        return shared.result(last, "compacted")
+
+
+@registered(_LATEST + f"""SELECT l.file, l.status, l.error, last_id, n_events, n_completed, coalesce(last_error, '') AS last_error FROM l JOIN (SELECT file, CAST(count(*) AS BIGINT) AS n_events,
+  CAST(count(*) FILTER (status = 'completed') AS BIGINT) AS n_completed, arg_max(error, event_id) FILTER (status = 'failed') AS last_error FROM e WHERE status IS NOT NULL GROUP BY 1) USING (file)""")
+def progress_stream(spark, sf):
+    """The events as a stream of files in no order of time, followed in two runs of one checkpoint."""
+    e = _progress(spark, sf)
+    with shared.scratch():
+        arrived, states, checkpoint = (shared.place(spark, n) for n in ("arrived", "states", "checkpoint"))
+        for run in range(2):
+            e.filter(F.pmod(F.xxhash64("ts"), F.lit(2)) == run).repartition(3, "ts").write.mode("append").parquet(arrived)
+            stream = spark.readStream.schema(progress.SCHEMA).option("maxFilesPerTrigger", "2").parquet(arrived)
+            live.follow(stream, states, checkpoint, compact_every=3).awaitTermination()
+        s = live.store(spark, states).read()
+        return shared.result(s.select("file", "status", F.coalesce("error", F.lit("")).alias("error"), F.unix_timestamp("ts").alias("last_id"), "n_events", "n_completed", F.coalesce("last_error", F.lit("")).alias("last_error")), "stream")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from loomline.operators import cache, cascade, chunking, lookup, tables
 from loomline.operators.progress import pending
 from loomline.sources import files as sources
 from loomline.sources import sinks
+from loomline.sources.snapshots import Snapshots
 
 
 def configuration(docs: DataFrame, overrides: DataFrame | None = None, text: str | None = "text") -> DataFrame:
@@ -54,23 +56,30 @@ def resumed(config: DataFrame, events: DataFrame, files: DataFrame, force: bool
     return lookup.in_work_order(pending(config, events, force).join(names, "filename", "left_semi"))
 
 
-def extract(config: DataFrame, files: DataFrame, make_standard: Callable, make_ocr: Callable, path: str, force: bool = False, run: int = 0) -> DataFrame:
+def extract(config: DataFrame, files: DataFrame, make_standard: Callable, make_ocr: Callable, path: str | Snapshots, force: bool = False, run: int = 0) -> DataFrame:
     """Stored extractions of the documents of ``config`` (filename, is_scanned, skip_sections) that have a file.
 
     What is stored at ``path`` is read; the rest, with ``force`` all, is converted once and
     appended as ``run``, a file that fails with its error. A later run tries such a file again.
+    ``path`` is a folder of JSON or snapshots (``sources.stored_snapshots``), which are compacted then.
     """
     spark = config.sparkSession
+    stored = (lambda: sources.read_snapshots(path)) if isinstance(path, Snapshots) else (lambda: sources.read_stored(spark, path))
     here = config.join(files.select(F.col("name").alias("filename")).distinct(), "filename", "left_semi")
-    _, todo = cache.split(here, sources.read_stored(spark, path), force)
+    _, todo = cache.split(here, stored(), force)
     given = todo.join(files.select(F.col("name").alias("filename"), "content"), "filename")
     both = sources.converted(given.select("doc_slug", "content", "is_scanned"), make_standard, make_ocr).persist()  # once for all that is made of it
     items, errors = sources.split_converted(both)
     out = extraction(items, todo.select("doc_slug", "skip_sections"))
     info = todo.select("doc_slug", F.col("filename").alias("source_file"), "is_scanned").join(sources.page_counts(items), "doc_slug", "left").join(errors, "doc_slug", "left")
-    sinks.store(sinks.documents(info, out["blocks"], out["tables"]), path, run)
+    docs = sinks.documents(info, out["blocks"], out["tables"])
+    if isinstance(path, Snapshots):
+        path.append(docs.withColumn("run", F.lit(run)), f"{run:012d}-{uuid.uuid4().hex[:8]}")
+        path.compact()
+    else:
+        sinks.store(docs, path, run)
     both.unpersist()
-    return sources.read_stored(spark, path).join(cache.keyed(here).select("doc_slug"), "doc_slug", "left_semi")
+    return stored().join(cache.keyed(here).select("doc_slug"), "doc_slug", "left_semi")
 
 
 def extract_single(spark: SparkSession, path: str, convert: Callable, is_scanned: bool = False) -> dict[str, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 from loomline.functions import fixed
 from loomline.functions.text import base_name, first_page, label, strip, text_or_empty
 from loomline.operators.cache import last_runs
+from loomline.sources.snapshots import Snapshots
 
 ITEMS = "doc_slug string, pos int, label string, level int, page_number int, text string, columns array<string>, rows array<array<string>>"
 BLOCK = "text string, block_type string, heading_path array<string>, page_number int, block_index int, table_ref string"
@@ -139,6 +140,20 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         d = spark.createDataFrame([], STORED)
+    return _defaults(d)
+
+
+def stored_snapshots(spark: SparkSession, path: str, parts: int = 32) -> Snapshots:
+    """Stored extractions at ``path`` as compacted runs; the last run of a document counts."""
+    return Snapshots(spark, path, STORED, ["doc_slug"], ["run"], parts)
+
+
+def read_snapshots(stored: Snapshots) -> DataFrame:
+    """The last stored extraction of each document, as :func:`read_stored` gives it."""
+    return _defaults(stored.read())
+
+
+def _defaults(d: DataFrame) -> DataFrame:
     return d.withColumns({
         "is_scanned": F.coalesce("is_scanned", F.lit(False)),
         "total_pages": F.coalesce("total_pages", F.lit(0)),

@@ -29,11 +29,17 @@ def folder(spark: SparkSession) -> str:
     return found
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the folder that nothing else has; what is written there goes as kept tables do."""
+    path = os.path.join(folder(spark), f"{name}-{uuid.uuid4().hex}")
+    _kept[path] = spark
+    return path
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table and read back, which cuts its lineage; :func:`drop` removes it, else it goes when Python ends."""
     spark = df.sparkSession
-    path = os.path.join(folder(spark), f"{name}-{uuid.uuid4().hex}")
-    _kept[path] = spark
+    path = place(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path

@@ -4,6 +4,7 @@ import datetime
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.functions import fixed
@@ -23,8 +24,10 @@ def test_golden_names(spark):
     assert {r["filename"]: [r["type"], r["fy"], r["period"], r["review_level"], f"{r['type_source']} {r['fy_source']} {r['period_source']}"] for r in got} == want
 
 
-def test_runs_convert_only_what_is_not_stored(spark, tmp_path):
+@pytest.mark.parametrize("compacted", [False, True])
+def test_runs_convert_only_what_is_not_stored(spark, tmp_path, compacted):
     raw, out = tmp_path / "raw", str(tmp_path / "stored")
+    out = files.stored_snapshots(spark, out, parts=2) if compacted else out
     raw.mkdir()
     # Two names whose slugs are the same, and a file that fails.
     long = "a" * 45
