@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from loomline.functions import fixed, rules
 from loomline.functions import text as T
 from loomline.operators import blocks as B
-from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval, similar, tables, vectors
+from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval, rule_table, similar, tables, vectors, versions
 from loomline.plans import runs
 from loomline.sources import files, shared, sinks
 from loomline.sources.snapshots import Snapshots
@@ -802,6 +802,42 @@ def progress_stream(spark, sf):
         return shared.result(s.select("file", "status", F.coalesce("error", F.lit("")).alias("error"), F.unix_timestamp("ts").alias("last_id"), "n_events", "n_completed", F.coalesce("last_error", F.lit("")).alias("last_error")), "stream")
 
 
+@registered(f"""WITH d AS (SELECT p_partkey, ({_list_sql(_SAMPLES)})[CAST(p_partkey % {len(_SAMPLES)} AS INTEGER) + 1] || ' ' || p_name AS t FROM part)
+  SELECT p_partkey, {rules.sql_case(_NORMAL, fixed.FILENAME_TYPES)} AS by_name, {rules.sql_case('lower(t)', fixed.COVER_TYPES)} AS by_plain_cover FROM d""")
+def rules_as_rows(spark, sf):
+    """Both lists of rules as tables, over the texts of ``type_rules``."""
+    t = F.concat(F.element_at(F.array(*map(F.lit, _SAMPLES)), (F.col("p_partkey") % len(_SAMPLES)).cast("int") + 1), F.lit(" "), F.col("p_name"))
+    d = _read(spark, sf, "part").select("p_partkey", T.normalize(t).alias("name"), F.lower(t).alias("low"))
+    a = rule_table.first_of(d, rule_table.table(spark, fixed.FILENAME_TYPES), "p_partkey", "name")
+    b = rule_table.first_of(d, rule_table.table(spark, fixed.COVER_TYPES), "p_partkey", "low")
+    return a.withColumnRenamed("label", "by_name").join(b.withColumnRenamed("label", "by_plain_cover"), "p_partkey")
+
+
+@registered(f"SELECT doc_id, {rules.sql_case('lower(text)', LICENSE_RULES)} AS label FROM documents")
+def licenses_by_rule_table(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return rule_table.first_of(d, rule_table.table(spark, LICENSE_RULES), "doc_id", "text")
+
+
+# Parts as documents of which each revises the one before it, in chains of 60, some of them the one before that; every fifth
+# chain is a circle, as its first part revises its last.
+_REVISED = """CASE WHEN p_partkey % 60 = 0 THEN CASE WHEN p_partkey % 300 = 0 THEN p_partkey + 59 END WHEN p_partkey % 13 = 5 AND p_partkey % 60 > 1 THEN p_partkey - 2 ELSE p_partkey - 1 END"""
+_CHAINS = f"""WITH RECURSIVE d AS (SELECT 'p' || p_partkey AS f, 'p' || ({_REVISED}) AS s FROM part),
+  n AS (SELECT d.f, max(e.f) AS nxt FROM d LEFT JOIN d e ON e.s = d.f GROUP BY d.f),
+  w AS (SELECT f, nxt, [f] AS path FROM n UNION ALL SELECT w.f, n.nxt, list_append(path, n.f) FROM w JOIN n ON n.f = w.nxt WHERE NOT list_contains(path, n.f)),
+  l AS (SELECT f, arg_max(path, len(path)) AS path, arg_max(coalesce(nxt, ''), len(path)) AS back FROM w GROUP BY f),
+  r AS (SELECT l.f, n.nxt, path, back <> '' AS circle, CASE WHEN back = '' THEN path[-1] ELSE list_max(path[list_position(path, back):]) END AS newest FROM l JOIN n ON n.f = l.f)
+"""
+
+
+@registered(_CHAINS + "SELECT f AS filename, nxt AS superseded_by, newest, CASE WHEN NOT circle THEN CAST(len(path) - 1 AS BIGINT) END AS n_newer, circle AS in_circle FROM r")
+def newest_versions(spark, sf):
+    """What supersedes each document and its newest version, over chains and circles (an extension)."""
+    p = _read(spark, sf, "part")
+    d = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("filename"), F.concat(F.lit("p"), F.expr(_REVISED).cast("string")).alias("supersedes"))
+    return versions.newest(d)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import fixed
 from loomline.operators import blocks as B
-from loomline.operators import cache, cascade, chunking, lookup, tables
+from loomline.operators import cache, cascade, chunking, lookup, tables, versions
 from loomline.operators.progress import pending
 from loomline.sources import files as sources
 from loomline.sources import sinks
@@ -23,6 +23,17 @@ def configuration(docs: DataFrame, overrides: DataFrame | None = None, text: str
     return lookup.enrich(cascade.detect(docs, known, text).withColumnRenamed("type", "document_type"))
 
 
+def superseding(config: DataFrame, revisions: DataFrame) -> DataFrame:
+    """``config`` with supersedes, superseded_by and the newest version of each document; ``revisions`` (filename, supersedes) has what is known.
+
+    Of several documents that one supersedes the last by name is written. See ``versions.newest``.
+    """
+    own = revisions.groupBy(F.col("filename").alias("__own")).agg(F.max("supersedes").alias("supersedes"))
+    after = versions.newest(config.select("filename").join(own, F.col("filename") == F.col("__own"), "left").select("filename", "supersedes"))
+    after = after.select(F.col("filename").alias("__after"), "superseded_by", "newest")
+    return config.join(own, F.col("filename") == F.col("__own"), "left").join(after, F.col("filename") == F.col("__after"), "left").drop("__own", "__after")
+
+
 def extraction(items: DataFrame, skips: DataFrame | None = None, kept: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Blocks with markers, tables, and table chunks of converted items.
 

@@ -22,7 +22,10 @@ def _flag(cases: list[tuple[Column, str]]) -> Column:
 
 
 def config_lines(docs: DataFrame) -> DataFrame:
-    """(filename, entry): each document's entry in a fixed order of keys, with comments on what needs review."""
+    """(filename, entry): each document's entry in a fixed order of keys, with comments on what needs review.
+
+    ``supersedes`` and ``superseded_by`` are written where ``docs`` has them, else null.
+    """
     c = F.col
     year_flag = _flag([
         (c("fy") == "na", "timeless: no fiscal year applies"),
@@ -36,6 +39,7 @@ def config_lines(docs: DataFrame) -> DataFrame:
     sections = F.when(F.size("skip_sections") > 0, F.concat(F.lit("    skip_sections:\n"), F.array_join(F.transform("skip_sections", lambda s: F.concat(F.lit("      - "), yaml_string(s))), "\n"))).otherwise("    skip_sections: []")
     plain = lambda key: line(key, c(key).cast("string"))
     quoted = lambda key: line(key, yaml_string(c(key)))
+    named = lambda key: yaml_string(c(key)) if key in docs.columns else F.lit("null")
     head = F.when(c("review_level") == "hard", "  # HARD: fix by hand\n").when(c("review_level") == "soft", "  # SOFT: spot-check\n").otherwise("")
     entry = F.concat(head, F.concat_ws(
         "\n",
@@ -45,7 +49,7 @@ def config_lines(docs: DataFrame) -> DataFrame:
         line("report_period", yaml_string(c("period")), _flag([(c("period_source") == "cover", "SOFT: found in the text")])),
         *map(quoted, ("domain", "priority")), *map(plain, ("rag_weight", "category")), *map(quoted, ("chunking_strategy", "chunk_by")),
         *map(plain, ("chunk_size", "chunk_overlap")), F.lit("    index: true"), *map(plain, ("has_tables", "is_scanned")), F.lit("    language: 'english'"),
-        sections, line("supersedes", F.lit("null"), revision), F.lit("    superseded_by: null"),
+        sections, line("supersedes", named("supersedes"), revision), line("superseded_by", named("superseded_by")),
         F.concat(F.lit("    # resolved: type="), c("type_source"), F.lit(" fy="), c("fy_source"), F.lit(" period="), c("period_source")),
     ))
     return docs.select("filename", entry.alias("entry"))
