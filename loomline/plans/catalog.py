@@ -599,6 +599,17 @@ def session_counters(spark, sf):
     return progress.session(_progress(spark, sf), F.timestamp_seconds(F.lit(300))).select("done", "skip", "fail")
 
 
+# Elapsed values have two decimals; tenths of them are rounded half to even.
+@registered("""WITH h AS (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS h FROM events WHERE event_type IN ('purchase', 'error', 'click') AND event_id >= 300),
+  t AS (SELECT event_type, h // 10 + CASE WHEN h % 10 > 5 OR (h % 10 = 5 AND (h // 10) % 2 = 1) THEN 1 ELSE 0 END AS tenths FROM h)
+  SELECT CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS done, round(CAST(coalesce(sum(tenths), 0) AS DOUBLE) / 600, 1) AS minutes,
+    'Session complete: ' || round(CAST(coalesce(sum(tenths), 0) AS DOUBLE) / 600, 1) || ' min' AS line FROM t""")
+def session_minutes(spark, sf):
+    e, since = _progress(spark, sf), F.timestamp_seconds(F.lit(300))
+    line = progress.report(e, since).filter("line_no = 0").select("line")
+    return progress.session(e, since).select("done", "minutes").join(F.broadcast(line), F.concat(F.lit("Session complete: "), F.col("minutes").cast("string"), F.lit(" min")) == F.col("line"))
+
+
 @registered(_LATEST + f"""SELECT 1 AS line_no, '  Processed: ' || count(*) FILTER ({_STATUS} = 'completed') AS line FROM events UNION ALL
   SELECT 2, '  Skipped: ' || count(*) FILTER ({_STATUS} = 'skipped') FROM events UNION ALL SELECT 3, '  Failed: ' || count(*) FILTER ({_STATUS} = 'failed') FROM events UNION ALL
   SELECT 4, '  Overall: completed=' || count(*) FILTER (status = 'completed') || ' failed=' || count(*) FILTER (status = 'failed') || ' skipped=' || count(*) FILTER (status = 'skipped') FROM l UNION ALL

@@ -14,6 +14,7 @@ from loomline.operators import cache, cascade, chunking, lookup, tables, version
 from loomline.operators.progress import pending
 from loomline.sources import files as sources
 from loomline.sources import sinks
+from loomline.sources.shared import kept, scratch
 from loomline.sources.snapshots import Snapshots
 
 
@@ -34,15 +35,15 @@ def superseding(config: DataFrame, revisions: DataFrame) -> DataFrame:
     return config.join(own, F.col("filename") == F.col("__own"), "left").join(after, F.col("filename") == F.col("__after"), "left").drop("__own", "__after")
 
 
-def extraction(items: DataFrame, skips: DataFrame | None = None, kept: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
+def extraction(items: DataFrame, skips: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Blocks with markers, tables, and table chunks of converted items.
 
-    All four read the items with their headings. ``kept(df, name)``, where it is given, writes
+    All four read the items with their headings. ``keep(df, name)``, where it is given, writes
     these and reads them again, so that they are made once.
     """
     headed = B.with_headings(items, skips)
-    if kept is not None:
-        headed = kept(headed, "headed")
+    if keep is not None:
+        headed = keep(headed, "headed")
     found = B.tables(headed)
     text = B.blocks(headed)
     return {"blocks": text, "tables": found, "chunks": tables.chunks(found), "woven": tables.interleave(text, found)}
@@ -77,19 +78,19 @@ def extract(config: DataFrame, files: DataFrame, make_standard: Callable, make_o
     spark = config.sparkSession
     stored = (lambda: sources.read_snapshots(path)) if isinstance(path, Snapshots) else (lambda: sources.read_stored(spark, path))
     here = config.join(files.select(F.col("name").alias("filename")).distinct(), "filename", "left_semi")
-    _, todo = cache.split(here, stored(), force)
-    given = todo.join(files.select(F.col("name").alias("filename"), "content"), "filename")
-    both = sources.converted(given.select("doc_slug", "content", "is_scanned"), make_standard, make_ocr).persist()  # once for all that is made of it
-    items, errors = sources.split_converted(both)
-    out = extraction(items, todo.select("doc_slug", "skip_sections"))
-    info = todo.select("doc_slug", F.col("filename").alias("source_file"), "is_scanned").join(sources.page_counts(items), "doc_slug", "left").join(errors, "doc_slug", "left")
-    docs = sinks.documents(info, out["blocks"], out["tables"])
-    if isinstance(path, Snapshots):
-        path.append(docs.withColumn("run", F.lit(run)), f"{run:012d}-{uuid.uuid4().hex[:8]}")
-        path.compact()
-    else:
-        sinks.store(docs, path, run)
-    both.unpersist()
+    with scratch():  # converted and headed items are written once for all that is made of them
+        _, todo = cache.split(here, stored(), force)
+        given = todo.join(files.select(F.col("name").alias("filename"), "content"), "filename")
+        both = kept(sources.converted(given.select("doc_slug", "content", "is_scanned"), make_standard, make_ocr), "converted")
+        items, errors = sources.split_converted(both)
+        out = extraction(items, todo.select("doc_slug", "skip_sections"), kept)
+        info = todo.select("doc_slug", F.col("filename").alias("source_file"), "is_scanned").join(sources.page_counts(items), "doc_slug", "left").join(errors, "doc_slug", "left")
+        docs = sinks.documents(info, out["blocks"], out["tables"])
+        if isinstance(path, Snapshots):
+            path.append(docs.withColumn("run", F.lit(run)), f"{run:012d}-{uuid.uuid4().hex[:8]}")
+            path.compact()
+        else:
+            sinks.store(docs, path, run)
     return stored().join(cache.keyed(here).select("doc_slug"), "doc_slug", "left_semi")
 
 

@@ -100,7 +100,7 @@ def test_numbers_without_a_global_sort(spark):
     rows = [(rng.choice(["p", "q", None]), rng.choice([None, 0, 1, 2, 8, 30]), "".join(rng.choice("abé") for _ in range(rng.randint(0, 7))) + str(i)) for i in range(300)]
     d = spark.createDataFrame(rows, "lane string, category int, filename string").withColumn("r", lookup.work_rank())
     rank = {r["filename"]: r["r"] for r in d.collect()}
-    got = {r["filename"]: r["n"] for r in lookup.numbered(d, ["lane"], "r", "filename", width=2).collect()}
+    got = {r["filename"]: r["n"] for r in lookup.numbered(d, ["lane"], "r", "filename").collect()}
     for lane in ("p", "q", None):
         own = sorted((f for x, _, f in rows if x == lane), key=lambda f: (rank[f], f.encode()))
         assert [got[f] for f in own] == list(range(1, len(own) + 1))
