@@ -13,7 +13,7 @@ from loomline.functions import text as T
 from loomline.operators import blocks as B
 from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval, rule_table, similar, tables, vectors, versions
 from loomline.plans import runs
-from loomline.sources import files, shared, sinks
+from loomline.sources import files, html, shared, sinks
 from loomline.sources.snapshots import Snapshots
 from loomline.streaming import progress as live
 
@@ -849,6 +849,54 @@ def newest_versions(spark, sf):
     return versions.newest(d)
 
 
+# Pages cleared of what is no text, their blocks marked by a control character and a letter, other tags gone.
+_ITEMS_SQL = r"""a AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?s)<!--.*?(-->|\z)|<(script|style)\b.*?(</(script|style)>|\z)', '', 'g'), '<[a-zA-Z/!?][^>]*\z', '') AS h FROM pages),
+  b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?s)<(nav|footer)>.*?(</(nav|footer)>|\z)', chr(1) || 'x', 'g'), '<title>', chr(1) || 't', 'g'), '<h1>', chr(1) || 'h', 'g') AS h FROM a),
+  c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '<p>', chr(1) || 'p', 'g'), '<li>', chr(1) || 'l', 'g'), '<(/(title|h1|p|li)|/?(html|head|body|article|div|ul)( [^>]*)?)>', chr(1) || 'x', 'g') AS h FROM b),
+  d AS (SELECT page_id, regexp_replace(regexp_replace(chr(1) || 'x' || h, '<br>', ' ', 'g'), '<[a-zA-Z/!?][^>]*>', '', 'g') AS h FROM c),
+  e AS (SELECT page_id, unnest(string_split(h, chr(1))) AS m, generate_subscripts(string_split(h, chr(1)), 1) AS i FROM d),
+  f AS (SELECT page_id, i, m[1] AS kind, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(m[2:], '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g')) AS text FROM e),
+  it AS (SELECT page_id, CASE kind WHEN 't' THEN 'title' WHEN 'h' THEN 'section_header' WHEN 'l' THEN 'list_item' ELSE 'text' END AS label, CASE WHEN kind = 'h' THEN 1 END AS level, text, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rn FROM f WHERE text <> '')"""
+
+
+@registered(f"WITH {_ITEMS_SQL} SELECT page_id, CAST(rn AS INTEGER) AS n, label, CAST(level AS INTEGER) AS level, text FROM it")
+def page_items(spark, sf):
+    """Items of whole pages but for what stands in their furniture."""
+    kept_items = html.items(_read(spark, sf, "pages"), "page_id", "html").filter("label <> 'furniture'")
+    n = F.row_number().over(W.partitionBy("doc_slug").orderBy("pos"))
+    return kept_items.select(F.col("doc_slug").cast("long").alias("page_id"), n.alias("n"), "label", "level", "text")
+
+
+@registered(f"""WITH {_ITEMS_SQL}, k AS (SELECT *, last_value(CASE WHEN level = 1 THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY rn) AS head FROM it WHERE label <> 'title')
+  SELECT page_id, CAST(count(*) AS BIGINT) AS n_blocks, CAST(count(*) FILTER (level = 1) AS BIGINT) AS n_headings, CAST(sum(length(text)) AS BIGINT) AS n_letters, CAST(count(*) FILTER (head IS NOT NULL) AS BIGINT) AS n_under FROM k GROUP BY 1""")
+def page_documents(spark, sf):
+    """Pages as documents to store: their blocks with heading paths."""
+    items = html.items(_read(spark, sf, "pages"), "page_id", "html")
+    e = runs.extraction(items)
+    d = sinks.documents(items.select("doc_slug").distinct(), e["blocks"], e["tables"]).filter(F.size("blocks") > 0)
+    total = lambda c: F.aggregate(F.transform("blocks", c), F.lit(0).cast("long"), lambda a, x: a + x)
+    return d.select(F.col("doc_slug").cast("long").alias("page_id"), F.size("blocks").cast("long").alias("n_blocks"), total(lambda b: (b["block_type"] == "heading").cast("long")).alias("n_headings"),
+                    total(lambda b: F.length(b["text"]).cast("long")).alias("n_letters"), total(lambda b: (F.size(b["heading_path"]) > 0).cast("long")).alias("n_under"))
+
+
+# Nations as pages with a table of their suppliers, whose header spans two columns and whose first column spans all rows of a
+# balance's sign.
+@registered("""WITH s AS (SELECT n_nationkey, n_name, s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 'owes' ELSE 'has' END AS side FROM nation JOIN supplier ON s_nationkey = n_nationkey),
+  r AS (SELECT n_nationkey, max(n_name) AS n_name, count(*) AS n, array_to_string(list('| ' || side || ' | ' || s_name || ' | ' || s_suppkey || ' & more |' ORDER BY side, s_suppkey)[1:50], chr(10)) AS rows FROM s GROUP BY 1)
+  SELECT n_nationkey, CAST(n AS INTEGER) AS n_rows, 'Nation ' || n_name AS heading_path, 'Suppliers of ' || n_name AS caption, '| side | who | who |' || chr(10) || '| --- | --- | --- |' || chr(10) || rows AS markdown FROM r WHERE n >= 2""")
+def html_tables(spark, sf):
+    side = F.when(F.col("s_acctbal") < 0, "owes").otherwise("has")
+    s = _read(spark, sf, "nation").join(_read(spark, sf, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_nationkey", "n_name", side.alias("side"), "s_suppkey", "s_name")
+    cells = F.concat(F.lit("<td><b>"), "s_name", F.lit("</b><td>"), F.col("s_suppkey").cast("string"), F.lit(" &amp; more"))
+    g = s.groupBy("n_nationkey", "n_name", "side").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", cells.alias("c")))).alias("c"))
+    body = F.concat(F.lit("<tr><td rowspan="), F.size("c").cast("string"), F.lit(">"), "side", F.array_join(F.transform("c", lambda x: x["c"]), "</tr><tr>"), F.lit("</tr>"))
+    t = g.select("n_nationkey", "n_name", "side", body.alias("b")).groupBy("n_nationkey", "n_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "b"))), lambda x: x["b"]), "").alias("b"))
+    page = F.concat(F.lit("<h2>Nation "), "n_name", F.lit("</h2><table><caption>Suppliers of "), "n_name", F.lit("</caption><tr><th>side<th COLSPAN='2'>who</tr>"), "b", F.lit("</table>"))
+    items = html.items(t.select("n_nationkey", page.alias("page")), "n_nationkey", "page")
+    c = runs.extraction(items)["chunks"]
+    return c.select(F.col("doc_slug").cast("long").alias("n_nationkey"), F.col("shape.rows").alias("n_rows"), T.breadcrumb(F.col("heading_path")).alias("heading_path"), "caption", "markdown")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
