@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -89,19 +90,24 @@ def fuzzy(seen: bytes) -> list[tuple[str, int, int, int, int]]:
 def scan(text: str | None) -> tuple:
     """What :func:`scans` returns of one text, as a tuple."""
     seen, n = normal(text)
-    places = []
+    hits = []
     for phrase, label in PHRASES:
         needle = f" {phrase} ".encode()
         at = seen.find(needle)
         while at >= 0:
-            places.append((seen.count(b" ", 0, at), label))
+            hits.append((at, label))
             at = seen.find(needle, at + 1)
     near = fuzzy(seen)
+    # A word's number is the number of blanks before the one that it stands behind; all places are looked up in one array.
+    blanks = np.flatnonzero(np.frombuffer(seen, np.uint8) == 32) if hits or near else np.zeros(0, np.int64)
+    word = lambda at: np.searchsorted(blanks, at).tolist()
+    places = list(zip(word([at for at, _ in hits]), [label for _, label in hits]))
     base = sorted({x for _, x in places})
     labels = sorted(set(base) | {x[0] for x in near})
     starts = [p for p, _ in places]
     score = 1.0 if places else max((1 - e / size for _, _, _, e, size in near), default=0.0)
-    spans = [{"label": x, "first_word": seen.count(b" ", 0, a) - 1, "n_words": len(seen[a:b].split()), "edits": e, "matched": seen[a:b].decode("utf-8", "replace")} for x, a, b, e, _ in near]
+    firsts = word([a - 1 for _, a, *_ in near])
+    spans = [{"label": x, "first_word": first, "n_words": len(seen[a:b].split()), "edits": e, "matched": seen[a:b].decode("utf-8", "replace")} for first, (x, a, b, e, _) in zip(firsts, near)]
     return n, len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(labels), score, spans
 
 
