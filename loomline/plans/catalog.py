@@ -452,6 +452,31 @@ def json_roundtrip(spark, sf):
     return e.select("event_id", back.alias("s")).select("event_id", "s.*")
 
 
+# Users' events as tables: the value as a number and, under the same name, as text, a type that may be missing, and nested properties.
+@registered("""SELECT user_id, event_id, value, 'v=' || CAST(value AS VARCHAR) AS label, CASE WHEN event_id % 5 > 0 THEN event_type END AS kind, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+  CASE WHEN event_id % 5 > 0 THEN 'STRING' ELSE 'VOID' END AS kind_type, 2 AS n_values FROM events""")
+def variant_roundtrip(spark, sf):
+    """Stored documents whose tables' cells keep numbers, texts, nulls and nested objects, through ``sinks`` and ``files``."""
+    e = _read(spark, sf, "events")
+    value = F.col("value").cast("string")
+    cells = F.array(F.col("event_id").cast("string"), value, F.concat(F.lit("v="), value), F.when(F.col("event_id") % 5 > 0, F.col("event_type")), "props")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("event_id", cells.alias("c")))), lambda x: x["c"]).alias("rows")
+    t = e.groupBy(F.col("user_id").cast("string").alias("doc_slug")).agg(rows)
+    names = F.array(*map(F.lit, ("event", "value", "value", "kind", "props")))
+    t = t.select("doc_slug", F.lit(0).alias("table_index"), T.table_id(F.col("doc_slug"), F.lit(0)).alias("table_id"), F.lit("").alias("caption"), F.array().cast("array<string>").alias("heading_path"), F.lit(0).alias("page_number"), names.alias("columns"), "rows")
+    none = spark.createDataFrame([], "doc_slug string, block_index int, text string, block_type string, heading_path array<string>, page_number int, table_ref string")
+    with shared.scratch():
+        path = shared.place(spark, "stored")
+        sinks.store(sinks.documents(t.select("doc_slug"), none, t), path)
+        back = files.read_stored(spark, path).select("doc_slug", F.explode("tables").alias("t"))
+        c = back.select("doc_slug", F.col("t.columns").alias("n"), F.explode(F.col("t.cells").cast("array<array<variant>>")).alias("c"))
+        at = lambda i: F.get("c", F.lit(i))
+        return shared.result(c.select(
+            F.col("doc_slug").cast("long").alias("user_id"), at(0).cast("long").alias("event_id"), at(1).cast("double").alias("value"), at(2).cast("string").alias("label"), at(3).cast("string").alias("kind"),
+            F.variant_get(at(4), "$.k", "int").alias("k"), F.schema_of_variant(at(3)).alias("kind_type"), F.size(F.filter("n", lambda x: x == "value")).alias("n_values"),
+        ), "cells")
+
+
 _STATUS = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'skipped' END"
 
 

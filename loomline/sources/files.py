@@ -16,7 +16,7 @@ from loomline.sources.snapshots import Snapshots
 
 ITEMS = "doc_slug string, pos int, label string, level int, page_number int, text string, columns array<string>, rows array<array<string>>"
 BLOCK = "text string, block_type string, heading_path array<string>, page_number int, block_index int, table_ref string"
-TABLE = "table_id string, caption string, heading_path array<string>, page_number int, table_index int, markdown string, columns array<string>, rows array<array<string>>, records array<map<string,string>>"
+TABLE = "table_id string, caption string, heading_path array<string>, page_number int, table_index int, markdown string, columns array<string>, rows array<array<string>>, records array<map<string,string>>, cells variant"
 _fields = lambda schema: schema.replace(" ", ":").replace(",:", ",")
 STORED = f"run long, source_file string, doc_slug string, is_scanned boolean, total_pages int, error string, blocks array<struct<{_fields(BLOCK)}>>, tables array<struct<{_fields(TABLE)}>>"
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import fixed
-from loomline.operators.tables import markdown
+from loomline.operators.tables import markdown, typed
 
 
 def yaml_string(c: Column) -> Column:
@@ -84,11 +84,11 @@ def records(columns: Column, rows: Column) -> Column:
 def documents(info: DataFrame, blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """One row a document with its blocks and tables in order, for storing; documents without either have empty arrays.
 
-    Tables have their markdown, and their rows both by place and as records by column name.
+    Tables have their markdown, and their rows as text by place, as records by column name, and typed as one VARIANT.
     """
     b = blocks.groupBy("doc_slug").agg(F.array_sort(F.collect_list(F.struct("block_index", "text", "block_type", "heading_path", "page_number", "table_ref"))).alias("blocks"))
     t = tables.groupBy("doc_slug").agg(F.array_sort(F.collect_list(F.struct("table_index", "table_id", "caption", "heading_path", "page_number", "columns", "rows"))).alias("tables"))
-    full = F.transform("tables", lambda x: x.withField("markdown", markdown(x["columns"], x["rows"])).withField("records", records(x["columns"], x["rows"])))
+    full = F.transform("tables", lambda x: x.withField("markdown", markdown(x["columns"], x["rows"])).withField("records", records(x["columns"], x["rows"])).withField("cells", typed(x["rows"])))
     return info.join(b, "doc_slug", "left").join(t.withColumn("tables", full), "doc_slug", "left")
 
 

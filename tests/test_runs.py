@@ -1,6 +1,7 @@
 """Whole runs: the golden names, the cache, progress, chunks, previews, environments."""
 
 import datetime
+import json
 import random
 from pathlib import Path
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import fixed
 from loomline.functions import text as T
-from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval
+from loomline.operators import cache, cascade, chunking, lookup, progress, retrieval, tables
 from loomline.plans import runs
 from loomline.sources import environment, files, sinks
 
@@ -58,7 +59,7 @@ def test_runs_convert_only_what_is_not_stored(spark, tmp_path, compacted):
     assert set(first) == {f"{long} 1.pdf", f"{long} 2.pdf", "bad.pdf"} and "decode" in first["bad.pdf"]["error"]
     assert first[f"{long} 1.pdf"]["blocks"] == [] and [b["text"] for b in first[f"{long} 2.pdf"]["blocks"]] == ["Skip me now", "ocr two"]
     t = first[f"{long} 2.pdf"]["tables"][0]
-    assert t["markdown"].splitlines()[0] == "| x | x |" and t["records"] == [{"x": "2"}, {"x": "4"}] and t["rows"] == [["1", "2"], ["3", "4"]]
+    assert t["markdown"].splitlines()[0] == "| x | x |" and t["records"] == [{"x": "2"}, {"x": "4"}] and t["rows"] == [["1", "2"], ["3", "4"]] and json.loads(t["cells"].toJson()) == [[1, 2], [3, 4]]
     assert first[f"{long} 2.pdf"]["total_pages"] == 2 and first[f"{long} 1.pdf"]["doc_slug"] != first[f"{long} 2.pdf"]["doc_slug"]
     done = len(list(log.iterdir()))
     assert done == 2
@@ -157,3 +158,12 @@ def test_first_directory_and_rounding(spark, tmp_path):
     d = spark.createDataFrame([(x,) for x in (0.25, 0.35, 12.04, 1.26, 7.0)], "x double")
     assert [r[0] for r in d.select(T.tenth(F.col("x"))).collect()] == [0.2, 0.4, 12.0, 1.3, 7.0]
     assert fixed.PREVIEW["blocks"] == 5
+
+
+def test_typed_cells_keep_what_they_are(spark):
+    cells = ["1", "-2.50", "007", "1e3", "", None, "true", 'say "x"\\', '{"a": [1, null]}', "[1, 2", "{", "é\n", "9" * 30, "[]", "0.1"]
+    df = spark.createDataFrame([([cells, [], [None]],), ([],), (None,)], "rows array<array<string>>")
+    got = df.select(tables.typed(F.col("rows")).alias("v")).select(F.to_json(F.struct("v")).alias("j"), F.col("v").cast("array<array<variant>>").alias("c")).collect()
+    first = json.loads(got[0]["j"])["v"]
+    want = [1, -2.5, "007", "1e3", "", None, "true", 'say "x"\\', {"a": [1, None]}, "[1, 2", "{", "é\n", "9" * 30, [], 0.1]
+    assert first == [want, [], [None]] and len(got[0]["c"]) == 3 and json.loads(got[1]["j"])["v"] == [] and got[2]["c"] is None
