@@ -755,6 +755,19 @@ def section_chunks(spark, sf):
     return c.select(F.col("doc_slug").cast("long").alias("conv_id"), "chunk_index", "strategy", T.breadcrumb(F.col("heading_path")).alias("heading_path"), F.array_join("table_refs", ",").alias("table_refs"), "n_tokens", "chunk")
 
 
+@registered(_TRAIL + f""", a AS (SELECT i.conv_id, i.turn, i.is_head, i.txt, role <> 'user' AND i.turn % 4 = 3 AS tab, len(list_filter(string_split(c.text, chr(10)), lambda x: x <> '')) AS lines
+    FROM i JOIN conversations c ON i.conv_id = c.conv_id AND i.turn = c.turn),
+  x AS (SELECT CAST(conv_id AS VARCHAR) AS doc_slug, tab, lines, CAST(row_number() OVER (PARTITION BY conv_id, tab ORDER BY turn) - 1 AS INTEGER) AS n,
+    CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq FROM a WHERE tab OR txt <> '')
+  SELECT * FROM ((SELECT 'blocks' AS part, doc_slug, n FROM x WHERE NOT tab ORDER BY doc_slug, n LIMIT {fixed.PREVIEW['blocks']}) UNION ALL (SELECT 'tables', doc_slug, n FROM x WHERE tab AND lines > 0 ORDER BY doc_slug, n LIMIT {fixed.PREVIEW['tables']})
+    UNION ALL (SELECT 'chunks', doc_slug, n FROM x WHERE tab AND lines > 1 ORDER BY doc_slug, n LIMIT {fixed.PREVIEW['chunks']}) UNION ALL (SELECT 'markers', doc_slug, seq FROM x WHERE tab AND lines > 0 ORDER BY doc_slug, seq LIMIT {fixed.PREVIEW['markers']}))""")
+def preview_heads(spark, sf):
+    """What the display of an extraction shows of each part."""
+    shown = runs.preview(runs.extraction(_dialogues(spark, sf)))
+    each = [shown[k].select(F.lit(k).alias("part"), "doc_slug", F.col(n).alias("n")) for k, n in (("blocks", "block_index"), ("tables", "table_index"), ("chunks", "table_index"), ("markers", "seq"))]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
 @registered("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
   s AS (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 1, 0), 300)) AS k FROM w WHERE len(w) > 0)
   SELECT doc_id, CAST(k AS INTEGER) AS start_at, array_to_string(w[k + 1:k + 350], ' ') AS chunk FROM s WHERE k = 0 OR k + 50 < len(w)""")
@@ -904,6 +917,36 @@ def page_documents(spark, sf):
                     total(lambda b: F.length(b["text"]).cast("long")).alias("n_letters"), total(lambda b: (F.size(b["heading_path"]) > 0).cast("long")).alias("n_under"))
 
 
+# Pages as files that three runs extract: every second one, then all, then every seventh again by force. Some cannot be read;
+# those are stored with their error and tried again.
+def _page_converter():
+    def convert(content):
+        if bytes(content[:7]) == b"BROKEN:":
+            raise ValueError("broken off")
+        return html.convert(content)
+
+    return convert
+
+
+@registered(f"""WITH {_ITEMS_SQL}, n AS (SELECT page_id, CAST(count(*) FILTER (label <> 'title') AS BIGINT) AS n, CAST(count(level) AS BIGINT) AS heads FROM it GROUP BY 1),
+  p AS (SELECT page_id, page_id % 50 = 3 AS broken, coalesce(n, 0) AS n, coalesce(heads, 0) AS heads FROM pages LEFT JOIN n USING (page_id))
+  SELECT page_id, CAST(CASE WHEN page_id % 7 = 0 THEN 3 WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS BIGINT) AS run, CASE WHEN broken THEN 'broken off' END AS error, CASE WHEN broken THEN 0 ELSE n END AS n_blocks,
+    CASE WHEN broken THEN 0 ELSE heads END AS n_headings, page_id % 5 = 0 AS is_scanned FROM p""")
+def extraction_runs(spark, sf):
+    """What is stored after three extraction runs into compacted snapshots."""
+    p = _read(spark, sf, "pages").withColumn("filename", F.concat(F.col("page_id").cast("string"), F.lit(".html")))
+    body = F.concat(F.when(F.col("page_id") % 50 == 3, "BROKEN:").otherwise(""), "html")
+    given = p.select(F.col("filename").alias("name"), F.encode(body, "UTF-8").alias("content"))
+    config = p.select("page_id", "filename", (F.col("page_id") % 5 == 0).alias("is_scanned"), F.array().cast("array<string>").alias("skip_sections"))
+    with shared.scratch():
+        stored = files.stored_snapshots(spark, shared.place(spark, "extracted"), parts=8)
+        for run, which in ((1, "page_id % 2 = 0"), (2, "true"), (3, "page_id % 7 = 0")):
+            runs.extract(config.filter(which).drop("page_id"), given, _page_converter, _page_converter, stored, run == 3, run)
+        d = files.read_snapshots(stored)
+        heads = F.size(F.filter("blocks", lambda b: b["block_type"] == "heading")).cast("long")
+        return shared.result(d.select(F.replace("source_file", F.lit(".html"), F.lit("")).cast("long").alias("page_id"), "run", "error", F.size("blocks").cast("long").alias("n_blocks"), heads.alias("n_headings"), "is_scanned"), "runs")
+
+
 # Nations as pages with a table of their suppliers, whose header spans two columns and whose first column spans all rows of a
 # balance's sign.
 @registered("""WITH s AS (SELECT n_nationkey, n_name, s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 'owes' ELSE 'has' END AS side FROM nation JOIN supplier ON s_nationkey = n_nationkey),

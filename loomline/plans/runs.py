@@ -79,7 +79,7 @@ def extract(config: DataFrame, files: DataFrame, make_standard: Callable, make_o
     stored = (lambda: sources.read_snapshots(path)) if isinstance(path, Snapshots) else (lambda: sources.read_stored(spark, path))
     here = config.join(files.select(F.col("name").alias("filename")).distinct(), "filename", "left_semi")
     with scratch():  # converted and headed items are written once for all that is made of them
-        _, todo = cache.split(here, stored(), force)
+        todo = kept(cache.split(here, stored(), force)[1], "todo")
         given = todo.join(files.select(F.col("name").alias("filename"), "content"), "filename")
         both = kept(sources.converted(given.select("doc_slug", "content", "is_scanned"), make_standard, make_ocr), "converted")
         items, errors = sources.split_converted(both)

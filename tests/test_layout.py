@@ -5,7 +5,7 @@ import pytest
 from loomline.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer supplier part orders lineitem events documents pages labels conversations".split()
+TABLES = "nation embeddings customer supplier part orders lineitem events documents pages labels conversations".split()
 
 
 @pytest.fixture(scope="module")
