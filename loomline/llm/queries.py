@@ -110,6 +110,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+_CRC_TABLE = "tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t)"
+
+
 def _levels_sql(prefix: str, first: str, levels: int) -> str:
     """Tables prefix0 to prefix<levels> of nodes (g, pos, n, digest, lft, rgt) over ``first`` (g, pos, n, digest): eight neighbours become one while a group has more."""
     out, node = [], first
@@ -135,7 +138,7 @@ def _merkle_sql(levels: int = 8, tops: int = 3) -> str:
     row = lambda text: "sha256(" + " || ".join(part(x) for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+WITH {_CRC_TABLE},
 c AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
         lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) % 3 = 0 AS touched FROM documents, tab),
 h AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {row("text")} AS leaf, CASE WHEN touched THEN {row(low)} END AS changed FROM c),
@@ -150,5 +153,24 @@ SELECT doc_id, leaf, subroot, (SELECT max(digest) FROM b{tops}) AS root, sha256(
 """
 
 
+_OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+g AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM r WHERE length(w) >= 5 GROUP BY ALL),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(id || ':' || w, ''),
+        lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) AS BIGINT) - 64] END))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) AS h FROM g, tab),
+k AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM h),
+v AS (SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(w) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM e),
+p AS (SELECT d.word AS a, v.word AS b, v.n FROM d JOIN v ON d.s = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.s = v.word
+  UNION SELECT x.word, y.word, y.n FROM d x JOIN d y ON x.s = y.s AND x.i = y.i AND x.word <> y.word),
+b AS (SELECT a, CAST(count(*) AS BIGINT) AS n_near, max(n) AS m, first(b ORDER BY n DESC, b) AS best FROM p GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN best END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN b ON a = word),
+c AS (SELECT word, word AS here, form AS nxt FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.nxt)
+SELECT f.word, n, n_near, f.form, form_n, here AS root FROM f JOIN c ON c.word = f.word AND c.nxt IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _OP1, "op9_topk": _OP9, "op12_merkle": _merkle_sql()}
+    return {"op1_mix_sources": _OP1, "op9_topk": _OP9, "op12_merkle": _merkle_sql(), "op13_spelling": _OP13}
