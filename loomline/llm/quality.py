@@ -6,9 +6,15 @@ number of 2^-16 steps, whose highest six bits name its bin, so a bin is at most
 relative to its values. Bins are counts, hence sketches merge by addition: sources merge into
 their language and languages into the whole. A group's quantiles are blended with those of its
 language, and these with those of all rows, by row counts: the coarser sketch counts as
-``prior`` rows at every size, so nothing switches when a group grows. A threshold is
-``median + spread * (q75 - median) + slack``; the median and upper quartile stay put while fewer
-than a quarter of a group's rows are junk.
+``prior`` rows at every size, so nothing switches when a group grows.
+
+A threshold is ``median + spread * unit``, all of it from the sketches. The unit is the largest of
+the distance from the median to the upper quartile (for lower thresholds, the lower one), a
+sixteenth of the median (two bins, the sketch's own resolution), and a few occurrences in the
+group's typical document: ``few`` over the median of the ratio's denominator, which is sketched
+too. So where most rows of a group have none of a thing, the limit follows the length of the
+group's documents, and where many have it, its own quartile raises the limit. The quantiles stay
+put while fewer than a quarter of a group's rows are junk.
 """
 
 from __future__ import annotations
@@ -22,14 +28,16 @@ from loomline.llm.common import WS, if_small, let, materialise, words
 #: Steps of a ratio's unit.
 UNIT = 1 << 16
 SYMBOLS = "#*$%&|<>"
-#: ratio -> (numerator, denominator, slack of its upper threshold, slack of its lower one or None)
+#: ratio -> (numerator, denominator, few occurrences, whether it has a lower threshold)
 RATIOS = {
-    "symbols": ("n_symbols", "word_chars", 0.03, None),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.35, None),
-    "repeats": ("n_repeat_words", "n_words", 0.3, None),
-    "exclaims": ("n_exclaims", "n_words", 0.2, None),
-    "word_len": ("word_chars", "n_words", 1.5, 1.5),
+    "symbols": ("n_symbols", "word_chars", 4, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1, False),
+    "repeats": ("n_repeat_words", "n_words", 16, False),
+    "exclaims": ("n_exclaims", "n_words", 4, False),
+    "word_len": ("word_chars", "n_words", 0, True),
 }
+#: Denominators, sketched as they are.
+SIZES = sorted({den for _, den, _, _ in RATIOS.values()})
 
 
 def _repeat_words(w: Column) -> Column:
@@ -112,8 +120,9 @@ def _bin(step: Column) -> Column:
 
 
 def sketches(feats: DataFrame) -> DataFrame:
-    """Histogram sketches: (lang, source, ratio, bin, n)."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), _bin(_step(F.col(a), F.col(b))).alias("bin")) for k, (a, b, _, _) in RATIOS.items()]))
+    """Histogram sketches of ratios and of their denominators: (lang, source, ratio, bin, n)."""
+    of = {k: _step(F.col(a), F.col(b)) for k, (a, b, _, _) in RATIOS.items()} | {k: F.col(k) for k in SIZES}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("ratio"), _bin(c).alias("bin")) for k, c in of.items()]))
     return feats.select("lang", "source", each.alias("e")).groupBy("lang", "source", F.col("e.ratio").alias("ratio"), F.col("e.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -142,13 +151,18 @@ def thresholds(sketch: DataFrame, prior: int = 200, spread: int = 4) -> DataFram
     blend = lambda n, own, coarse: (n * own + prior * coarse) / (n + prior)
     pick = lambda c: blend(F.col("total"), F.col(c), blend(F.col("l_total"), F.col(f"l_{c}"), F.col(f"a_{c}")))
     q = q.select("lang", "source", "ratio", *[pick(c).alias(c) for c in names])
+    of = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c)))
+    wide = q.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(
+        *[of(k, c).alias(f"{k}_{c}") for k in RATIOS for c in names], *[of(k, "mid").alias(f"{k}_mid") for k in SIZES]
+    )
     one = []
-    for k, (_, _, up, down) in RATIOS.items():
-        of = F.col("ratio") == k
-        one.append(F.max(F.when(of, F.floor(F.col("mid") + spread * (F.col("q75") - F.col("mid"))) + int(up * UNIT))).alias(f"hi_{k}"))
-        if down is not None:
-            one.append(F.max(F.when(of, F.ceil(F.col("mid") - spread * (F.col("mid") - F.col("q25"))) - int(down * UNIT))).alias(f"lo_{k}"))
-    return q.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*one)
+    for k, (_, den, few, down) in RATIOS.items():
+        mid, q25, q75 = (F.col(f"{k}_{c}") for c in names)
+        least = F.greatest(mid / 16, F.lit(few * UNIT) / F.greatest(F.col(f"{den}_mid"), F.lit(1.0)))
+        one.append(F.floor(mid + spread * F.greatest(q75 - mid, least)).alias(f"hi_{k}"))
+        if down:
+            one.append(F.ceil(mid - spread * F.greatest(mid - q25, least)).alias(f"lo_{k}"))
+    return wide.select("t_lang", "t_source", *one)
 
 
 def verdict() -> Column:
@@ -157,7 +171,7 @@ def verdict() -> Column:
     for k, (a, b, _, down) in RATIOS.items():
         step = _step(F.col(a), F.col(b))
         ok = ok & (step <= F.col(f"hi_{k}"))
-        if down is not None:
+        if down:
             ok = ok & (step >= F.col(f"lo_{k}"))
     return ok
 

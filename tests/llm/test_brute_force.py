@@ -437,6 +437,9 @@ def test_quality_thresholds_against_a_plain_model(spark):
         at = lambda num, den: next(b for j, b in enumerate(bins, 1) if j * den >= len(bins) * num)
         return at(1, 2), at(1, 4), at(3, 4)
 
+    for k in {den for _, den, _, _ in quality.RATIOS.values()}:
+        for i, r in got.items():
+            ratios[i][k] = r[k]
     blend = lambda n, own, coarse: [(n * x + 200 * y) / (n + 200) for x, y in zip(own, coarse)]
     every = [r[0] for r in rows]
     kept = {}
@@ -444,15 +447,44 @@ def test_quality_thresholds_against_a_plain_model(spark):
         mine, lang = [r[0] for r in rows if (r[2], r[3]) == group], [r[0] for r in rows if r[2] == group[0]]
         for i in mine:
             ok = not got[i]["base_failed"]
-            for k, (_, _, up, down) in quality.RATIOS.items():
-                mid, q25, q75 = blend(len(mine), quantiles(mine, k), blend(len(lang), quantiles(lang, k), quantiles(every, k)))
-                ok &= ratios[i][k] <= int(np.floor(mid + 4 * (q75 - mid))) + int(up * 65536)
-                if down is not None:
-                    ok &= ratios[i][k] >= int(np.ceil(mid - 4 * (mid - q25))) - int(down * 65536)
+            of = lambda k: blend(len(mine), quantiles(mine, k), blend(len(lang), quantiles(lang, k), quantiles(every, k)))
+            for k, (_, den, few, down) in quality.RATIOS.items():
+                mid, q25, q75 = of(k)
+                least = max(mid / 16, few * 65536 / max(of(den)[0], 1))
+                ok &= ratios[i][k] <= int(np.floor(mid + 4 * max(q75 - mid, least)))
+                if down:
+                    ok &= ratios[i][k] >= int(np.ceil(mid - 4 * max(mid - q25, least)))
             kept[i] = ok
     assert {i: r["kept"] for i, r in got.items()} == kept and 20 < sum(not k for k in kept.values()) < 400
 
 
+def test_quality_thresholds_follow_a_source(spark):
+    """A source of code keeps its symbols, exclamation marks and long words, that of prose does not; longer documents have lower limits."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    def text(n, marks, length=5):
+        w = [word(rng.randint(length - 2, length + 2)) for _ in range(n)]
+        for _ in range(marks):
+            w[rng.randrange(n)] += rng.choice("#$%&|<>") + "!"
+        return " ".join(w)
+
+    rows = [(i, text(120, rng.randint(10, 40), 7), "en", "code") for i in range(1500)]
+    rows += [(i, text(120, 0), "en", "prose") for i in range(1500, 3000)]
+    rows += [(i, text(1200, 0), "en", "books") for i in range(3000, 3400)]
+    rows += [(9001, text(120, 30), "en", "prose"), (9002, text(120, 30, 7), "en", "code"), (9003, text(120, 2), "en", "prose"), (9004, text(1200, 3), "en", "books")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    assert (got[9001], got[9002], got[9003], got[9004]) == (False, True, True, True)
+    assert sum(not got[i] for i in range(3400)) < 34
+    rows = df.select("lang", "source", quality.features(F.col("text")).alias("f"))
+    limits = quality.thresholds(quality.sketches(rows.select("lang", "source", *[c.alias(k) for k, c in quality.counts(F.col("f")).items()])))
+    hi = {r["t_source"]: r.asDict() for r in limits.collect()}
+    for k in ("symbols", "exclaims", "word_len"):
+        assert hi["code"][f"hi_{k}"] > 1.2 * hi["prose"][f"hi_{k}"]
+    assert hi["books"]["hi_repeats"] < hi["prose"]["hi_repeats"]
+
+
 def test_language_against_plain_vectors(spark):
     """Trigrams one by one: bound by products of rolled letter vectors, bundled by sums, compared by cosine."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
