@@ -28,11 +28,11 @@ from loomline.llm.common import WS, if_small, let, materialise, words
 #: Steps of a ratio's unit.
 UNIT = 1 << 16
 SYMBOLS = "#*$%&|<>"
-#: ratio -> (numerator, denominator, few occurrences, whether it has a lower threshold)
+#: ratio -> (numerator, denominator, few occurrences (of repeated words: a sentence), whether it has a lower threshold)
 RATIOS = {
     "symbols": ("n_symbols", "word_chars", 4, False),
     "dup_lines": ("n_dup_lines", "n_lines", 1, False),
-    "repeats": ("n_repeat_words", "n_words", 16, False),
+    "repeats": ("n_repeat_words", "n_words", 24, False),
     "exclaims": ("n_exclaims", "n_words", 4, False),
     "word_len": ("word_chars", "n_words", 0, True),
 }
