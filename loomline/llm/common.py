@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ FILE_ROWS = 1_000_000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _COALESCE = "spark.sql.adaptive.coalescePartitions.enabled"
 _left: dict[str, SparkSession] = {}
+#: Tables that were written within the innermost :func:`passing` of this context.
+_within: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("within", default=None)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +55,7 @@ def materialise(df: DataFrame, name: str, dealt: bool = False, rows: int | None
     ``FILE_ROWS``, not in as many small ones as the shuffle before it has partitions. ``dealt`` is
     for other tables that come from a shuffle: where the session does not coalesce small
     partitions by their size, four tasks a core write them, one after the other in each.
-    :func:`discard` removes the table when it is of no more use; else it goes when Python ends.
+    :func:`discard` or the end of a :func:`passing` removes the table when it is of no more use; else it goes when Python ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -60,13 +63,38 @@ def materialise(df: DataFrame, name: str, dealt: bool = False, rows: int | None
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     elif dealt and "true" not in (spark.conf.get(_COALESCE, "true") or "").lower():
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
+    _left[path] = spark
+    if _within.get() is not None:
+        _within.get().append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
-    _left[path] = spark
     return out
 
 
+@contextlib.contextmanager
+def passing():
+    """Tables that are written within go when it ends, also by an error, but for those that are handed to what it yields.
+
+    A table that is kept belongs to the scope around, if there is one.
+    """
+    around, kept = _within.get(), []
+    token = _within.set([])
+    try:
+        yield lambda *tables: kept.extend(t._table for t in tables)
+    except BaseException:
+        kept = []
+        raise
+    finally:
+        written = _within.get()
+        _within.reset(token)
+        for path in written:
+            if path not in kept:
+                _delete(path)
+            elif around is not None:
+                around.append(path)
+
+
 def finished(spark: SparkSession, path: str) -> bool:
     """Whether a table at ``path`` was written to its end."""
     p = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))

@@ -24,13 +24,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import arrow_rows, discard, groups, if_small, materialise
+from loomline.llm.common import arrow_rows, discard, groups, if_small, materialise, passing
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 #: About as many nodes of a bucket are compared with as many others at a time.
 BLOCK = 128
+#: Bytes of the texts of a block, about; two blocks and the largest of their texts are in memory at once.
+BLOCK_BYTES = 8_000_000
 #: Pairs whose signatures agree in fewer slots are below the threshold by more than 4.5 standard errors.
 ESTIMATE = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / SLOTS) ** 0.5
 
@@ -261,17 +263,22 @@ def _star(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, n: int) -> DataFrame:
-    """(key, i, j, node, label, side) of rows (key, node, label): every pair of blocks of a bucket that holds two labels.
+    """(key, i, j, node, label, side) of rows (key, node, size, label): every pair of blocks of a bucket that holds two labels.
+
+    A block is of about ``BLOCK`` nodes and ``BLOCK_BYTES`` bytes of text, whichever makes more blocks.
 
     The nodes of a bucket's most frequent label have blocks of their own, which never meet each
     other; so the work of a bucket is its other nodes times all of them.
     """
-    each = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-    top = each.groupBy("key").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label")).alias("top")).filter("labels > 1")
-    top = if_small(materialise(top.select(F.col("key").alias("k"), "n", F.col("top.label").alias("most"), F.col("top.m").alias("m")), "open", rows=n))
+    each = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"))
+    top = each.groupBy("key").agg(F.sum("m").alias("n"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label", "bytes")).alias("top")).filter("labels > 1")
+    parts = lambda m, size: F.ceil(F.greatest(m / BLOCK, size / BLOCK_BYTES))
+    m, size = F.col("top.m"), F.col("top.bytes")
+    top = top.select(F.col("key").alias("k"), F.col("top.label").alias("most"), parts(F.col("n") - m, F.col("bytes") - size).alias("rest"), parts(m, size).alias("all_of"))
+    top = if_small(materialise(top, "open", rows=n))
     full = rows.join(top, F.col("key") == F.col("k")).drop("k")
     major = F.col("label") == F.col("most")
-    rest, all_of = F.ceil((F.col("n") - F.col("m")) / BLOCK), F.ceil(F.col("m") / BLOCK)
+    rest, all_of = F.col("rest"), F.col("all_of")
     draw = F.xxhash64("node")
     own = F.when(major, rest + F.pmod(draw, all_of)).otherwise(F.pmod(draw, rest))
     full = full.withColumns({"own": own, "with": F.sequence(F.lit(0).cast("long"), F.when(major, rest).otherwise(rest + all_of) - 1)})
@@ -359,6 +366,7 @@ def _remaining(rows: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: f
     """
     spark, least = rows.sparkSession, ESTIMATE - (THRESHOLD - threshold)
     at = ["key", "i", "j"]
+    nodes = nodes.drop("size")
     met = _blocks(rows, n).join(nodes, "node").groupBy(*at).agg(F.collect_list(F.struct("node", "label", "left", "right", "keys", "sig")).alias("members"))
     with arrow_rows(spark, 64):
         need = materialise(met.mapInPandas(_nodes_with_pairs(least), "key long, i long, j long, node long, label long, left boolean, right boolean"), "near", dealt=True)
@@ -386,7 +394,7 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """
     n_nodes = nodes.count()
     n = n_nodes * BANDS
-    coarse = materialise(_buckets(nodes.select("node", F.explode("keys").alias("key")), n), "buckets", rows=n)
+    coarse = materialise(_buckets(nodes.select("node", "size", F.explode("keys").alias("key")), n), "buckets", rows=n)
     weight = materialise(coarse.groupBy("node").agg(F.sum("n").alias("weight")), "weights", rows=n_nodes)
     # Copies are dropped before the texts move; a semi join would be pushed below that. A merge join
     # at every size: what is compared may be a fixed share of all documents.
@@ -396,7 +404,7 @@ def links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     with arrow_rows(docs.sparkSession, 512):
         central = materialise(_verified(_star(coarse.join(weight, "node"), n), sigs, texts, threshold), "links", dealt=True)
     label = components(central)
-    labelled = coarse.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = coarse.select("key", "node", "size").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = materialise(labelled, "buckets", rows=n)
     more = _remaining(labelled, nodes, texts, threshold, n)
     out = materialise(central.unionByName(more), "links", rows=central.count() + more.count())
@@ -428,16 +436,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of every row, and (node, doc_id, label) of every text: its least id and its class."""
-    signed = docs.select("doc_id", _node(F.col("text")).alias("node"), _signed(F.coalesce("text", F.lit(""))).alias("s"))
+    """(doc_id, node) of every row, and (node, doc_id, label) of every text: its least id and its class.
+
+    Both read written tables, the only ones that stay.
+    """
+    with passing() as keep:
+        signed, texts = _classed(docs, threshold)
+        keep(signed, texts)
+    return signed.select("doc_id", "node"), texts
+
+
+def _classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
+    signed = docs.select("doc_id", _node(F.col("text")).alias("node"), size, _signed(F.coalesce("text", F.lit(""))).alias("s"))
     with arrow_rows(docs.sparkSession, 512):
-        signed = materialise(signed.select("doc_id", "node", "s.keys", "s.sig"), "signed")
-    nodes = materialise(signed.filter(F.col("keys").isNotNull()).select("node", "keys", "sig").dropDuplicates(["node"]), "nodes", dealt=True)
+        signed = materialise(signed.select("doc_id", "node", "size", "s.keys", "s.sig"), "signed")
+    nodes = materialise(signed.filter(F.col("keys").isNotNull()).select("node", "size", "keys", "sig").dropDuplicates(["node"]), "nodes", dealt=True)
     edges = links(docs, nodes, threshold)
     label = components(edges)
     discard(edges, nodes)
     texts = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    return signed.select("doc_id", "node"), texts.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    texts = texts.join(label, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+    return signed, materialise(texts, "classes", dealt=True)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -449,7 +469,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if no row of it has an id. An empty table gives none; other columns are ignored.
     """
     rows, texts = _labelled(docs, threshold)
-    texts = materialise(texts, "classes", dealt=True)
     least = texts.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     return rows.join(texts.join(least, "label").select("node", "class_id"), "node").select("doc_id", "class_id")
 

@@ -73,11 +73,56 @@ def test_a_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
     assert first == sorted(map(str, corpus_pipeline.run(spark, SF, name).collect())) and len(calls) == 5
 
 
-def test_the_session_keeps_its_settings(spark):
-    from loomline.llm import queries
-
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    for q in ("op6_near_dup", "op9_topk"):
-        queries.queries()[q](spark, SF).count()
-    assert spark.conf.get(key) == before
+def test_a_name_serves_one_input(spark, tmp_path, monkeypatch):
+    """Other files under the same path, or at another one, are another run of the name."""
+    import uuid
+
+    name, sf = f"run-{uuid.uuid4().hex}", str(tmp_path / "sf")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda s, d, sf: d) for n, _ in corpus_pipeline.STAGES])
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for n, d in ((5, sf), (7, sf), (docs.count(), SF), (7, sf)):
+        if d == sf:
+            docs.filter(F.col("doc_id").isNotNull()).orderBy("doc_id").limit(n).write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+        assert corpus_pipeline.run(spark, d, name).count() == n
+
+
+def test_tables_go(spark, tmp_path, monkeypatch):
+    """A run leaves what its last stage reads, and nothing if a stage fails; classes leave the two tables that they read."""
+    from loomline.llm import common
+
+    before = set(common._left)
+    left = lambda: sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(common._left) - before)
+    assert corpus_pipeline.run(spark, SF).count() > 0 and left() == ["stage-mixing"]
+    before = set(common._left)
+    assert near_dup.classes(spark.read.parquet(f"{SF}/documents.parquet")).count() > 0 and left() == ["classes", "signed"]
+    before = set(common._left)
+
+    def broken(s, d, sf):
+        near_dup.classes(d)
+        raise ZeroDivisionError
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[1], ("broken", broken), corpus_pipeline.STAGES[4]])
+    try:
+        corpus_pipeline.run(spark, SF)
+    except ZeroDivisionError:
+        pass
+    assert left() == []
+
+
+def test_blocks_of_bounded_bytes(spark, monkeypatch):
+    """Classes of a group that no star connects are the same where a block holds a text or two."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(4000)}" for _ in range(150)]
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        texts.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(map(str, near_dup.classes(docs).collect()))
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 2000)
+    assert sorted(map(str, near_dup.classes(docs).collect())) == want
