@@ -7,13 +7,17 @@ their input, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import os
+import sys
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomline.llm import bpe, mixing, near_dup, quality, toxicity
-from loomline.llm.common import finished, materialise, read, shared_dir
+from loomline.llm import bpe, common, mixing, near_dup, pretokens, quality, toxicity
+from loomline.llm.common import discard, finished, materialise, passing, read, shared_dir
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,18 +58,41 @@ STAGES = [("toxicity", toxic_out), ("quality", quality_in), ("near_dup", one_of_
 ORACLE_SQL = None
 
 
+def stamp(spark: SparkSession, sf_dir: str) -> str:
+    """What a stage's result depends on, as 16 hex digits: the input files' paths, sizes and times, and the code of stages and operators."""
+    parts = []
+    for name in ("documents", "labels"):
+        files = read(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        parts.append(os.path.join(sf_dir, name) + str(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()))
+    parts += [inspect.getsource(m) for m in (sys.modules[__name__], bpe, common, mixing, near_dup, pretokens, quality, toxicity)]
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
+
+
 def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
-    """The last stage's rows. With a ``name`` of the run its stages are kept under it in the shared folder, and a run that is
-    started again with that name goes on after the last stage that was finished."""
-    docs = read(spark, sf_dir, "documents")
-    for k, (stage, f) in enumerate(STAGES):
-        if name is not None:
-            path = os.path.join(shared_dir(spark), name, f"{k}-{stage}")
+    """The last stage's rows.
+
+    With a ``name`` of the run its stages are kept in the shared folder, under the name and the :func:`stamp`
+    of its input and code; a run that is started again with both unchanged goes on after the last stage that
+    was finished. Without one a stage's result goes when the next one is written; what the last one reads stays
+    until Python ends.
+    """
+    if name is not None:
+        kept = os.path.join(shared_dir(spark), name, stamp(spark, sf_dir))
+        docs = read(spark, sf_dir, "documents")
+        for k, (stage, f) in enumerate(STAGES):
+            path = os.path.join(kept, f"{k}-{stage}")
             if not finished(spark, path):
-                f(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+                with passing():
+                    f(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
             docs = spark.read.parquet(path)
-        else:
-            docs = f(spark, docs, sf_dir)
-            if k < len(STAGES) - 1:
-                docs = materialise(docs, f"stage-{stage}")
-    return docs
+        return docs
+    docs, written = read(spark, sf_dir, "documents"), []
+    with passing() as keep_last:
+        for stage, f in STAGES[:-1]:
+            with passing() as keep:
+                docs = materialise(f(spark, docs, sf_dir), f"stage-{stage}")
+                keep(docs)
+            discard(*written)
+            written = [docs]
+        keep_last(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
