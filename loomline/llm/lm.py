@@ -8,10 +8,11 @@ tokens' conditional log-probabilities.
 
 Words are counted exactly over all documents, a table that grows with them. The ``CONTEXT`` most
 frequent ones are neighbours by themselves, all others by a class of their last letters. The
-network trains in numpy on windows of every document, one of ``STRIDE`` tokens and one at least, which are
-counted and dealt by hash to shards of bounded size; every shard trains from the same weights,
-their mean is what the next round starts from. Neither counts, windows nor shards depend on how
-files or partitions are laid out, so a score does not either, to rounding.
+network trains in numpy on the window of every token of every document, once. Texts are cut into
+pieces of ``PIECE`` tokens with the two on either side; equal pieces are counted, and dealt by hash
+to shards of about ``SHARD`` windows. Every shard trains from the same weights, their mean is what
+the next round starts from. Neither counts, pieces nor shards depend on how files or partitions are
+laid out, so a score does not either, to rounding.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ OWN, SUFFIX = 128, 96
 CLASSES = OWN + SUFFIX
 #: Neighbours are 12 bits: the end mark, as many words, and the classes of the others.
 CONTEXT = 4095 - SUFFIX
-#: One window in as many tokens trains the network, and at least one of every text that has a token.
-STRIDE = 16
-#: Distinct windows of a shard, about, and how often the shards' weights are averaged.
-SHARD, ROUNDS = 400_000, 3
+#: Windows of a piece of a text at most: what is dealt to shards and rounds.
+PIECE = 512
+#: Windows of a shard, about, and how often the shards' weights are averaged.
+SHARD, ROUNDS = 4_000_000, 3
+#: Logits up to this bound need no scaling before their exponential in single precision.
+SAFE = 60.0
 #: The tasks get the counts of at most as many words; those of all others come by a join.
 LEXICON = 250_000
 #: A task passes on its counts when it holds as many words.
@@ -123,25 +126,30 @@ def places(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, np.int32)
 
 
-def _windows(context: np.ndarray, cls: np.ndarray):
+def _pieces(context: np.ndarray):
     def run(batches):
         for b in batches:
-            found = [np.zeros(0, np.int64)]
+            out = []
             for raw in b["ids"]:
                 at = places(raw)
-                c = np.zeros(len(at) + 4, np.int64)
+                c = np.zeros(len(at) + 4, np.uint16)
                 c[2:-2] = context[at]
-                p = np.arange(zlib.crc32(raw) % max(1, min(STRIDE, len(at))), len(at), STRIDE)
-                found.append(((((c[p] << 12 | c[p + 1]) << 12 | c[p + 3]) << 12 | c[p + 4]) << 8) | cls[at[p]])
-            code, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pd.DataFrame({"code": code, "n": n})
+                out += [c[k : k + PIECE + 4].tobytes() for k in range(0, len(at), PIECE)]
+            yield pd.DataFrame({"piece": out})
 
     return run
 
 
-def window_counts(texts: DataFrame, context: np.ndarray, cls: np.ndarray) -> DataFrame:
-    """(code, n) of the windows that train the network, of every :func:`coded` text."""
-    return texts.select("ids").mapInPandas(_windows(context, cls), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def pieces(texts: DataFrame, context: np.ndarray) -> DataFrame:
+    """(piece, n): all windows of every :func:`coded` text as runs of neighbours, two more on either side; equal ones are counted."""
+    return texts.select("ids").mapInPandas(_pieces(context), "piece binary").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+
+
+def classes(ids: Ids) -> np.ndarray:
+    """The class of each neighbour; a neighbour has one."""
+    out = np.zeros(4096, np.int64)
+    out[ids.context] = ids.cls
+    return out
 
 
 _SHAPES = {"e": (4096, WIDTH), "w": (4 * WIDTH, HIDDEN), "b": (HIDDEN,), "o": (HIDDEN, CLASSES), "c": (CLASSES,)}
@@ -163,60 +171,72 @@ def initial(totals: np.ndarray, seed: int = 5) -> np.ndarray:
     return np.concatenate(list(p.values()))
 
 
-def neighbours(code: np.ndarray) -> np.ndarray:
-    return np.stack([code >> s & 4095 for s in (44, 32, 20, 8)], axis=1)
+def _bounded(o: np.ndarray, c: np.ndarray) -> bool:
+    return max(np.abs(o).sum(axis=0).max(), np.abs(c).max()) < SAFE
 
 
-def train_shard(flat: np.ndarray, code: np.ndarray, n: np.ndarray, seed: int, batch: int = 1024, rate: float = 0.1) -> np.ndarray:
-    """The weights after one pass over a shard's windows in a seeded order; Adagrad."""
-    order = np.argsort(code, kind="stable")
-    order = order[np.random.default_rng(seed).permutation(len(order))]
-    code, n = code[order], n[order].astype(np.float32)
+def train_shard(flat: np.ndarray, near: np.ndarray, at: np.ndarray, n: np.ndarray, cls: np.ndarray, seed: int, batch: int = 4096, rate: float = 0.1) -> np.ndarray:
+    """The weights after one pass over the windows at the places ``at`` of ``near``, ``n`` times each, in a seeded order; Adagrad."""
+    order = np.random.default_rng(seed).permutation(len(at))
     p = {k: v.astype(np.float32) for k, v in _parts(flat).items()}
     sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in p.items()}
-    for at in range(0, len(code), batch):
-        ids, y = neighbours(code[at : at + batch]), code[at : at + batch] & 255
-        share = n[at : at + batch] / n[at : at + batch].sum()
-        x = p["e"][ids].reshape(len(ids), -1)
+    for k in range(0, len(at), batch):
+        own = order[k : k + batch]
+        pos, share = at[own], n[own] / n[own].sum()
+        ids, y, row = near[pos[:, None] + (-2, -1, 1, 2)], cls[near[pos]], np.arange(len(own))
+        x = p["e"].take(ids, axis=0).reshape(len(ids), -1)
         h = np.tanh(x @ p["w"] + p["b"])
-        z = h @ p["o"] + p["c"]
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(y)), y] -= 1
-        z *= share[:, None]
-        a = (z @ p["o"].T) * (1 - h * h)
-        g = {"w": x.T @ a, "b": a.sum(axis=0), "o": h.T @ z, "c": z.sum(axis=0)}
-        rows, where = np.unique(ids, return_inverse=True)
-        by = np.argsort(where.ravel(), kind="stable")
-        first = np.searchsorted(where.ravel()[by], np.arange(len(rows)))
-        own = np.add.reduceat((a @ p["w"].T).reshape(-1, WIDTH)[by], first, axis=0)
-        for k, v in g.items():
-            sums[k] += v * v
-            p[k] -= rate * v / np.sqrt(sums[k])
-        sums["e"][rows] += own * own
-        p["e"][rows] -= rate * own / np.sqrt(sums["e"][rows])
+        z = h @ p["o"]
+        if _bounded(p["o"], p["c"]):
+            q = np.exp(p["c"])
+        else:
+            z += p["c"]
+            z -= z.max(axis=1, keepdims=True)
+            q = np.ones_like(p["c"])
+        # A class's probability is z * q / total; what follows is the gradient without the factors q and scale, which come in where arrays are small.
+        np.exp(z, out=z)
+        total = z @ q
+        z[row, y] -= total / q[y]
+        scale = (share / total)[:, None]
+        a = (z @ (p["o"] * q).T) * scale * (1 - h * h)
+        g = {"w": x.T @ a, "b": a.sum(axis=0), "o": (z.T @ (h * scale)).T * q, "c": (scale[:, 0] @ z) * q}
+        cell = (ids.reshape(-1, 1) * np.int64(WIDTH) + np.arange(WIDTH)).ravel()
+        rows = np.flatnonzero(np.bincount(ids.ravel(), minlength=len(p["e"])))
+        each = np.bincount(cell, (a @ p["w"].T).ravel(), p["e"].size).reshape(p["e"].shape)[rows].astype(np.float32)
+        for name, v in g.items():
+            sums[name] += v * v
+            p[name] -= rate * v / np.sqrt(sums[name])
+        sums["e"][rows] += each * each
+        p["e"][rows] -= rate * each / np.sqrt(sums["e"][rows])
     return np.concatenate([v.ravel() for v in p.values()]).astype(np.float64)
 
 
-def _trained(flat: np.ndarray, seed: int):
+def _trained(flat: np.ndarray, cls: np.ndarray, seed: int):
     """Weights as whole numbers, whose sum over shards does not depend on their order."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        w = train_shard(flat, frame["code"].to_numpy(), frame["n"].to_numpy(), seed)
+        each = sorted(zip(frame["piece"], frame["n"]))
+        near = np.frombuffer(b"".join(p for p, _ in each), np.uint16)
+        size = np.array([len(p) // 2 for p, _ in each])
+        at = np.arange(len(near))
+        k = at - np.repeat(np.cumsum(size) - size, size)
+        at = at[(k >= 2) & (k < np.repeat(size, size) - 2)]
+        n = np.repeat(np.array([m for _, m in each], np.float32), size - 4)
+        w = train_shard(flat, near, at, n, cls, seed)
         return pd.DataFrame({"pos": np.arange(len(w), dtype=np.int32), "v": np.round(w * 2.0**32).astype(np.int64), "one": 1})
 
     return run
 
 
-def fit(windows: DataFrame, flat: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """The weights after ``rounds`` rounds, each over its part of the windows of every shard."""
-    n = windows.count()
+def fit(found: DataFrame, flat: np.ndarray, cls: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """The weights after ``rounds`` rounds, each over its part of the :func:`pieces` of every shard."""
+    n = found.agg(F.sum(F.octet_length("piece") / 2 - 4)).first()[0]
     if not n:
         return flat
-    shards = -(-n // SHARD)
-    dealt = windows.select("code", "n", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("code", F.lit(1)), F.lit(rounds)).cast("int").alias("turn"))
+    shards = -(-int(n) // SHARD)
+    dealt = found.select("piece", "n", F.pmod(F.xxhash64("piece"), F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("piece", F.lit(1)), F.lit(rounds)).cast("int").alias("turn"))
     for k in range(rounds):
-        each = dealt.filter(F.col("turn") == k).groupBy("shard").applyInPandas(_trained(flat, k), "pos int, v long, one int")
+        each = dealt.filter(F.col("turn") == k).groupBy("shard").applyInPandas(_trained(flat, cls, k), "pos int, v long, one int")
         got = each.groupBy("pos").agg(F.sum("v").alias("v"), F.sum("one").alias("m")).toArrow()
         if got.num_rows:
             flat = np.zeros_like(flat)
@@ -232,18 +252,20 @@ class Network:
         self.tables = [p["e"] @ p["w"][k * WIDTH : (k + 1) * WIDTH] for k in range(4)]
         self.b, self.o, self.c = p["b"], p["o"], p["c"]
 
-    def log_p(self, ids: list[np.ndarray], y: np.ndarray, step: int = 4096) -> np.ndarray:
-        out = np.empty(len(y), np.float64)
+    def log_p(self, ids: list[np.ndarray], y: np.ndarray, step: int = 1024) -> np.ndarray:
+        out, bounded, q = np.empty(len(y), np.float64), _bounded(self.o, self.c), np.exp(self.c)
         for at in range(0, len(y), step):
             cut = slice(at, at + step)
             h = self.b + self.tables[0][ids[0][cut]]
             for t, i in zip(self.tables[1:], ids[1:]):
                 h += t[i[cut]]
             z = np.tanh(h, out=h) @ self.o
-            z += self.c
-            z -= z.max(axis=1, keepdims=True)
+            if not bounded:
+                z += self.c
+                z -= z.max(axis=1, keepdims=True)
             own = z[np.arange(len(h)), y[cut]]
-            out[cut] = own - np.log(np.exp(z, out=z).sum(axis=1))
+            np.exp(z, out=z)
+            out[cut] = own + self.c[y[cut]] - np.log(z @ q) if bounded else own - np.log(z.sum(axis=1))
         return out
 
 
@@ -274,8 +296,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
         tokens[i], kinds[i] = -n, 1
         tokens[OWN + _suffix(w)] += n
         kinds[OWN + _suffix(w)] -= 1
-    windows = materialise(window_counts(texts, ids.context, ids.cls), "windows", dealt=True)
-    weights = fit(windows, initial(tokens))
+    windows = materialise(pieces(texts, ids.context), "windows", dealt=True)
+    weights = fit(windows, initial(tokens), classes(ids))
     discard(windows)
     model = Model(words, np.array([-n for n, _ in known], np.float64), ids.context, ids.cls, weights, tokens, kinds)
     return model, counts, texts

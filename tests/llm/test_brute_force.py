@@ -354,6 +354,31 @@ def test_lm_trains_by_shards(spark, monkeypatch):
     assert net.log_p(at("z", "x", "z", "x"), np.array([ids.cls[ids["y"]]]))[0] > net.log_p(at("z", "x", "z", "x"), np.array([ids.cls[ids["v"]]]))[0] + 1
 
 
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    """Each token of each text is a window of exactly one shard and round, with its own four neighbours."""
+    monkeypatch.setattr(lm, "PIECE", 7)
+    monkeypatch.setattr(lm, "SHARD", 40)
+    rows = ["a b c d e f g h i j k l m n o p", "one", "a b c d e f g h", "a b c d e f g h", "  ", None]
+    df = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    model, _, texts = lm.train(df)
+    ids, got = lm.Ids(model.words), collections.Counter()
+    for r in lm.pieces(texts, model.context).collect():
+        c = np.frombuffer(r["piece"], np.uint16).tolist()
+        got.update({tuple(c[k - 2 : k + 3]): 0 for k in range(2, len(c) - 2)})
+        for k in range(2, len(c) - 2):
+            got[tuple(c[k - 2 : k + 3])] += r["n"]
+    want = collections.Counter()
+    for t in rows:
+        c = [0, 0, *[int(ids.context[ids[w]]) for w in (t or "").split()], 0, 0]
+        want.update(tuple(c[k - 2 : k + 3]) for k in range(2, len(c) - 2))
+    assert got == want and sum(got.values()) == 33
+    trained, was = [], lm.train_shard
+    monkeypatch.setattr(lm, "train_shard", lambda flat, near, at, n, cls, seed: trained.append(sum(n)) or was(flat, near, at, n, cls, seed))
+    frame = lm.pieces(texts, model.context).toPandas()
+    lm._trained(lm.initial(model.tokens), lm.classes(ids), 0)(frame)
+    assert trained == [33]
+
+
 def test_top_k_with_many_blocks(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(900, 8))
