@@ -40,3 +40,11 @@ def test_entry_points(spark):
 
     assert {r["review_level"] for r in e.entry(spark).collect()} == {"none", "soft", "hard"}
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_lines_meet_once_and_without_their_rows(spark):
+    """Tables' rows are far larger than the lines they come from: they are made after the only shuffle and the last sort."""
+    plan = catalog.table_markdown(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan[min(k for k in (plan.find("Exchange hashpartitioning"), plan.find("Sort [doc_slug")) if k >= 0) :]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "array_repeat" in plan and "array_repeat" not in below
