@@ -36,7 +36,7 @@ def superseding(config: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def extraction(items: DataFrame, skips: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Blocks with markers, tables, and table chunks of converted items.
+    """Items with headings, and of these blocks with markers, tables, and table chunks.
 
     All four read the items with their headings. ``keep(df, name)``, where it is given, writes
     these and reads them again, so that they are made once.
@@ -46,7 +46,7 @@ def extraction(items: DataFrame, skips: DataFrame | None = None, keep: Callable[
         headed = keep(headed, "headed")
     found = B.tables(headed)
     text = B.blocks(headed)
-    return {"blocks": text, "tables": found, "chunks": tables.chunks(found), "woven": tables.interleave(text, found)}
+    return {"headed": headed, "blocks": text, "tables": found, "chunks": tables.chunks(found), "woven": tables.interleave(text, found)}
 
 
 def chunked(extracted: dict[str, DataFrame], config: DataFrame) -> DataFrame:

@@ -75,3 +75,25 @@ def test_pages_through_an_extraction(spark, tmp_path):
     row = runs.extract(config, files.list_files(spark, str(tmp_path), ".html"), make, make, str(tmp_path / "out")).first()
     assert [b["text"] for b in row["blocks"]] == ["Top", "Intro", "Part"] and row["tables"][0]["columns"] == ["Actual", "x"] and row["total_pages"] == 1
     assert html.items(df.limit(0), "id", "page").filter(F.lit(True)).count() == 0
+
+
+def test_items_of_many_pages_share_a_frame(monkeypatch):
+    """Frames are bounded by rows and letters, keep the order, and hold what single rows held."""
+    rows = [{"doc_slug": f"d{k // 3}", "pos": k % 3, "label": "text", "page_number": 1, "text": "x" * (k % 5)} for k in range(100)]
+    whole = list(files.in_frames(iter(rows)))
+    assert len(whole) == 1 and len(whole[0]) == 100
+    monkeypatch.setattr(files, "FRAME_ROWS", 7)
+    some = list(files.in_frames(iter(rows)))
+    assert [len(f) for f in some] == [7] * 14 + [2]
+    assert [s for f in some for s in f["doc_slug"]] == [r["doc_slug"] for r in rows]
+    monkeypatch.setattr(files, "FRAME_CHARS", 1)
+    assert max(f["text"].str.len().sum() for f in files.in_frames(iter(rows))) <= 5
+    assert list(files.in_frames(iter([]))) == []
+
+
+def test_pages_are_scanned_once(spark, tmp_path):
+    """Blocks, tables and names of page_documents read items that were written, not the pages again."""
+    from loomline.plans import catalog
+
+    plan = catalog.page_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan
