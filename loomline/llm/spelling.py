@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomline.llm.common import arrow_rows, discard, materialise
+from loomline.llm.common import arrow_rows, discard, gathered, materialise
 
 #: Bytes of words, with 8 more each, of a shard and of the shards that are broadcast together.
 SHARD_BYTES, WAVE_BYTES = 1_000_000, 4_000_000
@@ -199,6 +199,11 @@ def _met(words: DataFrame, wave: _Wave) -> DataFrame:
     return words.select("word").mapInArrow(meet, out)
 
 
+def _kept(table: DataFrame, name: str) -> DataFrame:
+    """A table of words from a shuffle, written in a file a core: each file that a task writes starts processes beside it."""
+    return materialise(gathered(table, 1), name)
+
+
 def near_words(words: DataFrame, shard_bytes: int = SHARD_BYTES, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """(word, n_near, best_n, best) of the words of ``words`` (word, n), a written table, that have a neighbour.
 
@@ -206,11 +211,11 @@ def near_words(words: DataFrame, shard_bytes: int = SHARD_BYTES, wave_bytes: int
     """
     spark = words.sparkSession
     ranged = words.repartitionByRange("word").sortWithinPartitions("word").withColumn("__at", F.monotonically_increasing_id())
-    ranged = materialise(ranged, "vocabulary", dealt=True)
+    ranged = _kept(ranged, "vocabulary")
     size = F.octet_length("word") + 8
     upto = F.sum(size).over(W.partitionBy("part").orderBy("__at"))
     shards = ranged.withColumn("part", F.shiftright("__at", 33)).withColumn("size", size).withColumn("shard", F.call_function("div", upto - F.col("size"), F.lit(shard_bytes)))
-    shards = materialise(shards.select("word", "n", "part", "shard", "size"), "shards")
+    shards = _kept(shards.select("word", "n", "part", "shard", "size"), "shards")
     sizes = shards.groupBy("part", "shard").agg(F.sum("size").alias("size")).orderBy("part", "shard").collect()
     waves: list[list] = []
     held = 0
@@ -238,7 +243,7 @@ def near_words(words: DataFrame, shard_bytes: int = SHARD_BYTES, wave_bytes: int
         return words.select("word", F.lit(0).cast("long").alias("n_near"), F.col("n").alias("best_n"), F.col("word").alias("best")).limit(0)
     best = F.min(F.struct((-F.col("best_n")).alias("k"), "best")).alias("b")
     summed = out.groupBy("word").agg(F.sum("n_near").alias("n_near"), best)
-    result = materialise(summed.select("word", "n_near", (-F.col("b.k")).alias("best_n"), F.col("b.best").alias("best")), "near", dealt=True)
+    result = _kept(summed.select("word", "n_near", (-F.col("b.k")).alias("best_n"), F.col("b.best").alias("best")), "near")
     discard(ranged, shards, *met)
     return result
 
@@ -253,7 +258,7 @@ def roots(links: DataFrame) -> DataFrame:
     while True:
         b = held.select(F.col("word").alias("__w"), F.col("root").alias("__r"))
         step = held.join(b, F.col("root") == F.col("__w"), "left")
-        after = materialise(step.select("word", F.coalesce("__r", "root").alias("root"), F.col("__r").isNotNull().alias("moved")), "roots", dealt=True)
+        after = _kept(step.select("word", F.coalesce("__r", "root").alias("root"), F.col("__r").isNotNull().alias("moved")), "roots")
         if after.filter("moved").limit(1).count() == 0:
             return after.select("word", "root")
         held = after
@@ -269,12 +274,12 @@ def variants(docs: DataFrame, least_length: int = 5, least_n: int = 3, one_in: i
     An empty table has no words. Other columns are ignored.
     """
     with arrow_rows(docs.sparkSession, BATCH):
-        words = materialise(occurrences(docs, least_length, one_in).filter(F.col("n") >= least_n), "words", dealt=True)
+        words = _kept(occurrences(docs, least_length, one_in).filter(F.col("n") >= least_n), "words")
     near = near_words(words, shard_bytes, wave_bytes).withColumnRenamed("word", "__n")
     both = words.join(near, F.col("word") == F.col("__n"), "left")
     enough = F.col("best_n") >= times * F.col("n")
     formed = both.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best")).alias("form"), F.when(enough, F.col("best_n")).alias("form_n"))
-    formed = materialise(formed, "formed", dealt=True)
+    formed = _kept(formed, "formed")
     ends = roots(formed.filter("form IS NOT NULL")).withColumnRenamed("word", "__n")
     out = formed.join(ends, F.col("word") == F.col("__n"), "left")
-    return out.select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return gathered(out.select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root")), 1)

@@ -90,3 +90,21 @@ def test_hard_rows(spark, docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert collections.Counter(map(tuple, spelling.variants(docs).collect())) == plain(rows)
     assert spelling.variants(no_docs).collect() == []
+
+
+def test_few_files(spark, monkeypatch):
+    """Where small partitions are not coalesced, no table of words has more files than cores, nor the result more parts."""
+    files, was = [], spelling.materialise
+    monkeypatch.setattr(spelling, "materialise", lambda *a, **k: files.append((a[1], len((out := was(*a, **k)).inputFiles()))) or out)
+    asked = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "60"}
+    before = {k: spark.conf.get(k, None) for k in asked}
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        parts = queries.op13_spelling(spark, SF).rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    cores = spark.sparkContext.defaultParallelism
+    assert parts <= cores and all(n <= cores for _, n in files)
+    assert {name for name, _ in files} >= {"words", "vocabulary", "shards", "met", "near", "formed"}
