@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from loomline.llm import bpe
 from loomline.llm.common import arrow_rows, groups, materialise
-from loomline.llm.pretokens import to_mapped
+from loomline.llm.pretokens import UNSAFE, byte_chars, to_mapped
 
 SIZE = 2048
 #: Open bins of a task, and pieces of a window.
@@ -40,8 +40,11 @@ FULL = 1 / 64
 TASK_PIECES = 200_000
 #: Chunks of text whose ids a worker keeps, in two halves.
 MAX_STORE = 1_000_000
+#: Pre-tokens that meet the merge rules in one call.
+TOKENS = 512
 #: Rows of an Arrow batch of texts.
 BATCH = 1000
+_CHARS = np.array([ord(c) for c in byte_chars()[0]], "<u2")
 # White space, a blank, white space: the only places where a blank may belong to what stands before it.
 _BLANK_INSIDE = re.compile(r"\s (?:\s|\Z)")
 
@@ -66,16 +69,39 @@ class PackedEncoder:
     def _pretokens(self, tokens: list[str]) -> dict[str, bytes]:
         """Ids of distinct pre-tokens; where one ends among all ids follows from the bytes that ids stand for."""
         out: dict[str, bytes] = {}
-        for k in range(0, len(tokens), 4096):
-            part = tokens[k : k + 4096]
-            mapped = [to_mapped(t.encode("utf-8")) for t in part]
-            ids = np.array(self.base.merger.encode_batch_fast([" ".join(mapped)], add_special_tokens=False)[0].ids, dtype="<u4")
-            upto = np.cumsum(self.sizes[ids])
-            ends = (4 * (np.searchsorted(upto, np.cumsum([len(m) for m in mapped])) + 1)).tolist()
+        for k in range(0, len(tokens), TOKENS):
+            part = tokens[k : k + TOKENS]
+            data = np.frombuffer("\0".join(part).encode("utf-8"), np.uint8)
+            cuts = np.append(np.flatnonzero(data == 0), len(data))
+            chars = _CHARS[data]
+            if len(cuts) == len(part):
+                chars[cuts[:-1]] = ord(" ")
+                mapped, upto = chars.tobytes().decode("utf-16-le"), cuts - np.arange(len(cuts))
+            else:  # a pre-token that holds the separator itself
+                each = [to_mapped(t.encode("utf-8")) for t in part]
+                mapped, upto = " ".join(each), np.cumsum([len(m) for m in each])
+            ids = np.array(self.base.merger.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), upto) + 1)).tolist()
             raw = ids.tobytes()
             out.update(zip(part, [raw[p:q] for p, q in zip([0, *ends], ends)]))
         return out
 
+    def _learn_plain(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks behind a blank each. Those without white space are split together: a pre-token that begins with a blank begins a chunk."""
+        plain = [c for c in chunks if c and c.isprintable()]  # no white space but the blank is printable
+        text = " ".join(["", *plain])
+        if not text.isascii() and UNSAFE.search(text):
+            plain = [c for c in plain if c.isascii() or not UNSAFE.search(c)]
+            text = " ".join(["", *plain])
+        tokens = self.base.splitter.findall(text)
+        starts = [i for i, t in enumerate(tokens) if t[0] == " "]
+        known = self._pretokens(list(set(tokens)))
+        data = list(map(known.__getitem__, tokens))
+        out = {c: data[a] if b == a + 1 else b"".join(data[a:b]) for c, a, b in zip(plain, starts, [*starts[1:], len(tokens)], strict=True)}
+        if len(out) < len(chunks):
+            out.update(self._learn([c for c in chunks if c not in out]))
+        return out
+
     def _learn(self, chunks: list[str], before: str = " ") -> dict[str, bytes]:
         split = self.base.splitter.split
         lists = [split(before + c) for c in chunks]
@@ -90,7 +116,7 @@ class PackedEncoder:
         back = {c for c in new if c in self.old}
         self.store.update((c, self.old[c]) for c in back)
         if len(new) > len(back):
-            self.store.update(self._learn(list(new - back)))
+            self.store.update(self._learn_plain(list(new - back) if back else list(new)))
 
     def _whole(self, text: str) -> bytes:
         tokens = self.base._tokens(text)
@@ -100,10 +126,11 @@ class PackedEncoder:
 
     def run(self, texts: list[str]) -> list[bytes]:
         lists = [None if _BLANK_INSIDE.search(t) or any(m in t for m in self.marks) else t.split(" ") for t in texts]
-        self._need({c for x in lists if x for c in x[1:]})
-        heads = self._learn(list({x[0] for x in lists if x}), "")
+        first = [x.pop(0) if x else None for x in lists]
+        self._need(set().union(*filter(None, lists)))
+        heads = self._learn(list({h for h in first if h is not None}), "")
         of = self.store.__getitem__
-        return [self._whole(t) if x is None else heads[x[0]] + b"".join(map(of, x[1:])) for t, x in zip(texts, lists)]
+        return [self._whole(t) if x is None else heads[h] + b"".join(map(of, x)) for t, h, x in zip(texts, first, lists)]
 
 
 @cache

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 SAFE = [(0x0000, 0x017F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20AC, 0x20AC)]
 #: White space among them.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0 "
-_UNSAFE = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SAFE) + "]")
+UNSAFE = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SAFE) + "]")
 
 
 def _chars(kind: str, *more: str) -> str:
@@ -68,7 +68,7 @@ class Splitter:
         self.findall = pattern.findall
 
     def split(self, text: str) -> list[str]:
-        if text.isascii() or not _UNSAFE.search(text):
+        if text.isascii() or not UNSAFE.search(text):
             return self.findall(text.lower() if self.lower else text)
         lib = self.library
         normal = lib.normalizer.normalize_str(text) if lib.normalizer else text

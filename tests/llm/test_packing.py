@@ -105,3 +105,15 @@ def test_the_fullest_bin_closes_first():
     assert bins.add("d", 8) == [] and bins.add("e", 9) == [["d"]]
     full, less = bins.rest(2)
     assert full == [["e"]] and less == [["a"]]
+
+
+def test_chunks_are_split_together(monkeypatch):
+    """Chunks without white space meet the splitter in one call; odd ones give the library's ids too."""
+    e = packing.PackedEncoder(PATH)
+    calls, was = [], e.base.splitter.split
+    monkeypatch.setattr(e.base.splitter, "split", lambda t: calls.append(t) or was(t))
+    odd = ["it's", "'s", "''ll", "a\x00b", "\x00", "x\ny", "\n", "nb\xa0sp", "li\u2028ne", "漢字", "é1!", "😀", "don't...", "\x85", "a\u200bb", "\ufb01"]
+    text = " ".join(["head", *(f"word{i}, q{i}" for i in range(500)), *(y for x in odd for y in (x, "mid"))])
+    got = e.run([text, text + " tail"])
+    assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in got] == library([text, text + " tail"])
+    assert len(calls) < 30
