@@ -78,14 +78,14 @@ def extract(config: DataFrame, files: DataFrame, make_standard: Callable, make_o
     spark = config.sparkSession
     stored = (lambda: sources.read_snapshots(path)) if isinstance(path, Snapshots) else (lambda: sources.read_stored(spark, path))
     here = config.join(files.select(F.col("name").alias("filename")).distinct(), "filename", "left_semi")
-    with scratch():  # converted and headed items are written once for all that is made of them
+    with scratch():
         todo = kept(cache.split(here, stored(), force)[1], "todo")
         given = todo.join(files.select(F.col("name").alias("filename"), "content"), "filename")
-        both = kept(sources.converted(given.select("doc_slug", "content", "is_scanned"), make_standard, make_ocr), "converted")
-        items, errors = sources.split_converted(both)
-        out = extraction(items, todo.select("doc_slug", "skip_sections"), kept)
-        info = todo.select("doc_slug", F.col("filename").alias("source_file"), "is_scanned").join(sources.page_counts(items), "doc_slug", "left").join(errors, "doc_slug", "left")
-        docs = sinks.documents(info, out["blocks"], out["tables"])
+        both = sources.converted(given.select("doc_slug", "content", "is_scanned"), make_standard, make_ocr)
+        # A file that failed is a row of no label, so neither a block nor a table.
+        headed = B.with_headings(both, todo.select("doc_slug", "skip_sections"))
+        made = sinks.with_full_tables(B.by_document(headed, sources.last_page().alias("total_pages"), F.max("error").alias("error")))
+        docs = todo.select("doc_slug", F.col("filename").alias("source_file"), "is_scanned").join(made, "doc_slug", "left")
         if isinstance(path, Snapshots):
             path.append(docs.withColumn("run", F.lit(run)), f"{run:012d}-{uuid.uuid4().hex[:8]}")
             path.compact()

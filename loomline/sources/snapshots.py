@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +44,10 @@ class Snapshots:
         return self._fs.exists(self._jpath(f"{self.path}/{below}/_SUCCESS"))
 
     def manifest(self) -> dict:
-        """The valid manifest: ``number``, ``parts`` (hash partition to version) and ``runs`` that they hold."""
+        """The valid manifest: ``number``, ``parts`` (hash partition to version), ``runs`` that they hold, and ``of`` how many parts keys are dealt to."""
         numbers = [n for n in self._names("manifests") if n.isdigit()]
         if not numbers:
-            return {"number": 0, "parts": {}, "runs": []}
+            return {"number": 0, "parts": {}, "runs": [], "of": self.parts}
         stream = self._fs.open(self._jpath(f"{self.path}/manifests/{max(numbers)}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -68,6 +69,13 @@ class Snapshots:
             rows.select(*[_as(F.col(f"`{f.name}`"), f.dataType, rows.schema[f.name].dataType).alias(f.name) for f in self.schema]).write.mode("overwrite").parquet(f"{self.path}/runs/{run}")
 
     def _last(self, rows: DataFrame) -> DataFrame:
+        """The last row of each key. Only rows of keys that stand more than once are moved and compared."""
+        keys = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(self.keys)]
+        many = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+        same = reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)])
+        return rows.join(many, same, "left_anti").unionByName(self._best(rows.join(many, same, "left_semi")))
+
+    def _best(self, rows: DataFrame) -> DataFrame:
         rest = [f.name for f in self.schema if f.name not in self.keys and f.name not in self.order]
         plain = [c for c in rest if _ordered(self.schema[c].dataType)]
         best = F.max_by(F.struct(*[F.col(f"`{f.name}`") for f in self.schema]), F.struct(*[F.col(f"`{c}`") for c in [*self.order, *plain]]))
@@ -87,8 +95,10 @@ class Snapshots:
         return [f"{self.path}/versions/{v}/__part={p}" for p, v in sorted(m["parts"].items())] + [f"{self.path}/runs/{r}" for r in self._runs(m)]
 
     def read(self) -> DataFrame:
-        """The last row of each key."""
-        return self._last(self._read(self.scanned()))
+        """The last row of each key. A snapshot without runs since holds each key once and is read as it is, so only the columns that are used."""
+        m = self.manifest()
+        rows = self._read(self.scanned())
+        return rows if "of" in m and not self._runs(m) else self._last(rows)
 
     def compact(self) -> dict:
         """Merges the runs into the snapshot and returns the manifest that is valid then."""
@@ -97,15 +107,18 @@ class Snapshots:
         if runs:
             part = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.parts)).cast("int")
             new = self._read([f"{self.path}/runs/{r}" for r in runs])
-            touched = [r[0] for r in new.select(part.alias("p")).distinct().collect()]
+            # With another number of parts than before all rows are dealt anew.
+            alike = old.get("of") == self.parts
+            seen = new if alike else new.unionByName(self._read([f"{self.path}/versions/{v}/__part={p}" for p, v in old["parts"].items()]))
+            touched = [r[0] for r in seen.select(part.alias("p")).distinct().collect()]
             version = f"{old['number'] + 1:012d}-{uuid.uuid4().hex[:8]}"
-            held = self._read([f"{self.path}/versions/{v}/__part={p}" for p, v in old["parts"].items() if int(p) in touched])
+            held = self._read([f"{self.path}/versions/{v}/__part={p}" for p, v in old["parts"].items() if not alike or int(p) in touched])
             merged = self._last(held.unionByName(new)).withColumn("__part", part)
             merged.write.partitionBy("__part").parquet(f"{self.path}/versions/{version}")
             # Names of runs that are gone already need not be kept.
             gone = set(self._names("runs"))
-            parts = old["parts"] | {str(p): version for p in touched}
-            self._commit({"number": old["number"] + 1, "parts": parts, "runs": sorted({*(r for r in old["runs"] if r in gone), *runs})})
+            parts = (old["parts"] if alike else {}) | {str(p): version for p in touched}
+            self._commit({"number": old["number"] + 1, "parts": parts, "runs": sorted({*(r for r in old["runs"] if r in gone), *runs}), "of": self.parts})
         self.clean()
         return self.manifest()
 

@@ -118,3 +118,15 @@ def test_store_and_read_back(spark, tmp_path):
     sinks.store(sinks.documents(info, out["blocks"], out["tables"]), str(tmp_path / "s"))
     back = {r["doc_slug"]: r for r in files.read_stored(spark, str(tmp_path / "s")).collect()}
     assert back["d"]["blocks"][0]["text"] == "H é" and back["d"]["tables"][0]["rows"] == [["1", "2"], ["3", "4"]] and back["e"]["blocks"] == []
+
+
+def test_by_document_is_blocks_and_tables(spark):
+    rows = [(d, k, label, 1 + k % 3, k // 3 or None, f"{label} {k}" if k % 7 else "", cols, cells)
+            for d in ("a", "b") for k, (label, cols, cells) in enumerate([("section_header", None, None), ("text", None, None), ("table", ["x"], [["1"]]), ("caption", None, None), ("table", [], []), ("furniture", None, None), ("table", ["y", "y"], [["2", None]]), ("text", None, None), (None, None, None)])]
+    headed = B.with_headings(spark.createDataFrame([*rows, ("c", 0, None, None, None, None, None, None)], files.ITEMS), spark.createDataFrame([("b", ["header 0", "no"])], "doc_slug string, skip_sections array<string>"))
+    info = headed.select("doc_slug").distinct()
+    want = {r["doc_slug"]: (r["blocks"] or [], [t.asDict() | {"cells": t["cells"].toJson()} for t in r["tables"] or []]) for r in sinks.documents(info, B.blocks(headed), B.tables(headed)).collect()}
+    got = sinks.with_full_tables(B.by_document(headed))
+    assert {r["doc_slug"]: (r["blocks"], [t.asDict() | {"cells": t["cells"].toJson()} for t in r["tables"]]) for r in got.collect()} == want
+    plan = B.by_document(headed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_slug") == 2  # items and skips

@@ -148,3 +148,19 @@ def test_a_stream_that_is_stopped_goes_on(spark, tmp_path):
     got = {r["file"]: (r["status"], r["ts"]) for r in live.store(spark, out).read().collect()}
     assert got == latest
     assert live.store(spark, out).read().agg(F.sum("n_events")).first()[0] == len(every)
+
+
+def test_a_snapshot_alone_is_read_as_it_is(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path / "t"), SCHEMA, ["k"], ["v"], parts=3)
+    every = rows(random.Random(2), 40, 0)
+    s.append(spark.createDataFrame(every, SCHEMA), 1)
+    s.compact()
+    plan = lambda: s.read().select("k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan() and "note" not in plan() and read(s) == model(every)
+    # Other hash partitions on the same path: all rows are dealt anew.
+    t = Snapshots(spark, str(tmp_path / "t"), SCHEMA, ["k"], ["v"], parts=5)
+    for run in (2, 3):
+        every += rows(random.Random(run), 3, run)
+        t.append(spark.createDataFrame(every[-3:], SCHEMA), run)
+        t.compact()
+        assert read(t) == read(s) == model(every)
