@@ -40,6 +40,8 @@ FULL = 1 / 64
 TASK_PIECES = 200_000
 #: Chunks of text whose ids a worker keeps, in two halves.
 MAX_STORE = 1_000_000
+#: Pre-tokens without a blank that a worker keeps.
+MAX_INNER = 100_000
 #: Pre-tokens that meet the merge rules in one call.
 TOKENS = 512
 #: Rows of an Arrow batch of texts.
@@ -65,6 +67,29 @@ class PackedEncoder:
         self.sizes = sizes
         self.store: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
+
+    def _ids(self, tokens: set[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens. One behind a blank may be a known chunk; others, that stand within chunks, are kept by themselves."""
+        out: dict[str, bytes] = {}
+        new, ends, store, old, inner = [], [], self.store, self.old, self.inner
+        for t in tokens:
+            if t[0] != " ":
+                found = inner.get(t)
+                if found is None:
+                    ends.append(t)
+            else:
+                found = store.get(t[1:]) or old.get(t[1:])
+            if found is None:
+                new.append(t)
+            else:
+                out[t] = found
+        out.update(self._pretokens(new))
+        if len(inner) + len(ends) > MAX_INNER:
+            inner.clear()
+            ends = ends[:MAX_INNER]
+        inner.update((t, out[t]) for t in ends)
+        return out
 
     def _pretokens(self, tokens: list[str]) -> dict[str, bytes]:
         """Ids of distinct pre-tokens; where one ends among all ids follows from the bytes that ids stand for."""
@@ -87,15 +112,17 @@ class PackedEncoder:
         return out
 
     def _learn_plain(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks behind a blank each. Those without white space are split together: a pre-token that begins with a blank begins a chunk."""
-        plain = [c for c in chunks if c and c.isprintable()]  # no white space but the blank is printable
+        """Ids of chunks behind a blank each. Those with white space at neither end are split together: a pre-token that begins with a blank begins a chunk."""
+        plain = [c for c in chunks if c and c == c.strip()]
         text = " ".join(["", *plain])
         if not text.isascii() and UNSAFE.search(text):
             plain = [c for c in plain if c.isascii() or not UNSAFE.search(c)]
             text = " ".join(["", *plain])
+        if not plain:
+            return self._learn(chunks)
         tokens = self.base.splitter.findall(text)
         starts = [i for i, t in enumerate(tokens) if t[0] == " "]
-        known = self._pretokens(list(set(tokens)))
+        known = self._ids(set(tokens))
         data = list(map(known.__getitem__, tokens))
         out = {c: data[a] if b == a + 1 else b"".join(data[a:b]) for c, a, b in zip(plain, starts, [*starts[1:], len(tokens)], strict=True)}
         if len(out) < len(chunks):
@@ -105,32 +132,37 @@ class PackedEncoder:
     def _learn(self, chunks: list[str], before: str = " ") -> dict[str, bytes]:
         split = self.base.splitter.split
         lists = [split(before + c) for c in chunks]
-        known = self._pretokens(list(set().union(*lists)))
+        known = self._ids(set().union(*lists))
         return {c: known[x[0]] if len(x) == 1 else b"".join([known[t] for t in x]) for c, x in zip(chunks, lists)}
 
-    def _need(self, chunks: set[str]) -> None:
-        new = chunks.difference(self.store)
+    def _need(self, new: set[str]) -> None:
+        """Has the store hold chunks that it lacks. A full store becomes the old one, which what is still in use comes back from."""
+        back = {c: self.old[c] for c in new if c in self.old}
         if len(self.store) + len(new) > MAX_STORE // 2:
             self.store, self.old = {}, self.store
-            new = chunks
-        back = {c for c in new if c in self.old}
-        self.store.update((c, self.old[c]) for c in back)
+        self.store.update(back)
         if len(new) > len(back):
-            self.store.update(self._learn_plain(list(new - back) if back else list(new)))
+            self.store.update(self._learn_plain([c for c in new if c not in back]))
 
     def _whole(self, text: str) -> bytes:
         tokens = self.base._tokens(text)
-        known = self._pretokens(list({t for t in tokens if isinstance(t, str)}))
+        known = self._ids({t for t in tokens if isinstance(t, str)})
         marks = self.base.specials
         return b"".join([known[t] if isinstance(t, str) else marks[t[0]].to_bytes(4, "little") for t in tokens])
 
     def run(self, texts: list[str]) -> list[bytes]:
         lists = [None if _BLANK_INSIDE.search(t) or any(m in t for m in self.marks) else t.split(" ") for t in texts]
         first = [x.pop(0) if x else None for x in lists]
-        self._need(set().union(*filter(None, lists)))
         heads = self._learn(list({h for h in first if h is not None}), "")
+        get = self.store.get
+        data = [list(map(get, x or ())) for x in lists]
+        gaps = [[i for i, d in enumerate(row) if d is None] for row in data]
+        self._need({x[i] for x, places in zip(lists, gaps) for i in places})
         of = self.store.__getitem__
-        return [self._whole(t) if x is None else heads[h] + b"".join(map(of, x)) for t, h, x in zip(texts, first, lists)]
+        for x, row, places in zip(lists, data, gaps):
+            for i in places:
+                row[i] = of(x[i])
+        return [self._whole(t) if x is None else heads[h] + b"".join(row) for t, h, x, row in zip(texts, first, lists, data)]
 
 
 @cache

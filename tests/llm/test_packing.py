@@ -117,3 +117,19 @@ def test_chunks_are_split_together(monkeypatch):
     got = e.run([text, text + " tail"])
     assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in got] == library([text, text + " tail"])
     assert len(calls) < 30
+
+
+def test_a_known_pretoken_does_not_meet_the_merge_rules_again(monkeypatch):
+    e, met = packing.PackedEncoder(PATH), []
+    learn = e._pretokens
+    monkeypatch.setattr(e, "_pretokens", lambda tokens: met.extend(tokens) or learn(tokens))
+    texts = ["one two two, three.\nFour four", "two. two; one, three.\nTwo\n five", "x one.\nFour two!\n\nFour, \x00four five\n", "\nfive five\x1f \x85five"]
+    for t in texts:
+        assert e.run([t]) == [struct.pack(f"<{len(i)}I", *i) for i in library([t])]
+    # Only one behind a blank that was no chunk by itself may come again.
+    assert all(t[0] == " " and t[1:] not in e.store for t, n in collections.Counter(met).items() if n > 1)
+
+
+def test_odd_chunks_alone(monkeypatch):
+    """A text none of whose chunks can be split with others."""
+    assert packing.PackedEncoder(PATH).run(["x 漢字 \u2028y"]) == [struct.pack(f"<{len(i)}I", *i) for i in library(["x 漢字 \u2028y"])]
