@@ -18,16 +18,17 @@ laid out, so a score does not either, to rounding.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomline.llm.common import discard, frequent, materialise
+from loomline.llm.common import arrow_rows, discard, frequent, materialise
 
 #: Most frequent words that are classes by themselves, and classes of all other words.
 OWN, SUFFIX = 128, 96
@@ -40,10 +41,12 @@ PIECE = 512
 SHARD, ROUNDS = 4_000_000, 3
 #: Logits up to this bound need no scaling before their exponential in single precision.
 SAFE = 60.0
+#: Windows whose logits are held at once: they stay in a core's cache.
+STEP = 512
 #: The tasks get the counts of at most as many words; those of all others come by a join.
 LEXICON = 250_000
-#: A task passes on its counts when it holds as many words.
-HELD = 400_000
+#: Tokens of a block of texts, about; a longer text is a block.
+BLOCK = 500_000
 #: Added to every word's count, also to those of words that no other row holds.
 SMOOTH = 0.1
 WIDTH, HIDDEN = 24, 32
@@ -53,25 +56,47 @@ def split(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _counted(batches):
-    def parts():
-        kept = list(counts.items())
-        for k in range(0, len(kept), 50_000):
-            yield pd.DataFrame(kept[k : k + 50_000], columns=["word", "n"])
+def _row(*columns: pa.Array | bytes) -> list[pa.Array]:
+    """Columns of one row: an array is one list."""
+    return [pa.array([c], pa.binary()) if isinstance(c, bytes) else pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
 
-    counts: Counter = Counter()
-    for b in batches:
-        for text in b["text"]:
-            counts.update(split(text))
-        if len(counts) > HELD:
-            yield from parts()
-            counts = Counter()
-    yield from parts()
+
+def _block(doc_ids: pa.Array, tokens: list[str], sizes: list[int]) -> pa.RecordBatch:
+    coded = pa.array(tokens, pa.string()).dictionary_encode()
+    ids = coded.indices.to_numpy()
+    n = np.bincount(ids, minlength=len(coded.dictionary)).astype(np.int32)
+    words = pa.StructArray.from_arrays([coded.dictionary, pa.array(n)], ["word", "n"])
+    return pa.RecordBatch.from_arrays(_row(doc_ids, pa.array(sizes, pa.int32()), words, ids.tobytes()), ["doc_ids", "sizes", "words", "ids"])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of every lower-case word of all texts."""
-    return docs.select("text").mapInPandas(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at, tokens, sizes = 0, [], []
+        for text in b.column(1).to_pylist():
+            found = split(text)
+            tokens += found
+            sizes.append(len(found))
+            if len(tokens) >= BLOCK:
+                yield _block(b.column(0).slice(at, len(sizes)), tokens, sizes)
+                at, tokens, sizes = at + len(sizes), [], []
+        if sizes:
+            yield _block(b.column(0).slice(at), tokens, sizes)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(doc_ids, sizes, words, ids): texts of about ``BLOCK`` tokens a row, with their distinct words, the counts of these and every token's place among them."""
+    schema = T.StructType([
+        T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)),
+        T.StructField("sizes", T.ArrayType(T.IntegerType())),
+        T.StructField("words", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType())]))),
+        T.StructField("ids", T.BinaryType()),
+    ])
+    return docs.select("doc_id", "text").mapInArrow(_blocks, schema)
+
+
+def word_counts(found: DataFrame) -> DataFrame:
+    """(word, n) of every lower-case word of all :func:`blocks`."""
+    return found.select(F.inline("words")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _suffix(word: str) -> int:
@@ -103,23 +128,43 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def coded(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, row, ids, words, ns) of every row as a written table: its tokens' places, and its words outside the lexicon."""
+def _coded(words: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Ids(words)
+        for b in batches:
+            for k in range(b.num_rows):
+                doc_ids, sizes, own, ids = (c.slice(k, 1) for c in b.columns)
+                own, size, local = own.flatten().field(0), sizes.flatten().to_numpy(), np.frombuffer(ids[0].as_py(), np.int32)
+                at = places.of(own.to_pylist()).astype(np.int32)[local]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                rare = np.flatnonzero(at < 0)
+                # A text's words outside the lexicon, each once, with their counts.
+                key, n = np.unique((np.searchsorted(ends, rare, "right") - 1) * len(own) + local[rare], return_counts=True)
+                lists = pa.array(np.searchsorted(key, np.arange(len(size) + 1) * len(own)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        doc_ids.flatten(),
+                        pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(at)]),
+                        pa.ListArray.from_arrays(lists, own.take(pa.array(key % max(len(own), 1)))),
+                        pa.ListArray.from_arrays(lists, pa.array(n.astype(np.int32))),
+                    ],
+                    ["doc_id", "ids", "words", "ns"],
+                )
+
+    return run
 
-    @F.pandas_udf("ids binary, words array<string>, ns array<int>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ids = Ids(words)
-        for s in batches:
-            out = []
-            for text in s:
-                w = split(text)
-                at = ids.of(w)
-                rare = Counter([w[k] for k in np.flatnonzero(at < 0)])
-                out.append((at.astype(np.int32).tobytes(), list(rare), list(rare.values())))
-            yield pd.DataFrame(out, columns=["ids", "words", "ns"])
 
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), of(F.col("text")).alias("c"))
-    return materialise(rows.select("doc_id", "row", "c.*"), "coded")
+def coded(found: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, row, ids, words, ns) of every row of all :func:`blocks` as a written table: its tokens' places, and its words outside the lexicon."""
+    schema = T.StructType([
+        T.StructField("doc_id", found.schema["doc_ids"].dataType.elementType),
+        T.StructField("ids", T.BinaryType()),
+        T.StructField("words", T.ArrayType(T.StringType())),
+        T.StructField("ns", T.ArrayType(T.IntegerType())),
+    ])
+    with arrow_rows(found.sparkSession, 1):
+        rows = found.mapInArrow(_coded(words), schema)
+        return materialise(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "ids", "words", "ns"), "coded")
 
 
 def places(ids: bytes) -> np.ndarray:
@@ -176,38 +221,60 @@ def _bounded(o: np.ndarray, c: np.ndarray) -> bool:
 
 
 def train_shard(flat: np.ndarray, near: np.ndarray, at: np.ndarray, n: np.ndarray, cls: np.ndarray, seed: int, batch: int = 4096, rate: float = 0.1) -> np.ndarray:
-    """The weights after one pass over the windows at the places ``at`` of ``near``, ``n`` times each, in a seeded order; Adagrad."""
+    """The weights after one pass over the windows at the places ``at`` of ``near``, ``n`` times each, in a seeded order; Adagrad.
+
+    A batch's gradient is summed over steps of ``STEP`` windows, whose arrays are used again and stay in a core's cache.
+    """
     order = np.random.default_rng(seed).permutation(len(at))
-    p = {k: v.astype(np.float32) for k, v in _parts(flat).items()}
+    p = {k: np.ascontiguousarray(v, np.float32) for k, v in _parts(flat).items()}
     sums = {k: np.full(v.shape, 1e-6, np.float32) for k, v in p.items()}
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    windows = np.lib.stride_tricks.sliding_window_view(near, 5) if len(near) > 4 else None
+    # Two numbers of an embedding are added at once, as one complex number.
+    pairs, cells = g["e"].reshape(-1).view(np.complex64), np.arange(p["e"].size // 2).reshape(-1, WIDTH // 2)
+    logits, ones = np.empty((STEP, CLASSES), np.float32), np.ones(STEP, np.float32)
     for k in range(0, len(at), batch):
         own = order[k : k + batch]
-        pos, share = at[own], n[own] / n[own].sum()
-        ids, y, row = near[pos[:, None] + (-2, -1, 1, 2)], cls[near[pos]], np.arange(len(own))
-        x = p["e"].take(ids, axis=0).reshape(len(ids), -1)
-        h = np.tanh(x @ p["w"] + p["b"])
-        z = h @ p["o"]
-        if _bounded(p["o"], p["c"]):
-            q = np.exp(p["c"])
-        else:
-            z += p["c"]
-            z -= z.max(axis=1, keepdims=True)
-            q = np.ones_like(p["c"])
-        # A class's probability is z * q / total; what follows is the gradient without the factors q and scale, which come in where arrays are small.
-        np.exp(z, out=z)
-        total = z @ q
-        z[row, y] -= total / q[y]
-        scale = (share / total)[:, None]
-        a = (z @ (p["o"] * q).T) * scale * (1 - h * h)
-        g = {"w": x.T @ a, "b": a.sum(axis=0), "o": (z.T @ (h * scale)).T * q, "c": (scale[:, 0] @ z) * q}
-        cell = (ids.reshape(-1, 1) * np.int64(WIDTH) + np.arange(WIDTH)).ravel()
-        rows = np.flatnonzero(np.bincount(ids.ravel(), minlength=len(p["e"])))
-        each = np.bincount(cell, (a @ p["w"].T).ravel(), p["e"].size).reshape(p["e"].shape)[rows].astype(np.float32)
+        found, share = windows[at[own] - 2], n[own] / n[own].sum()
+        near4, y = found[:, [0, 1, 3, 4]].astype(np.int64), cls[found[:, 2]]
+        bounded, q = _bounded(p["o"], p["c"]), np.exp(p["c"])
+        if not bounded:
+            q = np.ones_like(q)
+        back = (p["o"] * q).T
+        for v in g.values():
+            v.fill(0)
+        for s in range(0, len(own), STEP):
+            ids, to = near4[s : s + STEP].ravel(), y[s : s + STEP]
+            m = len(to)
+            x = p["e"].take(ids, axis=0).reshape(m, -1)
+            h = x @ p["w"]
+            h += p["b"]
+            np.tanh(h, out=h)
+            z = np.matmul(h, p["o"], out=logits[:m])
+            if not bounded:
+                z += p["c"]
+                z -= z.max(axis=1, keepdims=True)
+            # A class's probability is z * q / total; what follows is the gradient without the factors q and scale, which come in where arrays are small.
+            np.exp(z, out=z)
+            total = z @ q
+            z[np.arange(m), to] -= total / q[to]
+            scale = share[s : s + STEP] / total
+            a = z @ back
+            a *= scale[:, None]
+            a *= 1 - h * h
+            h *= scale[:, None]
+            g["w"] += x.T @ a
+            g["b"] += ones[:m] @ a
+            g["o"] += (z.T @ h).T
+            g["c"] += scale @ z
+            np.add.at(pairs, cells.take(ids, axis=0).ravel(), (a @ p["w"].T).reshape(-1).view(np.complex64))
+        g["o"] *= q
+        g["c"] *= q
         for name, v in g.items():
             sums[name] += v * v
-            p[name] -= rate * v / np.sqrt(sums[name])
-        sums["e"][rows] += each * each
-        p["e"][rows] -= rate * each / np.sqrt(sums["e"][rows])
+            v *= rate
+            v /= np.sqrt(sums[name])
+            p[name] -= v
     return np.concatenate([v.ravel() for v in p.values()]).astype(np.float64)
 
 
@@ -252,14 +319,16 @@ class Network:
         self.tables = [p["e"] @ p["w"][k * WIDTH : (k + 1) * WIDTH] for k in range(4)]
         self.b, self.o, self.c = p["b"], p["o"], p["c"]
 
-    def log_p(self, ids: list[np.ndarray], y: np.ndarray, step: int = 1024) -> np.ndarray:
+    def log_p(self, ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         out, bounded, q = np.empty(len(y), np.float64), _bounded(self.o, self.c), np.exp(self.c)
-        for at in range(0, len(y), step):
-            cut = slice(at, at + step)
-            h = self.b + self.tables[0][ids[0][cut]]
+        logits = np.empty((STEP, CLASSES), np.float32)
+        for at in range(0, len(y), STEP):
+            cut = slice(at, at + STEP)
+            h = self.tables[0].take(ids[0][cut], axis=0)
+            h += self.b
             for t, i in zip(self.tables[1:], ids[1:]):
-                h += t[i[cut]]
-            z = np.tanh(h, out=h) @ self.o
+                h += t.take(i[cut], axis=0)
+            z = np.matmul(np.tanh(h, out=h), self.o, out=logits[: len(h)])
             if not bounded:
                 z += self.c
                 z -= z.max(axis=1, keepdims=True)
@@ -284,10 +353,12 @@ class Model:
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     """A model of all texts, the table (word, n) of all of their words, and the :func:`coded` texts."""
-    counts = materialise(word_counts(docs), "words", dealt=True)
+    found = materialise(blocks(docs), "blocks")
+    counts = materialise(word_counts(found), "words", dealt=True)
     known = sorted(((-r["n"], r["word"]) for r in frequent(counts, LEXICON).collect()))
     words = [w for _, w in known]
-    ids, texts = Ids(words), coded(docs, words)
+    ids, texts = Ids(words), coded(found, words)
+    discard(found)
     ending = OWN + F.pmod(F.crc32(F.right("word", F.lit(2)).cast("binary")), F.lit(SUFFIX)).cast("int")
     tokens, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counts.groupBy(ending.alias("cls")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
@@ -319,7 +390,7 @@ def log_likelihood(ids: Column, model: Model) -> Column:
                 c = np.zeros(len(at) + 4 * len(part), np.int64)
                 c[place] = context[at]
                 y = cls[at]
-                pll = np.bincount(doc, net.log_p([c[place + k] for k in (-2, -1, 1, 2)], y), len(part))
+                pll = np.bincount(doc, net.log_p([c[place + k] for k in (-2, -1, 1, 2)], y), len(part)).astype(np.float64)  # whole numbers where no text has a token
                 # Less the classes' tokens in other rows, plus the words' own.
                 m = np.bincount(doc * CLASSES + y, minlength=len(part) * CLASSES).reshape(-1, CLASSES)
                 pll -= (m * np.log(np.maximum(total - m, SMOOTH / 2))).sum(axis=1)
