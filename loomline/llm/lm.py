@@ -108,11 +108,12 @@ class Ids(dict):
 
     def __init__(self, words: list[str]):
         super().__init__((w, i) for i, w in enumerate(words))
-        ends = [_suffix(w) for w in words]
+        known = {e: _suffix(e) for e in {w[-2:] for w in words}}
+        at, ends = np.arange(len(words)), np.array([known[w[-2:]] for w in words], np.int64)
         # Indexed by place, and from the end by the classes of other words.
-        tail = list(range(SUFFIX - 1, -1, -1))
-        self.context = np.array([1 + i if i < CONTEXT else 1 + CONTEXT + e for i, e in enumerate(ends)] + [1 + CONTEXT + e for e in tail], np.int64)
-        self.cls = np.array([i if i < OWN else OWN + e for i, e in enumerate(ends)] + [OWN + e for e in tail], np.int64)
+        tail = np.arange(SUFFIX - 1, -1, -1)
+        self.context = 1 + np.concatenate([np.where(at < CONTEXT, at, CONTEXT + ends), CONTEXT + tail])
+        self.cls = np.concatenate([np.where(at < OWN, at, OWN + ends), OWN + tail])
         self.ends: dict[str, int] = {}
 
     def __missing__(self, word: str) -> int:
@@ -135,7 +136,7 @@ def _coded(words: list[str]):
             for k in range(b.num_rows):
                 doc_ids, sizes, own, ids = (c.slice(k, 1) for c in b.columns)
                 own, size, local = own.flatten().field(0), sizes.flatten().to_numpy(), np.frombuffer(ids[0].as_py(), np.int32)
-                at = places.of(own.to_pylist()).astype(np.int32)[local]
+                at = places.of(own.to_numpy(zero_copy_only=False).tolist()).astype(np.int32)[local]
                 ends = np.concatenate([[0], np.cumsum(size)])
                 rare = np.flatnonzero(at < 0)
                 # A text's words outside the lexicon, each once, with their counts.
