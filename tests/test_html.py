@@ -4,6 +4,8 @@ import random
 import re
 import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.plans import runs
@@ -97,3 +99,24 @@ def test_pages_are_scanned_once(spark, tmp_path):
 
     plan = catalog.page_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" not in plan
+
+
+CUT = ['"', "&", "&q", "&quo", "&quot", "&quot;", "&quot;&quot", "&quotes", "&amp;quot", "&am", "&amp", "&copy", "&middot &copy; &quot x"]
+
+
+def test_references_that_are_cut_off():
+    assert [of(f"<p>a {x}</p>")[0][1] for x in ("&quot", "&quot;&quot", "&quotes;", "&amp;quot", "&amp", "&copy")] == ["a &quot", 'a "&quot', "a &quotes;", "a &quot", "a &", "a ©"]
+    assert of("<table><tr><td>&quot<td>&quot;</table>") == [("table", ["&quot", '"'], [])]
+
+
+@pytest.mark.parametrize("name", ["page_items"])
+def test_cut_references_are_those_of_the_sql(spark, tmp_path, name):
+    from loomline.plans import catalog
+
+    rows = [(k, f"<html><head><title>t {x}</title></head><body><h1>h {x}</h1><p>one {x} two<li>{x}</body></html>") for k, x in enumerate(CUT)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(map(str, map(tuple, catalog.queries()[name](spark, str(tmp_path)).select(*names).collect()))) == sorted(map(str, want.fetchall()))
