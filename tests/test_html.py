@@ -109,7 +109,7 @@ def test_references_that_are_cut_off():
     assert of("<table><tr><td>&quot<td>&quot;</table>") == [("table", ["&quot", '"'], [])]
 
 
-@pytest.mark.parametrize("name", ["page_items"])
+@pytest.mark.parametrize("name", ["page_items", "page_documents"])
 def test_cut_references_are_those_of_the_sql(spark, tmp_path, name):
     from loomline.plans import catalog
 
