@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomline.llm.common import arrow_rows, discard, frequent, materialise
+from loomline.llm.common import arrow_rows, discard, frequent, materialise, read_rows
 
 #: Most frequent words that are classes by themselves, and classes of all other words.
 OWN, SUFFIX = 128, 96
@@ -47,6 +47,8 @@ STEP = 512
 LEXICON = 250_000
 #: Tokens of a block of texts, about; a longer text is a block.
 BLOCK = 500_000
+#: Texts of a block at most, texts that a task gets at once, and blocks that are read at once.
+TEXTS, TAKEN, READ = 10_000, 500, 2
 #: Added to every word's count, also to those of words that no other row holds.
 SMOOTH = 0.1
 WIDTH, HIDDEN = 24, 32
@@ -70,17 +72,21 @@ def _block(doc_ids: pa.Array, tokens: list[str], sizes: list[int]) -> pa.RecordB
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, tokens, sizes = [], [], []
     for b in batches:
-        at, tokens, sizes = 0, [], []
-        for text in b.column(1).to_pylist():
-            found = split(text)
+        at = 0
+        for k, text in enumerate(b.column(1), 1):
+            found = split(text.as_py())
             tokens += found
             sizes.append(len(found))
-            if len(tokens) >= BLOCK:
-                yield _block(b.column(0).slice(at, len(sizes)), tokens, sizes)
-                at, tokens, sizes = at + len(sizes), [], []
-        if sizes:
-            yield _block(b.column(0).slice(at), tokens, sizes)
+            if len(tokens) >= BLOCK or len(sizes) >= TEXTS:
+                yield _block(pa.concat_arrays([*held, b.column(0).slice(at, k - at)]), tokens, sizes)
+                held, tokens, sizes, at = [], [], [], k
+        if at < b.num_rows:
+            # Taken out of its batch, whose texts would stay with it.
+            held.append(b.column(0).slice(at).take(pa.array(range(b.num_rows - at))))
+    if sizes:
+        yield _block(pa.concat_arrays(held), tokens, sizes)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -163,7 +169,7 @@ def coded(found: DataFrame, words: list[str]) -> DataFrame:
         T.StructField("words", T.ArrayType(T.StringType())),
         T.StructField("ns", T.ArrayType(T.IntegerType())),
     ])
-    with arrow_rows(found.sparkSession, 1):
+    with arrow_rows(found.sparkSession, 1), read_rows(found.sparkSession, READ):
         rows = found.mapInArrow(_coded(words), schema)
         return materialise(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "ids", "words", "ns"), "coded")
 
@@ -354,8 +360,11 @@ class Model:
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     """A model of all texts, the table (word, n) of all of their words, and the :func:`coded` texts."""
-    found = materialise(blocks(docs), "blocks")
-    counts = materialise(word_counts(found), "words", dealt=True)
+    spark = docs.sparkSession
+    with arrow_rows(spark, TAKEN):
+        found = materialise(blocks(docs), "blocks")
+    with read_rows(spark, READ):
+        counts = materialise(word_counts(found), "words", dealt=True)
     known = sorted(((-r["n"], r["word"]) for r in frequent(counts, LEXICON).collect()))
     words = [w for _, w in known]
     ids, texts = Ids(words), coded(found, words)

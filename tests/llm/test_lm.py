@@ -82,3 +82,26 @@ def test_each_text_is_split_once(spark, monkeypatch):
 def test_doc_ids_of_any_type(spark):
     df = spark.createDataFrame([("x", "some words here"), (None, "some words"), ("y", None)], "doc_id string, text string")
     assert sorted((r["doc_id"] or "", r["n_tokens"], r["n_unseen"]) for r in lm.score(df).collect()) == [("", 2, 0), ("x", 3, 1), ("y", 0, 0)]
+
+
+def test_blocks_do_not_depend_on_batches(monkeypatch):
+    """Texts come in small batches; a block goes on over them and ends by its tokens or texts alone."""
+    monkeypatch.setattr(lm, "BLOCK", 40)
+    monkeypatch.setattr(lm, "TEXTS", 30)
+    texts = [*(" ".join(f"w{k % 7}" for _ in range(k % 9)) or None for k in range(200)), *[""] * 100]
+    rows = pa.RecordBatch.from_arrays([pa.array([*range(299), None]), pa.array(texts)], ["doc_id", "text"])
+    each = [[b.to_pylist() for b in lm._blocks(rows.slice(k, n) for k in range(0, 300, n))] for n in (300, 7, 1)]
+    assert each[0] == each[1] == each[2]
+    sizes = [b[0]["sizes"] for b in each[0]]
+    assert sum(map(len, sizes)) == 300 and max(map(len, sizes)) == 30 and max(map(sum, sizes)) < 49 and min(map(sum, sizes[:15])) >= 40
+    assert [d for b in each[0] for d in b[0]["doc_ids"]] == [*range(299), None] and list(lm._blocks(iter([]))) == []
+
+
+def test_few_texts_and_blocks_are_held_at_once(spark, monkeypatch):
+    """A block is megabytes: with 4,096 of them a whole file is in an executor's memory."""
+    seen, was = {}, lm.materialise
+    get = lambda: tuple(int(spark.conf.get(k)) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"))
+    monkeypatch.setattr(lm, "materialise", lambda df, name, **more: seen.setdefault(name, get()) and was(df, name, **more))
+    before = get()
+    assert lm.score(spark.createDataFrame([(1, "a b c"), (2, "b c d")], "doc_id long, text string")).count() == 2
+    assert seen["blocks"][0] <= 500 and seen["words"][1] <= 4 and seen["coded"][0] == 1 and seen["coded"][1] <= 4 and get() == before
